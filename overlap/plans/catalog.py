@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 
 from overlap.functions.metrics import within_bound
 from overlap.functions.sketches import theta_estimate
+from overlap.operators.buckets import (BUCKET_COL, bucket_by_pairs, bucketed_pairs,
+                                        two_phase_pairs, write_bucketed_inputs)
+from overlap.operators.hll import estimate_hll, hll_pairs
 from overlap.operators.pairs import pair_counts
+from overlap.operators.registers import estimate_registers, register_hll, register_pairs
+from overlap.session import scratch_path
 from overlap.operators.theta import theta_pairs, theta_sets
 from overlap.schema import lg_nominal
 from overlap.sources import fixtures
@@ -83,6 +88,89 @@ def pair_approx_raw(spark, sf_dir):
     return pair_counts(locs, ints, exact=False, rsd=APPROX_RSD)
 
 
+HLL_LG_K = 13
+HLL_BOUND = 0.05
+NUM_BUCKETS = 8
+
+
+def _hll_bounded(spark, sf_dir, hll: DataFrame) -> DataFrame:
+    locs, ints = _inputs(spark, sf_dir)
+    return _bounded(estimate_hll(hll, out="hll_estimate"), pair_counts(locs, ints),
+                    "hll_estimate", HLL_BOUND)
+
+
+def register_hll_q(spark, sf_dir):
+    regs = register_hll(fixtures.interests(spark, sf_dir), ["interest"])
+    return estimate_registers(regs, ["interest"])
+
+
+def register_hll_pairs(spark, sf_dir):
+    locs, ints = _inputs(spark, sf_dir)
+    return estimate_registers(register_pairs(locs, ints), ["location", "interest"])
+
+
+def register_hll_merge(spark, sf_dir):
+    """Per-bucket register partials, merged: identical to the one-shot registers."""
+    locs, ints = _inputs(spark, sf_dir)
+    merged = bucketed_pairs(locs, ints, NUM_BUCKETS, mode="registers")
+    return estimate_registers(merged, ["location", "interest"])
+
+
+def register_hll_two_phase(spark, sf_dir):
+    locs, ints = _inputs(spark, sf_dir)
+    merged = two_phase_pairs(spark, locs, ints, NUM_BUCKETS, mode="registers")
+    return estimate_registers(merged, ["location", "interest"])
+
+
+def pair_hll(spark, sf_dir):
+    locs, ints = _inputs(spark, sf_dir)
+    return _hll_bounded(spark, sf_dir, hll_pairs(locs, ints, lg_config_k=HLL_LG_K))
+
+
+def pair_hll_raw(spark, sf_dir):
+    locs, ints = _inputs(spark, sf_dir)
+    return estimate_hll(hll_pairs(locs, ints, lg_config_k=HLL_LG_K), out="hll_estimate")
+
+
+def pair_hll_two_phase(spark, sf_dir):
+    locs, ints = _inputs(spark, sf_dir)
+    hll = two_phase_pairs(spark, locs, ints, NUM_BUCKETS, mode="hll", lg_config_k=HLL_LG_K)
+    return _hll_bounded(spark, sf_dir, hll)
+
+
+def pair_hll_bucket_by(spark, sf_dir):
+    locs, ints = _inputs(spark, sf_dir)
+    hll = bucket_by_pairs(spark, locs, ints, NUM_BUCKETS, mode="hll", lg_config_k=HLL_LG_K)
+    return _hll_bounded(spark, sf_dir, hll)
+
+
+def bucket_exact_one_job(spark, sf_dir):
+    locs, ints = _inputs(spark, sf_dir)
+    return bucketed_pairs(locs, ints, NUM_BUCKETS, mode="exact")
+
+
+def bucket_exact_two_phase(spark, sf_dir):
+    locs, ints = _inputs(spark, sf_dir)
+    return two_phase_pairs(spark, locs, ints, NUM_BUCKETS, mode="exact")
+
+
+def bucket_by_join_exact(spark, sf_dir):
+    locs, ints = _inputs(spark, sf_dir)
+    return bucket_by_pairs(spark, locs, ints, NUM_BUCKETS, mode="exact")
+
+
+def bucket_slice_totals(spark, sf_dir):
+    """Rows written per side, summed over every bucket directory read back."""
+    locs, ints = _inputs(spark, sf_dir)
+    lpath, rpath = write_bucketed_inputs(spark, locs, ints, NUM_BUCKETS,
+                                         scratch_path(spark, "slices"))
+    per_bucket = [spark.read.parquet(p).groupBy(BUCKET_COL).agg(F.count(F.lit(1)).alias("n"))
+                  .select(F.lit(side).alias("side"), "n")
+                  for side, p in (("left", lpath), ("right", rpath))]
+    return (per_bucket[0].unionByName(per_bucket[1]).groupBy("side")
+            .agg(F.sum("n").cast("bigint").alias("n_rows")))
+
+
 def registry() -> dict[str, Query]:
     return {
         "pair_exact": pair_exact,
@@ -93,4 +181,16 @@ def registry() -> dict[str, Query]:
         "theta_sets_location": theta_sets_location,
         "pair_approx": pair_approx,
         "pair_approx_raw": pair_approx_raw,
+        "register_hll": register_hll_q,
+        "register_hll_pairs": register_hll_pairs,
+        "register_hll_merge": register_hll_merge,
+        "register_hll_two_phase": register_hll_two_phase,
+        "pair_hll": pair_hll,
+        "pair_hll_raw": pair_hll_raw,
+        "pair_hll_two_phase": pair_hll_two_phase,
+        "pair_hll_bucket_by": pair_hll_bucket_by,
+        "bucket_exact_one_job": bucket_exact_one_job,
+        "bucket_exact_two_phase": bucket_exact_two_phase,
+        "bucket_by_join_exact": bucket_by_join_exact,
+        "bucket_slice_totals": bucket_slice_totals,
     }

@@ -22,17 +22,22 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
 
 
 def write_partitioned(df: DataFrame, path: str, partition_col: str,
-                      num_partitions: int | None = None, mode: str = "overwrite") -> None:
+                      num_partitions: int | None = None, mode: str = "overwrite",
+                      dynamic: bool = False) -> None:
     """Hive-style ``partition_col=v`` directories.
 
     Rows are hash-rebalanced on the partition column first, so each task writes few
     directories (no tasks x partitions small files) and a hot value is split by AQE.
+    ``dynamic=True`` replaces only the partitions present in ``df`` (re-run of some buckets).
     """
     if num_partitions:
         df = df.hint("rebalance", num_partitions, partition_col)
     else:
         df = df.hint("rebalance", partition_col)
-    df.write.mode(mode).partitionBy(partition_col).parquet(path)
+    writer = df.write.mode(mode).partitionBy(partition_col)
+    if dynamic:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.parquet(path)
 
 
 def read_partitioned(spark: SparkSession, path: str) -> DataFrame:
