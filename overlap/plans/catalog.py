@@ -15,6 +15,10 @@ from overlap.functions.metrics import within_bound
 from overlap.functions.sketches import theta_estimate
 from overlap.operators.buckets import (BUCKET_COL, bucket_by_pairs, bucketed_pairs,
                                         two_phase_pairs, write_bucketed_inputs)
+from overlap.operators import synth
+from overlap.operators.accuracy import compare_counts, error_stats
+from overlap.operators.daily import (daily_sketches, trailing_exact, trailing_registers,
+                                     trailing_uniques)
 from overlap.operators.hll import estimate_hll, hll_pairs
 from overlap.operators.pairs import pair_counts
 from overlap.operators.registers import estimate_registers, register_hll, register_pairs
@@ -171,6 +175,95 @@ def bucket_slice_totals(spark, sf_dir):
             .agg(F.sum("n").cast("bigint").alias("n_rows")))
 
 
+TRAILING_DAYS = 7
+
+
+def _events(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts")
+
+
+def trailing_7d_exact(spark, sf_dir):
+    return trailing_exact(_events(spark, sf_dir), days=TRAILING_DAYS)
+
+
+def trailing_7d_theta(spark, sf_dir):
+    daily = daily_sketches(_events(spark, sf_dir), kind="theta", lg_nom=lg_nominal(NOMINAL))
+    return trailing_uniques(daily, days=TRAILING_DAYS, kind="theta", lg_nom=lg_nominal(NOMINAL))
+
+
+def trailing_7d_registers(spark, sf_dir):
+    return trailing_registers(_events(spark, sf_dir), days=TRAILING_DAYS)
+
+
+def trailing_7d_hll(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    est = trailing_uniques(daily_sketches(ev, kind="hll", lg_config_k=HLL_LG_K),
+                           days=TRAILING_DAYS, kind="hll", out="hll_uniques")
+    exact = trailing_exact(ev, days=TRAILING_DAYS)
+    j = exact.join(est, ["event_type", "day"], "full")
+    return j.select("event_type", "day", F.coalesce("uniques", F.lit(0)).alias("uniques"),
+                    F.coalesce(within_bound("hll_uniques", "uniques", HLL_BOUND), F.lit(False))
+                    .alias("within_bound"))
+
+
+def _accuracy(spark, sf_dir):
+    locs, ints = _inputs(spark, sf_dir)
+    est = estimate_registers(register_pairs(locs, ints), ["location", "interest"])
+    return compare_counts(est, pair_counts(locs, ints), count_a="estimate",
+                          count_b="distinct_count")
+
+
+def accuracy_join(spark, sf_dir):
+    return _accuracy(spark, sf_dir)
+
+
+def accuracy_stats(spark, sf_dir):
+    s = error_stats(_accuracy(spark, sf_dir))
+    return s.select(*[F.round(c, 6).alias(c) for c in s.columns[:3]], "pairs")
+
+
+def accuracy_theta_lg8_stats(spark, sf_dir):
+    """Theta at 256 nominal entries (approximate regime) vs exact: error summary."""
+    locs, ints = _inputs(spark, sf_dir)
+    cmp = compare_counts(theta_pairs(locs, ints, nominal_entries=256), pair_counts(locs, ints),
+                         how="full")
+    return error_stats(cmp)
+
+
+def accuracy_approx_stats(spark, sf_dir):
+    locs, ints = _inputs(spark, sf_dir)
+    cmp = compare_counts(pair_counts(locs, ints, exact=False, rsd=APPROX_RSD),
+                         pair_counts(locs, ints))
+    return error_stats(cmp)
+
+
+def _synth_inputs(spark, sf_dir):
+    ppl = synth.people(spark, sf_dir)
+    return synth.person_locations(ppl), synth.person_interests(ppl)
+
+
+def synth_people(spark, sf_dir):
+    return synth.people(spark, sf_dir)
+
+
+def synth_locations(spark, sf_dir):
+    locs, _ = _synth_inputs(spark, sf_dir)
+    return locs.select("pid", F.explode("locations").alias("location"))
+
+
+def synth_interests(spark, sf_dir):
+    _, ints = _synth_inputs(spark, sf_dir)
+    return ints
+
+
+def synth_pair_exact(spark, sf_dir):
+    return pair_counts(*_synth_inputs(spark, sf_dir))
+
+
+def synth_pair_theta(spark, sf_dir):
+    return theta_pairs(*_synth_inputs(spark, sf_dir), nominal_entries=NOMINAL)
+
+
 def registry() -> dict[str, Query]:
     return {
         "pair_exact": pair_exact,
@@ -193,4 +286,17 @@ def registry() -> dict[str, Query]:
         "bucket_exact_two_phase": bucket_exact_two_phase,
         "bucket_by_join_exact": bucket_by_join_exact,
         "bucket_slice_totals": bucket_slice_totals,
+        "trailing_7d_exact": trailing_7d_exact,
+        "trailing_7d_theta": trailing_7d_theta,
+        "trailing_7d_registers": trailing_7d_registers,
+        "trailing_7d_hll": trailing_7d_hll,
+        "accuracy_join": accuracy_join,
+        "accuracy_stats": accuracy_stats,
+        "accuracy_theta_lg8_stats": accuracy_theta_lg8_stats,
+        "accuracy_approx_stats": accuracy_approx_stats,
+        "synth_people": synth_people,
+        "synth_locations": synth_locations,
+        "synth_interests": synth_interests,
+        "synth_pair_exact": synth_pair_exact,
+        "synth_pair_theta": synth_pair_theta,
     }
