@@ -264,6 +264,19 @@ def synth_pair_theta(spark, sf_dir):
     return theta_pairs(*_synth_inputs(spark, sf_dir), nominal_entries=NOMINAL)
 
 
+def stream_daily_theta(spark, sf_dir):
+    """Streaming daily sketches run to completion (availableNow); closed days read back."""
+    from overlap.streaming.daily import start_daily_sketch_stream
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    sink = scratch_path(spark, "stream-sink")
+    q = start_daily_sketch_stream(spark, f"{sf_dir}/events*.parquet", schema, sink,
+                                  lg_nom=lg_nominal(NOMINAL), lg_config_k=HLL_LG_K)
+    q.awaitTermination()
+    return spark.read.parquet(sink).select(
+        "event_type", "day", F.theta_sketch_estimate("theta").alias("uniques"))
+
+
 def registry() -> dict[str, Query]:
     return {
         "pair_exact": pair_exact,
@@ -299,4 +312,5 @@ def registry() -> dict[str, Query]:
         "synth_interests": synth_interests,
         "synth_pair_exact": synth_pair_exact,
         "synth_pair_theta": synth_pair_theta,
+        "stream_daily_theta": stream_daily_theta,
     }
