@@ -12,10 +12,15 @@ def bucket_of(key, num_buckets: int) -> Column:
     ``abs(hash) % n`` overflows for hash = Int.MIN (an ANSI error, or a negative bucket
     that a per-bucket loop never visits); ``pmod`` is always in range.
     """
+    c = F.col(key) if isinstance(key, str) else key
+    return bucket_from_hash(F.hash(c), num_buckets)
+
+
+def bucket_from_hash(h: Column, num_buckets: int) -> Column:
+    """``pmod(h, n)``: in range for every 32-bit hash, Int.MIN included."""
     if num_buckets < 1:
         raise ValueError("num_buckets must be >= 1")
-    c = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.hash(c), F.lit(num_buckets)).cast("int")
+    return F.pmod(h, F.lit(num_buckets)).cast("int")
 
 
 def hash_key(key, kind: str = "murmur3") -> Column:

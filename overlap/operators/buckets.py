@@ -28,7 +28,7 @@ from overlap.functions.keys import bucket_of
 from overlap.operators.pairs import key_sets
 from overlap.operators.registers import (DEFAULT_LOG2M, DEFAULT_REGWIDTH, DEFAULT_SEED,
                                           merge_registers, register_columns)
-from overlap.schema import key_column, sketch_input
+from overlap.schema import key_column, key_predicate, sketch_input
 from overlap.session import scratch_path
 from overlap.sources.sinks import write_bucketed_table, write_partitioned
 
@@ -117,8 +117,8 @@ def write_bucketed_inputs(spark: SparkSession, left: DataFrame, right: DataFrame
     for df, dim, is_arr, name, tag in ((left, left_dim, left_is_array, left_name, "left"),
                                        (right, right_dim, right_is_array, right_name, "right")):
         v = F.explode(F.col(dim)) if is_arr else F.col(dim)
-        rows = (df.select(key_column(df, key, blank).alias(key), v.alias(name))
-                  .where(F.col(key).isNotNull()).distinct())
+        rows = (df.where(key_predicate(key, blank))
+                  .select(key_column(df, key, blank).alias(key), v.alias(name)).distinct())
         path = f"{root}/{tag}"
         write_partitioned(with_bucket(rows, key, num_buckets), path, BUCKET_COL)
         paths.append(path)
@@ -183,8 +183,8 @@ def bucket_by_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, num_
     for df, dim, is_arr, name, tag in ((left, left_dim, left_is_array, left_name, "left"),
                                        (right, right_dim, right_is_array, right_name, "right")):
         v = F.explode(F.col(dim)) if is_arr else F.col(dim)
-        rows = (df.select(key_column(df, key, blank).alias(key), v.alias(name))
-                  .where(F.col(key).isNotNull()))
+        rows = (df.where(key_predicate(key, blank))
+                  .select(key_column(df, key, blank).alias(key), v.alias(name)))
         table = f"overlap_bucketed_{tag}_{suffix}"
         write_bucketed_table(rows, table, num_buckets, key, f"{root}/{tag}", sort=sort)
         tables.append(table)

@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 from overlap.operators.registers import (DEFAULT_LOG2M, DEFAULT_REGWIDTH, DEFAULT_SEED,
                                           estimate_registers, merge_registers,
                                           register_columns)
-from overlap.schema import key_column, sketch_input
+from overlap.schema import key_column, key_predicate, sketch_input
 
 KINDS = ("theta", "hll")
 
 
 def _daily_rows(df: DataFrame, key: str, dim: str, ts: str, blank: str) -> DataFrame:
-    return (df.select(F.col(dim), F.to_date(F.col(ts)).alias("day"),
-                      key_column(df, key, blank).alias("_k"))
-              .where(F.col("_k").isNotNull() & F.col("day").isNotNull()))
+    return (df.where(key_predicate(key, blank) & F.col(ts).isNotNull())
+              .select(F.col(dim), F.to_date(F.col(ts)).alias("day"),
+                      key_column(df, key, blank).alias("_k")))
 
 
 def daily_sketches(df: DataFrame, *, key: str = "user_id", dim: str = "event_type",

@@ -26,11 +26,11 @@ def hll_sets(df: DataFrame, groups: list[str], key: str = "pid", *,
              lg_config_k: int = DEFAULT_LG_K, blank: str = "drop",
              out: str = "hll_bytes") -> DataFrame:
     """``(groups..., hll_bytes)`` -- one HLL sketch of ``key`` per group."""
-    from overlap.schema import key_column
+    from overlap.schema import key_column, key_predicate
 
     _check_lg_k(lg_config_k)
     k = key_column(df, key, blank)
-    return df.groupBy(*groups).agg(
+    return df.where(key_predicate(key, blank)).groupBy(*groups).agg(
         F.hll_sketch_agg(sketch_input(k, blank), lg_config_k).alias(out))
 
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from overlap.schema import key_column
+from overlap.schema import key_column, key_predicate
 
 STRATEGIES = ("keysets", "join")
 EXPLODE = ("late", "early")
@@ -32,8 +32,8 @@ def _values(df: DataFrame, key: str, dim: str, is_array: bool, name: str,
             blank: str) -> DataFrame:
     """(key, dim value) rows, blank keys dropped; arrays exploded (null/empty -> no rows)."""
     v = F.explode(F.col(dim)) if is_array else F.col(dim)
-    return (df.select(key_column(df, key, blank).alias(key), v.alias(name))
-              .where(F.col(key).isNotNull()))
+    return df.where(key_predicate(key, blank)).select(key_column(df, key, blank).alias(key),
+                                                      v.alias(name))
 
 
 def key_sets(df: DataFrame, key: str, dim: str, name: str, is_array: bool = False,
@@ -82,8 +82,8 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
             j = j.withColumns(per_key)
         return j.select(key, left_name, right_name, *per_key)
     rv = _values(right, key, right_dim, right_is_array, right_name, blank)
-    lrows = (left.select(key_column(left, key, blank).alias(key), F.col(left_dim).alias("_arr"))
-                 .where(F.col(key).isNotNull()))
+    lrows = left.where(key_predicate(key, blank)).select(
+        key_column(left, key, blank).alias(key), F.col(left_dim).alias("_arr"))
     j = rv.join(lrows, key)
     if per_key:
         j = j.withColumns(per_key)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from overlap.schema import key_column
+from overlap.schema import key_column, key_predicate
 
 # Fixed defaults of the sketch being replaced: log2m 13, register width 4, hash seed 2131319.
 DEFAULT_LOG2M = 13
@@ -51,7 +51,7 @@ def register_hll(df: DataFrame, groups: list[str], key: str = "pid", *,
     """``(groups..., reg, rho)`` register rows of the distinct ``key`` per group."""
     k = key_column(df, key, blank)
     cols = register_columns(F.col("_k"), log2m=log2m, regwidth=regwidth, seed=seed)
-    rows = df.select(*groups, k.alias("_k")).where(F.col("_k").isNotNull()).withColumns(cols)
+    rows = df.where(key_predicate(key, blank)).select(*groups, k.alias("_k")).withColumns(cols)
     return merge_registers(rows, groups)
 
 

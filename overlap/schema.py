@@ -33,21 +33,28 @@ def lg_nominal(nominal_entries: int) -> int:
 
 
 def key_column(df: DataFrame, key: str, blank: str = "drop", as_string: bool = True):
-    """The key as used by every method: cast to string and, by default, blank -> null.
+    """The key as used by every method: cast to string (both sides must hash alike)."""
+    if blank not in BLANK_MODES:
+        raise ValueError(f"blank must be one of {BLANK_MODES}")
+    c = F.col(key)
+    return c.cast("string") if as_string else c
 
-    ``blank="drop"`` maps null, "" and whitespace-only keys to null, so exact, approximate,
-    theta and HLL paths all count the same population (joins and sketches skip null).
-    ``blank="keep"`` counts "" and "  " as keys, like ``count(distinct)``; the value is then
-    prefixed for sketches, which would otherwise skip the empty string.
+
+def key_predicate(key: str, blank: str = "drop"):
+    """Rows whose key takes part in counting, as a filter on the *raw* column.
+
+    ``blank="drop"`` skips null, "" and whitespace-only keys, so exact, approximate, theta
+    and HLL paths all count the same population (joins and sketches skip null anyway).
+    ``blank="keep"`` counts "" and "  " as keys, like ``count(distinct)``; the value is
+    then prefixed for sketches, which would otherwise skip the empty string.
+    Filtering before the projection lets Parquet receive ``IsNotNull(key)``.
     """
     if blank not in BLANK_MODES:
         raise ValueError(f"blank must be one of {BLANK_MODES}")
     c = F.col(key)
-    if as_string:
-        c = c.cast("string")
     if blank == "drop":
-        return F.when(F.trim(c) != F.lit(""), c)
-    return c
+        return c.isNotNull() & (F.trim(c.cast("string")) != F.lit(""))
+    return c.isNotNull()
 
 
 def sketch_input(c, blank: str = "drop"):

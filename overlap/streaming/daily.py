@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from overlap.schema import key_column, sketch_input
+from overlap.schema import key_column, key_predicate, sketch_input
 from overlap.session import scratch_path
 
 
@@ -29,9 +29,9 @@ def daily_sketch_stream(spark: SparkSession, source: str, schema: T.StructType,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(source)
     # event time must be a TIMESTAMP (not TIMESTAMP_NTZ) for the watermark
-    ev = (src.select(F.col(dim), F.col(ts).cast("timestamp").alias("_ts"),
+    ev = (src.where(key_predicate(key, blank))
+             .select(F.col(dim), F.col(ts).cast("timestamp").alias("_ts"),
                      key_column(src, key, blank).alias("_k"))
-             .where(F.col("_k").isNotNull())
              .withWatermark("_ts", watermark))
     v = sketch_input(F.col("_k"), blank)
     agg = ev.groupBy(F.window("_ts", "1 day").alias("w"), F.col(dim)).agg(
