@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overlap.operators.pairs import pair_rows
+from overlap.operators.sketch_tree import sketch_aggregate
 from overlap.schema import sketch_input
 
 DEFAULT_LG_K = 13
@@ -24,14 +25,15 @@ def _check_lg_k(lg_k: int) -> None:
 
 def hll_sets(df: DataFrame, groups: list[str], key: str = "pid", *,
              lg_config_k: int = DEFAULT_LG_K, blank: str = "drop",
-             out: str = "hll_bytes") -> DataFrame:
+             out: str = "hll_bytes", fanin: int | str = "auto") -> DataFrame:
     """``(groups..., hll_bytes)`` -- one HLL sketch of ``key`` per group."""
     from overlap.schema import key_column, key_predicate
 
     _check_lg_k(lg_config_k)
     k = key_column(df, key, blank)
-    return df.where(key_predicate(key, blank)).groupBy(*groups).agg(
-        F.hll_sketch_agg(sketch_input(k, blank), lg_config_k).alias(out))
+    return sketch_aggregate(df.where(key_predicate(key, blank)), groups,
+                            F.hll_sketch_agg(sketch_input(k, blank), lg_config_k),
+                            lambda c: F.hll_union_agg(c, False), out, fanin)
 
 
 def hll_pairs(left: DataFrame, right: DataFrame, *, key: str = "pid",
@@ -40,15 +42,16 @@ def hll_pairs(left: DataFrame, right: DataFrame, *, key: str = "pid",
               left_name: str = "location", right_name: str = "interest",
               lg_config_k: int = DEFAULT_LG_K, blank: str = "drop",
               strategy: str = "keysets", explode: str = "late",
-              extra_groups: list[str] | None = None) -> DataFrame:
+              extra_groups: list[str] | None = None, fanin: int | str = "auto") -> DataFrame:
     """Q4: ``(left_name, right_name, hll_bytes)`` for every co-occurring pair."""
     _check_lg_k(lg_config_k)
     rows = pair_rows(left, right, key=key, left_dim=left_dim, right_dim=right_dim,
                      left_is_array=left_is_array, right_is_array=right_is_array,
                      left_name=left_name, right_name=right_name, strategy=strategy,
                      explode=explode, blank=blank)
-    return rows.groupBy(*(extra_groups or []), left_name, right_name).agg(
-        F.hll_sketch_agg(sketch_input(F.col(key), blank), lg_config_k).alias("hll_bytes"))
+    return sketch_aggregate(rows, [*(extra_groups or []), left_name, right_name],
+                            F.hll_sketch_agg(sketch_input(F.col(key), blank), lg_config_k),
+                            lambda c: F.hll_union_agg(c, False), "hll_bytes", fanin)
 
 
 def merge_hll(df: DataFrame, groups: list[str], col: str = "hll_bytes", *,

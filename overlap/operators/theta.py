@@ -20,17 +20,23 @@ from pyspark.sql import functions as F
 
 from overlap.functions.sketches import theta_estimate
 from overlap.operators.pairs import _values
+from overlap.operators.sketch_tree import sketch_aggregate
 from overlap.schema import lg_nominal, sketch_input
 
 
 def theta_sets(df: DataFrame, *, key: str = "pid", dim: str = "interest",
                name: str | None = None, is_array: bool = False, lg_nom: int = 12,
-               blank: str = "drop", sketch_col: str = "sketch") -> DataFrame:
-    """A3/A4: ``(name, sketch)`` -- one theta sketch of the keys per value of ``dim``."""
+               blank: str = "drop", sketch_col: str = "sketch",
+               fanin: int | str = "auto") -> DataFrame:
+    """A3/A4: ``(name, sketch)`` -- one theta sketch of the keys per value of ``dim``.
+
+    ``fanin`` > 1 merges the per-task partial sketches in two levels (see sketch_tree).
+    """
     name = name or dim
     rows = _values(df, key, dim, is_array, name, blank)
-    return rows.groupBy(name).agg(
-        F.theta_sketch_agg(sketch_input(F.col(key), blank), lg_nom).alias(sketch_col))
+    return sketch_aggregate(rows, [name],
+                            F.theta_sketch_agg(sketch_input(F.col(key), blank), lg_nom),
+                            lambda c: F.theta_union_agg(c, lg_nom), sketch_col, fanin)
 
 
 def merge_theta_sets(df: DataFrame, *, dim: str, sketch_col: str = "sketch",
@@ -59,12 +65,12 @@ def theta_pairs(left: DataFrame, right: DataFrame, *, key: str = "pid",
                 left_is_array: bool = True, right_is_array: bool = False,
                 left_name: str = "location", right_name: str = "interest",
                 nominal_entries: int = 4096, include_zero_pairs: bool = True,
-                blank: str = "drop") -> DataFrame:
+                blank: str = "drop", fanin: int | str = "auto") -> DataFrame:
     """Q3 end to end from the two inputs."""
     lg = lg_nominal(nominal_entries)
     ls = theta_sets(left, key=key, dim=left_dim, name=left_name, is_array=left_is_array,
-                    lg_nom=lg, blank=blank)
+                    lg_nom=lg, blank=blank, fanin=fanin)
     rs = theta_sets(right, key=key, dim=right_dim, name=right_name, is_array=right_is_array,
-                    lg_nom=lg, blank=blank)
+                    lg_nom=lg, blank=blank, fanin=fanin)
     return theta_pair_counts(ls, rs, left_name=left_name, right_name=right_name,
                              include_zero_pairs=include_zero_pairs)

@@ -112,3 +112,16 @@ def test_trailing_window_matches_exact(spark):
     daily = daily_sketches(ev, kind="theta").select(
         "event_type", "day", F.theta_sketch_estimate("sketch").alias("n"))
     assert {(r.event_type, r.day): r.n for r in daily.collect()} == one_day
+
+
+def test_tree_aggregation_same_result(fx):
+    locs, ints, exact = fx
+    from overlap.operators.theta import theta_pairs
+    flat = as_dict(theta_pairs(locs, ints, fanin=1), "set_intersection_count")
+    tree = as_dict(theta_pairs(locs.repartition(6), ints.repartition(5), fanin=3),
+                   "set_intersection_count")
+    assert flat == tree
+    want = as_dict(exact, "distinct_count")
+    got = as_dict(estimate_hll(hll_pairs(locs.repartition(6), ints, fanin=4), out="n"), "n")
+    for k, v in want.items():
+        assert abs(got[k] - v) <= max(1, 0.05 * v)
