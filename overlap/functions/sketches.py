@@ -35,6 +35,16 @@ def hll_merge(a, b, allow_different_lg_k: bool = False) -> Column:
     return F.hll_union(_c(a), _c(b), F.lit(allow_different_lg_k))
 
 
+def empty_hll_bytes(spark, lg_config_k: int = 13) -> bytes:
+    """The serialized HLL sketch of zero keys (a fixed, 40-byte constant for any data).
+
+    Built by Spark itself (``hll_sketch_agg`` over an empty input), so it always matches
+    the sketch format of the running version; estimate 0.
+    """
+    return (spark.range(0).select(F.col("id").cast("string").alias("k"))
+            .agg(F.hll_sketch_agg("k", lg_config_k).alias("h")).first().h)
+
+
 def empty_hll(sketch, empty: Column | None = None) -> Column:
     """``coalesce(sketch, empty)``; ``empty`` is a literal sketch of zero keys.
 

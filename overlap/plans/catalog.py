@@ -277,6 +277,18 @@ def stream_daily_theta(spark, sf_dir):
         "event_type", "day", F.theta_sketch_estimate("theta").alias("uniques"))
 
 
+def pair_exact_sql(spark, sf_dir):
+    from overlap.plans.sql import run_pair_sql
+
+    return run_pair_sql(spark, *_inputs(spark, sf_dir), "exact")
+
+
+def pair_theta_sql(spark, sf_dir):
+    from overlap.plans.sql import run_pair_sql
+
+    return run_pair_sql(spark, *_inputs(spark, sf_dir), "theta", lg_nom=lg_nominal(NOMINAL))
+
+
 def registry() -> dict[str, Query]:
     return {
         "pair_exact": pair_exact,
@@ -313,4 +325,6 @@ def registry() -> dict[str, Query]:
         "synth_pair_exact": synth_pair_exact,
         "synth_pair_theta": synth_pair_theta,
         "stream_daily_theta": stream_daily_theta,
+        "pair_exact_sql": pair_exact_sql,
+        "pair_theta_sql": pair_theta_sql,
     }
