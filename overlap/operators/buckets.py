@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlap.functions.keys import bucket_of
-from overlap.operators.pairs import key_sets
+from overlap.operators.pairs import distinct_set, key_sets, with_null
 from overlap.operators.registers import (DEFAULT_LOG2M, DEFAULT_REGWIDTH, DEFAULT_SEED,
                                           merge_registers, register_columns)
 from overlap.schema import key_column, key_predicate, sketch_input
@@ -189,9 +189,9 @@ def bucket_by_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, num_
         write_bucketed_table(rows, table, num_buckets, key, f"{root}/{tag}", sort=sort)
         tables.append(table)
     lt, rt = spark.table(tables[0]), spark.table(tables[1])
-    ls = lt.groupBy(key).agg(F.flatten(F.collect_set(F.array(left_name))).alias(left_name + "_set"))
-    rs = rt.groupBy(key).agg(F.flatten(F.collect_set(F.array(right_name)))
-                             .alias(right_name + "_set"))
+    ls = lt.groupBy(key).agg(*distinct_set(left_name)).select(key, with_null(left_name + "_set"))
+    rs = rt.groupBy(key).agg(*distinct_set(right_name)).select(key,
+                                                               with_null(right_name + "_set"))
     rows = _explode_sets(ls.hint("merge"), rs, key, left_name, right_name, [])
     groups = [left_name, right_name]
     return _partial(rows, groups, key, mode, lg_config_k, log2m, regwidth, seed, blank)

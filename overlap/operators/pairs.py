@@ -36,14 +36,26 @@ def _values(df: DataFrame, key: str, dim: str, is_array: bool, name: str,
                                                       v.alias(name))
 
 
+def distinct_set(value: str) -> tuple[Column, Column]:
+    """Aggregates giving the distinct values of ``value`` *including* null, which
+    ``collect_set`` alone drops: ``(collect_set, saw_null)``; combine with ``with_null``."""
+    return F.collect_set(value).alias("_set"), F.max(F.col(value).isNull()).alias("_null")
+
+
+def with_null(out: str) -> Column:
+    """``_set`` plus one null element when ``_null`` -- a null value is its own group."""
+    return F.when(F.col("_null"), F.concat(F.col("_set"), F.array(F.lit(None))))\
+            .otherwise(F.col("_set")).alias(out)
+
+
 def key_sets(df: DataFrame, key: str, dim: str, name: str, is_array: bool = False,
              blank: str = "drop") -> DataFrame:
     """``(key, <name>_set)``: one row per key with its distinct values of ``dim``.
 
-    ``collect_set(array(v))`` keeps a null value as its own group, like GROUP BY does.
+    A null value is kept as its own group, like GROUP BY does.
     """
     rows = _values(df, key, dim, is_array, name, blank)
-    return rows.groupBy(key).agg(F.flatten(F.collect_set(F.array(F.col(name)))).alias(name + "_set"))
+    return rows.groupBy(key).agg(*distinct_set(name)).select(key, with_null(name + "_set"))
 
 
 def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
@@ -102,14 +114,18 @@ def pair_counts(left: DataFrame, right: DataFrame, *, key: str = "pid",
     ``exact=True`` -> exact distinct keys (bigint); ``exact=False`` -> ``approx_count_distinct``
     with relative standard deviation ``rsd``.
     """
+    # approx: hash each key once, before the pair explode, instead of once per pair row
+    # (the count is a number, not a stored sketch, so the value hashed is free to choose;
+    # 64-bit hash collisions are negligible next to the estimator's error)
+    per_key = {} if exact else {"_h": F.xxhash64(F.col(key))}
     rows = pair_rows(left, right, key=key, left_dim=left_dim, right_dim=right_dim,
                      left_is_array=left_is_array, right_is_array=right_is_array,
                      left_name=left_name, right_name=right_name, strategy=strategy,
-                     explode=explode, blank=blank)
+                     explode=explode, blank=blank, per_key=per_key)
     if exact:
         name = count_col or "distinct_count"
         agg = (F.count(F.lit(1)) if strategy == "keysets" else F.count_distinct(key)).alias(name)
     else:
         name = count_col or "approx_pid_count"
-        agg = F.approx_count_distinct(key, rsd).alias(name)
+        agg = F.approx_count_distinct("_h", rsd).alias(name)
     return rows.groupBy(left_name, right_name).agg(agg)
