@@ -34,7 +34,6 @@ from overlap.sources.sinks import write_bucketed_table, write_partitioned
 
 BUCKET_COL = "bucket_by_pid"
 MODES = ("exact", "hll", "registers")
-TECHNIQUES = ("none", "partitioned", "bucket_by")
 
 
 def with_bucket(df: DataFrame, key: str, num_buckets: int, col: str = BUCKET_COL) -> DataFrame:

@@ -33,17 +33,26 @@ SOURCES = {"customer": ("customer", ["c_custkey"]),
 
 
 def people(spark: SparkSession, sf_dir: str, *, source: str = "customer",
-           seed: int = DEFAULT_SEED, num_partitions: int | None = None) -> DataFrame:
+           seed: int = DEFAULT_SEED, num_partitions: int | None = None,
+           copies: int = 1) -> DataFrame:
     """G1: ``people(pid)`` -- ``<key>_<35 hex chars of sha256(seed:key)>`` per source row.
 
-    ``num_partitions`` spreads the keys over that many tasks before the per-person work
-    (a source file that is one row group is otherwise generated by a single task).
+    ``copies`` > 1 derives that many people per source row (key ``<key>-<copy>``), for
+    load tests larger than the source table. ``num_partitions`` spreads the keys over that
+    many tasks before the per-person work (a source file that is one row group is
+    otherwise generated by a single task).
     """
     if source not in SOURCES:
         raise ValueError(f"source must be one of {sorted(SOURCES)}")
+    if copies < 1:
+        raise ValueError("copies must be >= 1")
     table, cols = SOURCES[source]
     df = read_table(spark, sf_dir, table, *cols)
-    ident = F.concat_ws("-", *[F.col(c).cast("string") for c in cols])
+    parts = [F.col(c).cast("string") for c in cols]
+    if copies > 1:
+        df = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+        parts.append(F.col("_copy").cast("string"))
+    ident = F.concat_ws("-", *parts)
     suffix = F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), ident), 256), 1, PID_SUFFIX_LEN)
     out = df.select(F.concat(ident, F.lit("_"), suffix).alias("pid"))
     return out.repartition(num_partitions) if num_partitions else out
