@@ -3,7 +3,8 @@
 The reference registers JVM aggregates (``hll_of``, ``hll_merge``, ``union_of_sets``) and a
 scalar ``estimate_hll`` for its SQL. Spark 4 ships the aggregates natively --
 ``hll_sketch_agg(x, lgK)``, ``hll_union_agg(b)``, ``theta_sketch_agg(x, lgNom)``,
-``theta_union_agg(b, lgNom)`` -- and the scalar helpers are declared here as SQL functions
+``theta_union_agg(b, lgNom)`` (keys are fed as UTF-8 bytes, ``CAST(k AS BINARY)``, which
+gives the same sketches as the string, cheaper) -- and the scalar helpers are declared here as SQL functions
 (``CREATE TEMPORARY FUNCTION ... RETURN <expr>``), which the analyzer inlines: no Python and
 no JVM UDF is involved at run time.
 """
@@ -63,14 +64,14 @@ WITH exploded AS (
   SELECT t1.pid, explode(t1.locations) AS location, t2.interest
   FROM {interests} t2 JOIN {locations} t1 ON t1.pid = t2.pid
   WHERE {keep_t1})
-SELECT location, interest, hll_sketch_agg(pid, {lg_k}) AS hll_bytes
+SELECT location, interest, hll_sketch_agg(CAST(pid AS BINARY), {lg_k}) AS hll_bytes
 FROM exploded GROUP BY location, interest""",
     # join-free: one theta sketch per value on each side, intersected per pair
     "theta": """
-WITH ls AS (SELECT location, theta_sketch_agg(pid, {lg_nom}) AS s
+WITH ls AS (SELECT location, theta_sketch_agg(CAST(pid AS BINARY), {lg_nom}) AS s
             FROM (SELECT CAST(pid AS STRING) AS pid, explode(locations) AS location
                   FROM {locations} WHERE {keep}) GROUP BY location),
-     rs AS (SELECT interest, theta_sketch_agg(CAST(pid AS STRING), {lg_nom}) AS s
+     rs AS (SELECT interest, theta_sketch_agg(CAST(CAST(pid AS STRING) AS BINARY), {lg_nom}) AS s
             FROM {interests} WHERE {keep} GROUP BY interest)
 SELECT ls.location, rs.interest,
        CAST(theta_sketch_estimate(theta_intersection(ls.s, rs.s)) AS DOUBLE)

@@ -58,10 +58,15 @@ def key_predicate(key: str, blank: str = "drop"):
 
 
 def sketch_input(c, blank: str = "drop"):
-    """Value fed to a sketch: sentinel-prefixed under blank="keep" so "" is not skipped."""
+    """Value fed to a theta/HLL sketch: the key's UTF-8 bytes.
+
+    The sketch library hashes a string as its UTF-8 bytes, so binary input gives
+    byte-identical (fully mergeable) sketches while skipping a per-row String decode and
+    re-encode. Under blank="keep" the key is sentinel-prefixed so "" is not skipped.
+    """
     if blank == "keep":
-        return F.concat(F.lit("k:"), c)
-    return c
+        c = F.concat(F.lit("k:"), c)
+    return c.cast("binary")
 
 
 def check_same_key_type(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
