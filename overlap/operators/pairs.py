@@ -63,11 +63,15 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
               left_is_array: bool = True, right_is_array: bool = False,
               left_name: str = "location", right_name: str = "interest",
               strategy: str = "keysets", explode: str = "late", blank: str = "drop",
-              per_key: dict[str, Column] | None = None) -> DataFrame:
+              per_key: dict[str, Column] | None = None,
+              partition_by: str | None = None) -> DataFrame:
     """``(key, left_name, right_name, *per_key)`` rows of the key join.
 
     With ``strategy="keysets"`` every (key, a, b) occurs exactly once. ``per_key`` columns
     are computed once per key (before the explode) from the normalised key column.
+    ``partition_by`` (a per-key column) re-partitions the one-row-per-key join output on it
+    *before* the explode, so an aggregate grouped by (..., that column) is complete within
+    each task and needs no shuffle of the exploded rows (keysets strategy only).
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
@@ -80,6 +84,8 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
         j = ls.join(rs, key)
         if per_key:
             j = j.withColumns(per_key)
+        if partition_by:
+            j = j.repartition(partition_by)
         extra = list(per_key)
         return (j.select(key, *extra, F.explode(left_name + "_set").alias(left_name),
                          right_name + "_set")

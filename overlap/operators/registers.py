@@ -94,7 +94,11 @@ def register_pairs(left: DataFrame, right: DataFrame, *, key: str = "pid",
                    strategy: str = "keysets") -> DataFrame:
     """``(left_name, right_name, reg, rho)`` register sketch per co-occurring pair.
 
-    The register of a key is computed once per key, before the pair explode.
+    The register of a key is computed once per key, before the pair explode, and the
+    one-row-per-key join output is hash-partitioned on the register index: every
+    (pair, register) group is then complete inside one task, so the ``max(rho)`` runs
+    without shuffling the exploded pair rows (only the per-key rows move; the register
+    index is a uniform hash, so no partition is hot).
     """
     from overlap.operators.pairs import pair_rows
 
@@ -102,5 +106,6 @@ def register_pairs(left: DataFrame, right: DataFrame, *, key: str = "pid",
     rows = pair_rows(left, right, key=key, left_dim=left_dim, right_dim=right_dim,
                      left_is_array=left_is_array, right_is_array=right_is_array,
                      left_name=left_name, right_name=right_name, strategy=strategy,
-                     blank=blank, per_key=cols)
+                     blank=blank, per_key=cols,
+                     partition_by="reg" if strategy == "keysets" else None)
     return merge_registers(rows, [left_name, right_name])
