@@ -67,13 +67,3 @@ def sketch_input(c, blank: str = "drop"):
     if blank == "keep":
         c = F.concat(F.lit("k:"), c)
     return c.cast("binary")
-
-
-def check_same_key_type(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                        cast_to_string: bool = True) -> None:
-    """Sketching bigint 1 and string "1" gives disjoint hashes: refuse silent mismatch."""
-    lt = left.schema[left_key].dataType
-    rt = right.schema[right_key].dataType
-    if lt != rt and not cast_to_string:
-        raise TypeError(f"key types differ: {lt.simpleString()} vs {rt.simpleString()}; "
-                        "cast both sides or pass cast_to_string=True")

@@ -129,3 +129,22 @@ def test_compare_full_join_shows_one_sided_pairs(spark):
             for r in compare_counts(a, b, count_a="c", how="full").collect()}
     assert full[("Q", None)] == (1, 0, 200.0)
     assert full[("P", "P")] == (3, 3, 0.0)
+
+
+def test_scalar_by_scalar_and_array_by_array(spark):
+    a = spark.createDataFrame([("p1", "X"), ("p2", "X"), ("p2", "Y")], "pid string, a string")
+    b = spark.createDataFrame([("p1", "I"), ("p2", "I")], "pid string, b string")
+    kw = dict(left_dim="a", right_dim="b", left_is_array=False, right_is_array=False,
+              left_name="location", right_name="interest")
+    want = {("X", "I"): 2, ("Y", "I"): 1}
+    assert as_dict(pair_counts(a, b, **kw), "distinct_count") == want
+    assert as_dict(pair_counts(a, b, strategy="join", **kw), "distinct_count") == want
+    assert {k: int(v) for k, v in as_dict(theta_pairs(a, b, **kw),
+                                          "set_intersection_count").items()} == want
+    aa = spark.createDataFrame([("p1", ["X"]), ("p2", ["X", "Y"])], "pid string, a array<string>")
+    bb = spark.createDataFrame([("p1", ["I", "J"]), ("p2", ["I"])], "pid string, b array<string>")
+    kw2 = dict(kw, left_is_array=True, right_is_array=True)
+    want2 = {("X", "I"): 2, ("Y", "I"): 1, ("X", "J"): 1}
+    assert as_dict(pair_counts(aa, bb, **kw2), "distinct_count") == want2
+    assert as_dict(pair_counts(aa, bb, strategy="join", explode="early", **kw2),
+                   "distinct_count") == want2
