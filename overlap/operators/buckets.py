@@ -131,28 +131,34 @@ def two_phase_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, num_
                     right_name: str = "interest", mode: str = "hll", lg_config_k: int = 13,
                     log2m: int = DEFAULT_LOG2M, regwidth: int = DEFAULT_REGWIDTH,
                     seed: int = DEFAULT_SEED, blank: str = "drop", root: str | None = None,
-                    buckets: list[int] | None = None) -> DataFrame:
+                    buckets: list[int] | None = None, write_inputs: bool = True) -> DataFrame:
     """Bucket to disk, per-bucket partials to staging, merge across buckets.
 
     ``buckets`` limits phase 2 to those bucket ids (re-run of selected buckets): their
     staged partials are replaced, those of other buckets under the same ``root`` are kept
-    and merged too.
+    and merged too. ``write_inputs=False`` reuses the bucketed inputs already under ``root``.
     """
     _check(mode, num_buckets)
+    if not write_inputs and root is None:
+        raise ValueError("write_inputs=False needs the root of an earlier run")
     root = root or scratch_path(spark, "two-phase")
-    lpath, rpath = write_bucketed_inputs(
-        spark, left, right, num_buckets, root, key=key, left_dim=left_dim, right_dim=right_dim,
-        left_is_array=left_is_array, right_is_array=right_is_array, left_name=left_name,
-        right_name=right_name, blank=blank)
+    if write_inputs:
+        lpath, rpath = write_bucketed_inputs(
+            spark, left, right, num_buckets, root, key=key, left_dim=left_dim,
+            right_dim=right_dim, left_is_array=left_is_array, right_is_array=right_is_array,
+            left_name=left_name, right_name=right_name, blank=blank)
+    else:
+        lpath, rpath = f"{root}/left", f"{root}/right"
     lrows = spark.read.parquet(lpath)
     rrows = spark.read.parquet(rpath)
     if buckets is not None:
         wanted = [int(b) for b in buckets]
         lrows = lrows.where(F.col(BUCKET_COL).isin(wanted))
         rrows = rrows.where(F.col(BUCKET_COL).isin(wanted))
-    # rows are already distinct per (key, value): sets per (bucket, key) need no dedup pass
-    ls = lrows.groupBy(BUCKET_COL, key).agg(F.collect_list(left_name).alias(left_name + "_set"))
-    rs = rrows.groupBy(BUCKET_COL, key).agg(F.collect_list(right_name).alias(right_name + "_set"))
+    ls = lrows.groupBy(BUCKET_COL, key).agg(*distinct_set(left_name)).select(
+        BUCKET_COL, key, with_null(left_name + "_set"))
+    rs = rrows.groupBy(BUCKET_COL, key).agg(*distinct_set(right_name)).select(
+        BUCKET_COL, key, with_null(right_name + "_set"))
     rows = _explode_sets(ls, rs, key, left_name, right_name, [BUCKET_COL])
     groups = [left_name, right_name]
     partials = _partial(rows, [BUCKET_COL, *groups], key, mode, lg_config_k, log2m, regwidth,

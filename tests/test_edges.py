@@ -148,3 +148,20 @@ def test_scalar_by_scalar_and_array_by_array(spark):
     assert as_dict(pair_counts(aa, bb, **kw2), "distinct_count") == want2
     assert as_dict(pair_counts(aa, bb, strategy="join", explode="early", **kw2),
                    "distinct_count") == want2
+
+
+def test_null_element_and_rerun_in_bucketed_paths(spark, tmp_path):
+    from overlap.operators.buckets import bucket_by_pairs, bucketed_pairs, two_phase_pairs
+
+    locs = spark.createDataFrame([("a", [None, "P"]), ("b", [None]), ("c", ["P"])], LOC)
+    ints = spark.createDataFrame([("a", "I"), ("b", "I"), ("c", None)], INT)
+    want = {(None, "I"): 2, ("P", "I"): 1, ("P", None): 1}
+    assert as_dict(bucketed_pairs(locs, ints, 3), "distinct_count") == want
+    assert as_dict(bucket_by_pairs(spark, locs, ints, 3), "distinct_count") == want
+    root = str(tmp_path / "tp")
+    assert as_dict(two_phase_pairs(spark, locs, ints, 3, mode="exact", root=root),
+                   "distinct_count") == want
+    # re-run of selected buckets on the staged inputs: same merged answer
+    again = two_phase_pairs(spark, locs, ints, 3, mode="exact", root=root,
+                            buckets=[0, 1, 2], write_inputs=False)
+    assert as_dict(again, "distinct_count") == want
