@@ -32,7 +32,7 @@ def hll_estimate(sketch) -> Column:
 
 def hll_merge(a, b, allow_different_lg_k: bool = False) -> Column:
     """Union of two HLL sketches; different lgK raises unless allowed."""
-    return F.hll_union(_c(a), _c(b), F.lit(allow_different_lg_k))
+    return F.hll_union(_c(a), _c(b), allow_different_lg_k)
 
 
 def empty_hll_bytes(spark, lg_config_k: int = 13) -> bytes:

@@ -289,6 +289,19 @@ def pair_theta_sql(spark, sf_dir):
     return run_pair_sql(spark, *_inputs(spark, sf_dir), "theta", lg_nom=lg_nominal(NOMINAL))
 
 
+def theta_union_merge(spark, sf_dir):
+    """A5: partial theta sketches per (brand, order year), unioned per brand."""
+    from overlap.operators.theta import merge_theta_sets
+    from overlap.schema import key_predicate, sketch_input
+
+    lg = lg_nominal(NOMINAL)
+    rows = fixtures.interests_by_year(spark, sf_dir).where(key_predicate("pid"))
+    partials = rows.groupBy("interest", "year").agg(
+        F.theta_sketch_agg(sketch_input(F.col("pid")), lg).alias("sketch"))
+    merged = merge_theta_sets(partials, dim="interest", lg_nom=lg)
+    return merged.select("interest", theta_estimate("sketch").alias("estimate"))
+
+
 def registry() -> dict[str, Query]:
     return {
         "pair_exact": pair_exact,
@@ -297,6 +310,7 @@ def registry() -> dict[str, Query]:
         "pair_theta": pair_theta,
         "theta_sets_interest": theta_sets_interest,
         "theta_sets_location": theta_sets_location,
+        "theta_union_merge": theta_union_merge,
         "pair_approx": pair_approx,
         "pair_approx_raw": pair_approx_raw,
         "register_hll": register_hll_q,

@@ -60,3 +60,16 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``people(pid string)``: every customer key."""
     return read_table(spark, sf_dir, "customer", "c_custkey").select(
         F.col("c_custkey").cast("string").alias("pid"))
+
+
+def interests_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(pid, interest, year)``: the interests rows with the order year, for partial sketches
+    that are merged later (one sketch per (brand, year) -> per brand)."""
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    lines = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey")
+    part = read_table(spark, sf_dir, "part", "p_partkey", "p_brand")
+    ol = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    return (ol.join(part, ol.l_partkey == part.p_partkey)
+              .select(F.col("o_custkey").cast("string").alias("pid"),
+                      F.col("p_brand").alias("interest"),
+                      F.year("o_orderdate").alias("year")))
