@@ -28,16 +28,23 @@ def daily_sketch_stream(spark: SparkSession, source: str, schema: T.StructType,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(source)
-    # event time must be a TIMESTAMP (not TIMESTAMP_NTZ) for the watermark
+    # The watermark needs a TIMESTAMP; day windows align to UTC midnight. Shift the
+    # wall-clock event time so that it reads as UTC, whatever the session time zone, so
+    # windows are wall-clock days (as ``to_date`` gives in the batch path).
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    event_time = F.col(ts).cast("timestamp")
+    if src.schema[ts].dataType == T.TimestampNTZType():
+        event_time = F.from_utc_timestamp(event_time, tz)
     ev = (src.where(key_predicate(key, blank))
-             .select(F.col(dim), F.col(ts).cast("timestamp").alias("_ts"),
+             .select(F.col(dim), event_time.alias("_ts"),
                      key_column(src, key, blank).alias("_k"))
              .withWatermark("_ts", watermark))
     v = sketch_input(F.col("_k"), blank)
     agg = ev.groupBy(F.window("_ts", "1 day").alias("w"), F.col(dim)).agg(
         F.theta_sketch_agg(v, lg_nom).alias("theta"),
         F.hll_sketch_agg(v, lg_config_k).alias("hll"))
-    return agg.select(F.col(dim), F.to_date(F.col("w.start")).alias("day"), "theta", "hll",
+    day = F.to_date(F.to_utc_timestamp(F.col("w.start"), tz))  # the UTC calendar day
+    return agg.select(F.col(dim), day.alias("day"), "theta", "hll",
                       F.lit(lg_nom).alias("lg_nom"), F.lit(lg_config_k).alias("lg_k"))
 
 
