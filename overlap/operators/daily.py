@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from overlap.operators.registers import (DEFAULT_LOG2M, DEFAULT_REGWIDTH, DEFAULT_SEED,
                                           estimate_registers, merge_registers,
                                           register_columns)
+from overlap.operators.sketch_tree import sketch_aggregate
 from overlap.schema import key_column, key_predicate, sketch_input
 
 KINDS = ("theta", "hll")
@@ -30,20 +31,26 @@ def _daily_rows(df: DataFrame, key: str, dim: str, ts: str, blank: str) -> DataF
 
 def daily_sketches(df: DataFrame, *, key: str = "user_id", dim: str = "event_type",
                    ts: str = "ts", kind: str = "theta", lg_nom: int = 12,
-                   lg_config_k: int = 13, blank: str = "drop") -> DataFrame:
+                   lg_config_k: int = 13, blank: str = "drop",
+                   fanin: int | str = "auto") -> DataFrame:
     """``(dim, day, sketch, lg)``: one sketch of the keys per (value, day).
 
     The sketch parameter is stored with the cell so later merges can check compatibility.
+    When the input is not organised by day, every task feeds every (value, day) cell;
+    ``fanin`` merges those partials in two levels (see sketch_tree).
     """
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
     rows = _daily_rows(df, key, dim, ts, blank)
     v = sketch_input(F.col("_k"), blank)
     if kind == "theta":
-        agg, lg = F.theta_sketch_agg(v, lg_nom), lg_nom
+        build, lg = F.theta_sketch_agg(v, lg_nom), lg_nom
+        merge = lambda c: F.theta_union_agg(c, lg_nom)
     else:
-        agg, lg = F.hll_sketch_agg(v, lg_config_k), lg_config_k
-    return rows.groupBy(dim, "day").agg(agg.alias("sketch")).withColumn("lg", F.lit(lg))
+        build, lg = F.hll_sketch_agg(v, lg_config_k), lg_config_k
+        merge = lambda c: F.hll_union_agg(c, False)
+    return (sketch_aggregate(rows, [dim, "day"], build, merge, "sketch", fanin)
+            .withColumn("lg", F.lit(lg)))
 
 
 def trailing_uniques(daily: DataFrame, *, dim: str = "event_type", days: int = 7,

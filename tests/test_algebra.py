@@ -125,3 +125,12 @@ def test_tree_aggregation_same_result(fx):
     got = as_dict(estimate_hll(hll_pairs(locs.repartition(6), ints, fanin=4), out="n"), "n")
     for k, v in want.items():
         assert abs(got[k] - v) <= max(1, 0.05 * v)
+
+
+def test_daily_tree_aggregation_same_result(spark):
+    ev = spark.read.parquet(f"{SF001}/events.parquet").repartition(6)
+    flat = {(r.event_type, r.day): r.n for r in daily_sketches(ev, fanin=1).select(
+        "event_type", "day", F.theta_sketch_estimate("sketch").alias("n")).collect()}
+    tree = {(r.event_type, r.day): r.n for r in daily_sketches(ev, fanin=3).select(
+        "event_type", "day", F.theta_sketch_estimate("sketch").alias("n")).collect()}
+    assert flat == tree
