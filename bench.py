@@ -24,7 +24,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from overlap.operators import synth  # noqa: E402
-from overlap.operators.accuracy import compare_counts, error_stats  # noqa: E402
+from overlap.operators.accuracy import compare_counts, error_stats, sketch_counts  # noqa: E402
 from overlap.operators.buckets import bucket_by_pairs, two_phase_pairs  # noqa: E402
 from overlap.operators.daily import daily_sketches, trailing_uniques  # noqa: E402
 from overlap.operators.hll import hll_pairs  # noqa: E402
@@ -101,6 +101,26 @@ def run_all(spark, sf_dir: str, out: str, times: dict | None) -> None:
         daily_sketches(ev, kind="theta"), days=7, kind="theta"), "q5"))
 
 
+def accuracy(spark, out: str) -> dict:
+    """Error of each estimating method against the exact synth result, in the reference's
+    metric (symmetric % difference; min / max / avg over pairs) -- compare with BASELINE."""
+    exact = spark.read.parquet(f"{out}/synth_q1")
+    results = {
+        "approx_count_distinct_rsd_0.05": (spark.read.parquet(f"{out}/synth_q2"),
+                                           "approx_pid_count"),
+        f"theta_nominal_{NOMINAL}": (spark.read.parquet(f"{out}/synth_q3"),
+                                     "set_intersection_count"),
+        "hll_lgk_13": (sketch_counts(spark.read.parquet(f"{out}/synth_q4"), out="count"),
+                       "count"),
+        "registers_log2m_13": (spark.read.parquet(f"{out}/synth_q4r"), "estimate"),
+    }
+    errors = {}
+    for name, (df, col) in results.items():
+        r = error_stats(compare_counts(df, exact, count_a=col, count_b="distinct_count")).first()
+        errors[name] = [round(r[0], 5), round(r[1], 5), round(r[2], 5)]
+    return errors
+
+
 def main() -> None:
     spark = local_session(CPUS, shuffle_partitions=max(8, 2 * CPUS), app="overlap-bench")
     root = tempfile.mkdtemp(prefix="overlap-bench-")
@@ -108,12 +128,14 @@ def main() -> None:
     run_all(spark, WARMUP_SF_DIR, f"{root}/warmup", None)
     times: dict[str, float] = {}
     run_all(spark, SF_DIR, f"{root}/run", times)
+    errors = accuracy(spark, f"{root}/run")
     headline = [k for k in times if not k.startswith(("prep_", "cmp_"))]
     total = round(sum(times[k] for k in headline), 3)
     print(json.dumps({"metric": "overlap_total_read_compute_write", "value": total,
                       "unit": "sec", "queries": times, "sf": os.path.basename(SF_DIR.rstrip("/")),
                       "cpus": CPUS, "synth_copies": SYNTH_COPIES,
-                      "excluded_from_total": sorted(k for k in times if k not in headline)}))
+                      "excluded_from_total": sorted(k for k in times if k not in headline),
+                      "error_pct_min_max_avg_vs_exact": errors}))
     spark.stop()
 
 
