@@ -58,3 +58,13 @@ def test_generate_job(spark, tmp_path):
     sizes = {r.s for r in locs.select(F.size(F.array_distinct("locations")).alias("s")).collect()}
     assert sizes == {10}
     assert len(list((tmp_path / "people").glob("part-*.parquet"))) <= 4
+
+
+def test_people_copies_are_distinct_and_deterministic(spark):
+    from overlap.operators import synth
+
+    n = spark.read.parquet(f"{SF001}/customer.parquet").count()
+    a = synth.people(spark, SF001, copies=3)
+    assert a.count() == 3 * n and a.distinct().count() == 3 * n
+    b = synth.people(spark, SF001, copies=3, num_partitions=5)
+    assert sorted(r.pid for r in a.collect()) == sorted(r.pid for r in b.collect())
