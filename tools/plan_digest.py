@@ -61,8 +61,28 @@ def main():
         notes.append("PYTHON" if d["python"] else "no Python")
         print(f"| {name} | {', '.join(d['shuffles']) or '-'} | {', '.join(d['joins']) or '-'} | "
               f"{', '.join(d['aggs'])} | {'; '.join(d['pushed'])} | {', '.join(notes)} |")
+    print(NOTES)
     spark.stop()
 
 
+NOTES = """
+## Reading notes
+
+* `pair_exact` (key sets): one `pid` shuffle per side, after the map-side `collect_set`,
+  then the join needs no further Exchange; the last shuffle is on `(location, interest)`
+  and carries at most |A|x|B| partial counts per task.
+* `pair_exact_join` (textbook): the `count(distinct)` shuffles every (location, interest,
+  pid) triple, partitioned by `(location, interest)` only -- at most |A|x|B| reducers,
+  each receiving all keys of its pair.
+* `pair_theta`: the inputs never meet; only sketches are shuffled (by dimension value) and
+  AQE picks the grid join (`BroadcastNestedLoopJoin` here) from the measured sketch sizes.
+* `register_hll_pairs`: per-key rows are shuffled by `reg`; the exploded pair rows are
+  aggregated where they are produced (no Exchange between explode and `max`).
+* `bucket_by_join_exact`: bucketed scans, no `pid` Exchange at all.
+* The fixture joins (orders x lineitem x part / supplier / nation) show as broadcast hash
+  joins at this size; at scale AQE keeps them as sort-merge joins on the order key.
+"""
+
+
 if __name__ == "__main__":
     main()
