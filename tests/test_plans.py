@@ -57,3 +57,16 @@ def test_theta_grid_from_sketch_tables_only(spark, inputs):
     assert "BroadcastNestedLoopJoin" in plan or "CartesianProduct" in plan
     assert count_nodes(plan, "partial_theta_sketch_agg") == 2
     assert exchanges(plan, "pid") == 0  # the raw rows of the two inputs never meet
+
+
+def test_register_pairs_never_shuffle_exploded_rows(spark, inputs):
+    import re
+
+    from overlap.operators.registers import estimate_registers, register_pairs
+
+    locs, ints = inputs
+    df = estimate_registers(register_pairs(locs, ints), ["location", "interest"])
+    plan = executed_plan(df, final=False)
+    assert exchanges(plan, "reg") == 1
+    # the (pair, reg) aggregate runs where the pair rows are produced
+    assert not re.search(r"Exchange hashpartitioning\(location#\d+, interest#\d+, reg#", plan)
