@@ -21,7 +21,6 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from overlap.operators import synth  # noqa: E402
 from overlap.operators.accuracy import compare_counts, error_stats, sketch_counts  # noqa: E402

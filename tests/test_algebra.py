@@ -7,7 +7,6 @@ import pytest
 from conftest import SF001, as_dict
 from pyspark.sql import functions as F
 
-from overlap.functions.metrics import within_bound
 from overlap.operators.buckets import bucketed_pairs
 from overlap.operators.daily import daily_sketches, trailing_exact, trailing_uniques
 from overlap.operators.hll import estimate_hll, hll_pairs, merge_hll
