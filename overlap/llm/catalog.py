@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+from overlap.llm.block_ann import OP9_SQL, op9_block_matrix_ann
 from overlap.llm.content_sort import OP5_SQL, op5_content_sort_dedup
 from overlap.llm.entropy_mix import op10_entropy_mix
 from overlap.llm.kd_shards import op6_kd_shards
+from overlap.llm.lang_ftrl import op8_lang_ftrl
+from overlap.llm.piece_viterbi import op3_piece_viterbi
+from overlap.llm.toxic_mil import op7_toxic_mil
+from overlap.llm.warc_chain import op1_warc_chain
 
 
 def queries() -> dict:
-    return {"op5_content_sort_dedup": op5_content_sort_dedup,
+    return {"op1_warc_chain": op1_warc_chain,
+            "op3_piece_viterbi": op3_piece_viterbi,
+            "op5_content_sort_dedup": op5_content_sort_dedup,
             "op6_kd_shards": op6_kd_shards,
+            "op7_toxic_mil": op7_toxic_mil,
+            "op8_lang_ftrl": op8_lang_ftrl,
+            "op9_block_matrix_ann": op9_block_matrix_ann,
             "op10_entropy_mix": op10_entropy_mix}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_content_sort_dedup": OP5_SQL}
+    return {"op5_content_sort_dedup": OP5_SQL, "op9_block_matrix_ann": OP9_SQL}

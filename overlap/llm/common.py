@@ -46,7 +46,7 @@ def documents_of(docs: DataFrame, *cols: str) -> DataFrame:
     """``doc_id`` (long) and ``text`` (string) of ``docs``, plus the named further columns."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"),
-                       *[F.col(c) for c in cols])
+                       *cols)
 
 
 def held_out(mod: int, rest: int):

@@ -44,14 +44,6 @@ def _node_column(tree: dict[int, tuple[str, int]], node: int = 1):
         _node_column(tree, 2 * node + 1))
 
 
-def _per_node(values: dict[int, object], kind: str):
-    """A column that maps ``node`` to a constant."""
-    col = F.lit(None).cast(kind)
-    for node, v in values.items():
-        col = F.when(F.col("node") == node, F.lit(v).cast(kind)).otherwise(col)
-    return col
-
-
 def _split_keys(points: DataFrame, want: dict[int, tuple[str, int, int, float]],
                 slack: float) -> dict[int, int]:
     """For node -> (dimension, least key, largest key, bytes wanted on the left): first key of
@@ -60,19 +52,16 @@ def _split_keys(points: DataFrame, want: dict[int, tuple[str, int, int, float]],
     found: dict[int, int] = {}
     while open_:
         shift = {n: max(0, (s["hi"] - s["lo"]).bit_length() - BIN_BITS) for n, s in open_.items()}
-        key = F.lit(None).cast("long")
-        for n, s in open_.items():
-            key = F.when(F.col("node") == n, F.col(s["dim"])).otherwise(key)
-        lo, hi = (_per_node({n: s[k] for n, s in open_.items()}, "long") for k in ("lo", "hi"))
-        step = F.lit(0).cast("long")
-        for n, s in shift.items():
-            step = F.when(F.col("node") == n,
-                          F.shiftright(F.col("key") - F.col("lo"), s)).otherwise(step)
+        search = points.sparkSession.createDataFrame(
+            [(n, DIMS.index(s["dim"]), s["lo"], s["hi"], shift[n]) for n, s in open_.items()],
+            "node int, dim int, lo long, hi long, shift int")
         sums: dict[int, dict[int, int]] = {}
-        binned = (points.withColumns({"key": key, "lo": lo, "hi": hi})
-                  .filter(F.col("node").isin(list(open_)))
-                  .filter((F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi")))
-                  .withColumn("bin", step).groupBy("node", "bin").agg(F.sum("size").alias("w")))
+        binned = (points.join(F.broadcast(search), "node")  # a row for each open node
+                  .withColumn("key", F.when(F.col("dim") == 0, F.col(DIMS[0]))
+                              .otherwise(F.col(DIMS[1])))
+                  .filter(F.col("key").between(F.col("lo"), F.col("hi")))
+                  .withColumn("bin", F.expr("shiftright(key - lo, shift)"))
+                  .groupBy("node", "bin").agg(F.sum("size").alias("w")))
         for r in binned.collect():  # nodes x 2^BIN_BITS sums at most
             sums.setdefault(r["node"], {})[r["bin"]] = r["w"]
         for n, s in list(open_.items()):
@@ -134,8 +123,9 @@ def kd_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     points = staged(_points(docs), "kd-points")
     tree, first = _grow(points, shards)
-    placed = (points.withColumn("node", _node_column(tree))
-              .select("doc_id", "size", "text_crc32", _per_node(first, "int").alias("shard")))
+    leaves = docs.sparkSession.createDataFrame(list(first.items()), "node int, shard int")
+    placed = (points.withColumn("node", _node_column(tree)).join(F.broadcast(leaves), "node")
+              .select("doc_id", "size", "text_crc32", "shard"))
     # slots: rows are laid out by (shard, id) over ranges; a row's place is its range's offset
     # within the shard plus its place in the range, so no shard is gathered in one task
     laid = staged(placed.repartitionByRange("shard", "doc_id", "text_crc32")
