@@ -8,13 +8,17 @@ from overlap.llm.entropy_mix import op10_entropy_mix
 from overlap.llm.kd_shards import op6_kd_shards
 from overlap.llm.lang_ftrl import op8_lang_ftrl
 from overlap.llm.piece_viterbi import op3_piece_viterbi
+from overlap.llm.suffix_dedup import op2_suffix_dedup
+from overlap.llm.token_groups import OP4_SQL, op4_token_groups
 from overlap.llm.toxic_mil import op7_toxic_mil
 from overlap.llm.warc_chain import op1_warc_chain
 
 
 def queries() -> dict:
     return {"op1_warc_chain": op1_warc_chain,
+            "op2_suffix_dedup": op2_suffix_dedup,
             "op3_piece_viterbi": op3_piece_viterbi,
+            "op4_token_groups": op4_token_groups,
             "op5_content_sort_dedup": op5_content_sort_dedup,
             "op6_kd_shards": op6_kd_shards,
             "op7_toxic_mil": op7_toxic_mil,
@@ -24,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_content_sort_dedup": OP5_SQL, "op9_block_matrix_ann": OP9_SQL}
+    return {"op4_token_groups": OP4_SQL, "op5_content_sort_dedup": OP5_SQL, "op9_block_matrix_ann": OP9_SQL}
