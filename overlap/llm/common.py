@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from overlap.session import scratch_path
@@ -49,6 +49,35 @@ def documents_of(docs: DataFrame, *cols: str) -> DataFrame:
                        *cols)
 
 
+def text_hash():
+    """A hash of the whole text: with the id it names a row of ``documents``."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, **keys: Column) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` occur in ``kept`` (null equals null), one for each key.
+
+    ``kept`` may have a column ``copies``: how often its row is given, 0 or null for never.
+    """
+    names = {k: f"__keep_{k}" for k in keys}
+    wanted = kept.select(*[F.col(k).alias(f"__want_{k}") for k in keys],
+                         (F.col("copies") if "copies" in kept.columns else F.lit(1)).cast("int")
+                         .alias("__copies"))
+    wanted = wanted.groupBy(*[f"__want_{k}" for k in keys]).agg(F.sum("__copies").alias("__copies"))
+    if "copies" not in kept.columns:
+        wanted = wanted.withColumn("__copies", F.lit(1))
+    same = None
+    for k, name in names.items():
+        one = F.col(name).eqNullSafe(F.col(f"__want_{k}"))
+        same = one if same is None else same & one
+    order = Window.partitionBy(*names.values()).orderBy(*[F.col(c) for c in docs.columns])
+    return (docs.withColumns({names[k]: c for k, c in keys.items()}).join(wanted, same)
+            .withColumn("__nth", F.row_number().over(order)).filter("__nth = 1")
+            .filter(F.col("__copies") > 0)
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+            .select(*docs.columns))
+
+
 def held_out(mod: int, rest: int):
     """True where crc32 of the document id as text leaves ``rest``; a null id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))

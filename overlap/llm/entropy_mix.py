@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from overlap.llm.common import WORD, documents_of, staged
+from overlap.llm.common import WORD, documents_of, staged, text_hash
 
 WEIGHTS = (3, 1, 2)
 SALTS = 256
@@ -109,7 +109,7 @@ def entropy_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFr
     if cap != int(cap):
         raise ValueError("cap must be a whole number of copies")
     sized = staged(documents_of(docs, "source").select(
-        "doc_id", F.col("source").cast("string").alias("source"),
+        "doc_id", F.col("source").cast("string").alias("source"), text_hash().alias("text_hash"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("words")),
         "mix-sizes")
     totals = [(r["source"], r["size"], r["n"]) for r in sized.groupBy("source").agg(
@@ -122,7 +122,7 @@ def entropy_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFr
     salted = (sized.join(F.broadcast(ids.withColumnRenamed("source", "src")),
                          F.col("source").eqNullSafe(F.col("src")))
               .withColumn("u", F.xxhash64(F.lit(11), "doc_id"))
-              .select("doc_id", "sid", "words", "u", F.pmod("u", F.lit(SALTS)).cast("int").alias("salt")))
+              .select("doc_id", "text_hash", "sid", "words", "u", F.pmod("u", F.lit(SALTS)).cast("int").alias("salt")))
     parts = staged(salted.groupBy("sid", "words", "salt").agg(F.count("*").alias("n")), "mix-parts")
     classes = staged(parts.groupBy("sid", "words").agg(F.sum("n").alias("n")), "mix-classes")
     _solve(classes, sources, cap)
@@ -143,13 +143,15 @@ def entropy_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFr
     quota = (parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
              .join(copies, ["sid", "words"])
              .select("sid", "words", "salt", "whole", (F.col("extra") - F.col("before")).alias("left")))
-    rank = F.row_number().over(Window.partitionBy("sid", "words", "salt").orderBy("u", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("sid", "words", "salt").orderBy(
+        "u", "doc_id", "text_hash"))
     return (salted.withColumn("rank", rank).join(quota, ["sid", "words", "salt"])
             .withColumn("copies", F.col("whole") + (F.col("rank") <= F.col("left")).cast("int"))
             .join(F.broadcast(solved), "sid")
             .withColumn("rate", rate)
             .select("doc_id", F.col("words").alias("size"), "source_size", "target",
-                    (F.col("words") * F.col("copies")).alias("taken"), "copies", "rate"))
+                    (F.col("words") * F.col("copies")).alias("taken"), "copies", "rate",
+                    "text_hash"))
 
 
 def op10_entropy_mix(spark, sf_dir: str) -> DataFrame:

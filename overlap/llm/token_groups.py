@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from overlap.llm.common import (documents_of, lower_bytes, mix, prefix_hash, slices, span_hash,
-                                staged, words_of)
+                                staged, text_hash, words_of)
 from overlap.llm.components import components
 
 CHUNK = 32
@@ -124,7 +124,8 @@ def _rows(width: int, percent: int, signatures: bool):
                 nodes = pa.array([_node(s) if len(s) else None for s in sets], pa.int64())
                 if not signatures:
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": part.column("doc_id"), "node": nodes,
+                        "doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"),
+                        "node": nodes,
                         "n": pa.array([len(s) for s in sets], pa.int32())})
                     continue
                 sigs = {node: classes.signatures(s) for node, s in zip(nodes.to_pylist(), sets)
@@ -206,11 +207,11 @@ def _buckets(d: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    """doc_id, n_shingles, component_id (and the text's hash) for every row of ``docs``."""
     d = documents_of(docs)
     named = d.filter(F.col("doc_id").isNotNull())
-    rows = staged(d.mapInArrow(_rows(width, percent, False), "doc_id long, node long, n int"),
-                  "shingle-rows")
+    rows = staged(d.withColumn("text_hash", text_hash()).mapInArrow(
+        _rows(width, percent, False), "doc_id long, text_hash long, node long, n int"), "shingle-rows")
     reps = (rows.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
             .groupBy("node").agg(F.min("doc_id").alias("rep")))
     buckets = staged(_buckets(named, width, percent).join(reps, "node"), "buckets")
@@ -232,7 +233,8 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     labels = labels.join(least_doc, "component").select("node", "component_id")
     return rows.join(labels, "node", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        "text_hash")
 
 
 def op4_token_groups(spark, sf_dir: str) -> DataFrame:
