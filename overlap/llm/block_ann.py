@@ -1,7 +1,8 @@
 """Nearest neighbours of a stated query set by a block matrix join on int8 tiles.
 
-Vectors are packed into blocks. Every candidate block meets every block of queries once (a
-join on the query block's number). A tile multiplies int8 codes; the codes' rounding errors
+Vectors are packed into blocks. Every candidate block meets every block of queries once: a join
+on the query block's number and the candidate block's shard (``SHARD_BLOCKS`` blocks or so), so
+a task holds some tiles and not a whole row of the matrix. A tile multiplies int8 codes; the codes' rounding errors
 are known norms, so each product bounds the true distance on both sides, and only pairs whose
 lower bound reaches the k-th smallest upper bound of their query survive. Survivors are
 recomputed in double precision on the original vectors, in component order, and each task
@@ -27,6 +28,7 @@ from overlap.llm.common import staged
 
 BLOCK_ROWS = 1024
 QUERY_BLOCK_ROWS = 1024
+SHARD_BLOCKS = 32
 MARGIN = 1e-9
 
 _BLOCK = "block long, n int, ids binary, vecs binary"
@@ -132,7 +134,6 @@ def block_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10) -> Da
         return empty
     dim = dims[0]["dim"]
     sound = sound.filter(F.col("dim") == dim).select("vec_id", "vec")
-    blocks = sound.mapInArrow(_pack(BLOCK_ROWS), _BLOCK)
     queries = sound.filter(F.col("vec_id") % every == 0)
     parts = -(-queries.count() // QUERY_BLOCK_ROWS)
     if not parts:
@@ -141,11 +142,15 @@ def block_neighbours(embeddings: DataFrame, every: int = 100, k: int = 10) -> Da
                    .select("block", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs")),
                    "ann-queries")
     # query blocks get dense numbers (one number for up to QUERY_BLOCK_ROWS queries)
+    shards = -(-sound.count() // (BLOCK_ROWS * SHARD_BLOCKS))
+    blocks = sound.mapInArrow(_pack(BLOCK_ROWS), _BLOCK).withColumn(
+        "shard", F.pmod(F.xxhash64("block"), F.lit(shards)))
     numbers = {r["block"]: i for i, r in enumerate(asked.select("block").sort("block").collect())}
     dense = spark.createDataFrame(list(numbers.items()), "block long, q_block long")
     tiles = (blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(len(numbers) - 1))
                                                     .cast("array<long>")))
-             .join(asked.join(dense, "block").drop("block"), "q_block")
+             .join(asked.join(dense, "block").drop("block").withColumn("shard", F.explode(F.sequence(
+                 F.lit(0), F.lit(shards - 1)).cast("array<long>"))), ["q_block", "shard"])
              .select("q_block", "q_ids", "q_vecs", "ids", "vecs"))
     hits = tiles.mapInArrow(_search(k, dim), "query_id long, query_row long, vec_id long, score double")
     best = (hits.groupBy("query_id", "query_row").agg(F.slice(F.array_sort(F.collect_list(
@@ -164,7 +169,9 @@ WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(
+                     list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])),
+                     lambda a, b: a + b)) AS score
            FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
      r AS (SELECT query_id, vec_id, score,
                   row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM s)
