@@ -38,7 +38,7 @@ def _points(docs: DataFrame) -> DataFrame:
 def _node_column(tree: dict[int, tuple[str, int]], node: int = 1):
     """The node of a row: tree maps an inner node to (dimension, first key of its right side)."""
     if node not in tree:
-        return F.lit(node)
+        return F.when(F.col("size").isNotNull(), F.lit(node))
     dim, key = tree[node]
     return F.when(F.col(dim) < key, _node_column(tree, 2 * node)).otherwise(
         _node_column(tree, 2 * node + 1))
