@@ -8,11 +8,13 @@ union. Three forms:
   per-pair aggregate, merged afterwards. Spark's shuffle already does the partitioning the
   reference did by hand, and any failure fails the query (no silent lost bucket).
 * ``two_phase_pairs`` -- the physical layout: both inputs written partitioned by bucket
-  (S6), per-bucket partial results written to a staging folder, then merged (A11). The
-  staged partials are restartable, and ``buckets=`` re-runs selected buckets only
-  (partition pruning, S2) -- useful when one bucket failed or the inputs changed.
+  (S6), per-bucket partial results written to a staging folder, then merged (A11). Each run
+  stages under its own id; a manifest says which run holds which bucket and with which
+  parameters. ``buckets=`` re-runs selected buckets only (partition pruning, S2): they count
+  as replaced even where they came out empty, and other parameters raise.
 * ``bucket_by_pairs`` -- catalog tables bucketed and sorted by the key (S7); the key
-  sets and the join read them with no Exchange (J4).
+  sets and the join read them with no Exchange (J4). The tables are dropped from the catalog
+  once the plan is made (S8); their files stay for it.
 
 Scratch data lives under the shared checkpoint folder, in fresh per-run folders.
 """
@@ -25,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from overlap.functions.keys import bucket_of
+from overlap.operators.sketch_tree import sketch_aggregate, sketch_merge
 from overlap.operators.pairs import distinct_set, key_sets, with_null
 from overlap.operators.registers import (DEFAULT_LOG2M, DEFAULT_REGWIDTH, DEFAULT_SEED,
-                                          merge_registers, register_columns)
+                                          merge_registers, register_columns, sketch_spec)
 from overlap.schema import key_column, key_predicate, sketch_input
 from overlap.session import scratch_path
-from overlap.sources.sinks import write_bucketed_table, write_partitioned
+from overlap.sources.sinks import drop_table, write_bucketed_table, write_partitioned
 
 BUCKET_COL = "bucket_by_pid"
 MODES = ("exact", "hll", "registers")
@@ -41,16 +44,26 @@ def with_bucket(df: DataFrame, key: str, num_buckets: int, col: str = BUCKET_COL
     return df.withColumn(col, bucket_of(key, num_buckets))
 
 
+def _hll_union(c):
+    return F.hll_union_agg(c, False)
+
+
+def _per_key(mode: str, key: str, log2m: int, regwidth: int, seed: int) -> dict:
+    """What a partial needs of a key; computed once per key, before the pairs are exploded."""
+    if mode != "registers":
+        return {}
+    return register_columns(F.col(key), log2m=log2m, regwidth=regwidth, seed=seed)
+
+
 def _partial(rows: DataFrame, groups: list[str], key: str, mode: str, lg_config_k: int,
-             log2m: int, regwidth: int, seed: int, blank: str) -> DataFrame:
+             blank: str) -> DataFrame:
     """Per-group partial result of already deduplicated (key, a, b) rows."""
     if mode == "exact":
         return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("distinct_count"))
     if mode == "hll":
-        return rows.groupBy(*groups).agg(
-            F.hll_sketch_agg(sketch_input(F.col(key), blank), lg_config_k).alias("hll_bytes"))
-    cols = register_columns(F.col(key), log2m=log2m, regwidth=regwidth, seed=seed)
-    return merge_registers(rows.withColumns(cols), groups)
+        return sketch_aggregate(rows, groups, F.hll_sketch_agg(
+            sketch_input(F.col(key), blank), lg_config_k), _hll_union, "hll_bytes")
+    return merge_registers(rows, groups)
 
 
 def _merge(partials: DataFrame, groups: list[str], mode: str) -> DataFrame:
@@ -59,14 +72,15 @@ def _merge(partials: DataFrame, groups: list[str], mode: str) -> DataFrame:
         return partials.groupBy(*groups).agg(F.sum("distinct_count").cast("bigint")
                                              .alias("distinct_count"))
     if mode == "hll":
-        return partials.groupBy(*groups).agg(F.hll_union_agg("hll_bytes", False)
-                                             .alias("hll_bytes"))
+        return sketch_merge(partials, groups, _hll_union, "hll_bytes", "hll_bytes")
     return merge_registers(partials, groups)
 
 
 def _explode_sets(ls: DataFrame, rs: DataFrame, key: str, left_name: str, right_name: str,
-                  carry: list[str]) -> DataFrame:
-    j = ls.join(rs, [*carry, key])
+                  on: list[str], per_key: dict) -> DataFrame:
+    """(on..., key, a, b, per_key...) rows; ``per_key`` columns are made before the explode."""
+    j = ls.join(rs, [*on, key]).withColumns(per_key)
+    carry = [*on, *per_key]
     return (j.select(*carry, key, F.explode(left_name + "_set").alias(left_name),
                      right_name + "_set")
              .select(*carry, key, left_name, F.explode(right_name + "_set").alias(right_name)))
@@ -93,11 +107,10 @@ def bucketed_pairs(left: DataFrame, right: DataFrame, num_buckets: int, *, key:
     _check(mode, num_buckets)
     ls = key_sets(left, key, left_dim, left_name, left_is_array, blank)
     rs = key_sets(right, key, right_dim, right_name, right_is_array, blank)
-    rows = _explode_sets(ls, rs, key, left_name, right_name, [])
-    rows = with_bucket(rows, key, num_buckets)
+    rows = _explode_sets(ls, rs, key, left_name, right_name, [], {
+        BUCKET_COL: bucket_of(key, num_buckets), **_per_key(mode, key, log2m, regwidth, seed)})
     groups = [left_name, right_name]
-    partials = _partial(rows, [BUCKET_COL, *groups], key, mode, lg_config_k, log2m, regwidth,
-                        seed, blank)
+    partials = _partial(rows, [BUCKET_COL, *groups], key, mode, lg_config_k, blank)
     return partials if keep_buckets else _merge(partials, groups, mode)
 
 
@@ -159,13 +172,49 @@ def two_phase_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, num_
         BUCKET_COL, key, with_null(left_name + "_set"))
     rs = rrows.groupBy(BUCKET_COL, key).agg(*distinct_set(right_name)).select(
         BUCKET_COL, key, with_null(right_name + "_set"))
-    rows = _explode_sets(ls, rs, key, left_name, right_name, [BUCKET_COL])
+    rows = _explode_sets(ls, rs, key, left_name, right_name, [BUCKET_COL],
+                         _per_key(mode, key, log2m, regwidth, seed))
     groups = [left_name, right_name]
-    partials = _partial(rows, [BUCKET_COL, *groups], key, mode, lg_config_k, log2m, regwidth,
-                        seed, blank)
-    staging = f"{root}/staging"
-    write_partitioned(partials, staging, BUCKET_COL, dynamic=buckets is not None)
-    return _merge(spark.read.parquet(staging), groups, mode)
+    partials = _partial(rows, [BUCKET_COL, *groups], key, mode, lg_config_k, blank)
+    params = {"exact": mode, "hll": f"{mode} lg_config_k={lg_config_k}",
+              "registers": f"{mode} {sketch_spec(log2m, regwidth, seed)}"}[mode]
+    params += f" num_buckets={num_buckets} {key}:{left_name}x{right_name} blank={blank}"
+    return _merge(_staged(spark, partials, root, params, num_buckets, buckets), groups, mode)
+
+
+_MANIFEST = "run string, seq int, bucket int, params string"
+
+
+def _staged(spark: SparkSession, partials: DataFrame, root: str, params: str, num_buckets: int,
+            buckets: list[int] | None) -> DataFrame:
+    """Writes the partials as a run of their own; the latest partials of every bucket.
+
+    The manifest has one row for each run and bucket, so it is read on the driver.
+    """
+    path = f"{root}/manifest"
+    known = []
+    if buckets is not None:
+        known = [tuple(r) for r in spark.read.schema(_MANIFEST).parquet(path).collect()]
+        others = {p for *_, p in known if p != params}
+        if others:
+            raise ValueError(f"buckets staged with {sorted(others)} cannot be merged with {params}")
+    run, seq = uuid.uuid4().hex[:12], 1 + max((s for _, s, _, _ in known), default=0)
+    write_partitioned(partials, f"{root}/staging/{run}", BUCKET_COL)
+    mine = range(num_buckets) if buckets is None else sorted({int(b) for b in buckets})
+    rows = [(run, seq, b, params) for b in mine]
+    # written last: a run that failed before is not in the manifest
+    spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode(
+        "overwrite" if buckets is None else "append").parquet(path)
+    latest: dict[int, tuple[int, str]] = {}
+    for r, s, b, _ in [*known, *rows]:
+        latest[b] = max(latest.get(b, (0, "")), (s, r))
+    schema, out = partials.schema, None
+    for r in sorted({r for _, r in latest.values()}):
+        its = [b for b, (_, of) in latest.items() if of == r]
+        part = (spark.read.schema(schema).parquet(f"{root}/staging/{r}")
+                .where(F.col(BUCKET_COL).isin(its)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def bucket_by_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, num_buckets: int,
@@ -178,6 +227,9 @@ def bucket_by_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, num_
                     root: str | None = None, sort: bool = True) -> DataFrame:
     """Co-bucketed tables; key sets and join run without any Exchange.
 
+    Rows are deduplicated per (key, value) before they are written, so a repeated key does
+    not fill one bucket's task with copies.
+
     Table names are unique per run (the tables live in the session catalog, their files
     under ``root``), so concurrent runs never overwrite each other.
     """
@@ -189,7 +241,7 @@ def bucket_by_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, num_
                                        (right, right_dim, right_is_array, right_name, "right")):
         v = F.explode(F.col(dim)) if is_arr else F.col(dim)
         rows = (df.where(key_predicate(key, blank))
-                  .select(key_column(df, key, blank).alias(key), v.alias(name)))
+                  .select(key_column(df, key, blank).alias(key), v.alias(name)).distinct())
         table = f"overlap_bucketed_{tag}_{suffix}"
         write_bucketed_table(rows, table, num_buckets, key, f"{root}/{tag}", sort=sort)
         tables.append(table)
@@ -197,6 +249,9 @@ def bucket_by_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, num_
     ls = lt.groupBy(key).agg(*distinct_set(left_name)).select(key, with_null(left_name + "_set"))
     rs = rt.groupBy(key).agg(*distinct_set(right_name)).select(key,
                                                                with_null(right_name + "_set"))
-    rows = _explode_sets(ls.hint("merge"), rs, key, left_name, right_name, [])
-    groups = [left_name, right_name]
-    return _partial(rows, groups, key, mode, lg_config_k, log2m, regwidth, seed, blank)
+    rows = _explode_sets(ls.hint("merge"), rs, key, left_name, right_name, [],
+                         _per_key(mode, key, log2m, regwidth, seed))
+    out = _partial(rows, [left_name, right_name], key, mode, lg_config_k, blank)
+    for table in tables:  # the plan holds the tables' files and layout, not their names
+        drop_table(spark, table)
+    return out

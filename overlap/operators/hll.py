@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overlap.operators.pairs import pair_rows
-from overlap.operators.sketch_tree import sketch_aggregate
+from overlap.operators.sketch_tree import FANIN, sketch_aggregate, sketch_merge
 from overlap.schema import sketch_input
 
 DEFAULT_LG_K = 13
@@ -25,7 +25,7 @@ def _check_lg_k(lg_k: int) -> None:
 
 def hll_sets(df: DataFrame, groups: list[str], key: str = "pid", *,
              lg_config_k: int = DEFAULT_LG_K, blank: str = "drop",
-             out: str = "hll_bytes", fanin: int | str = "auto") -> DataFrame:
+             out: str = "hll_bytes", fanin: int = FANIN) -> DataFrame:
     """``(groups..., hll_bytes)`` -- one HLL sketch of ``key`` per group."""
     from overlap.schema import key_column, key_predicate
 
@@ -42,14 +42,19 @@ def hll_pairs(left: DataFrame, right: DataFrame, *, key: str = "pid",
               left_name: str = "location", right_name: str = "interest",
               lg_config_k: int = DEFAULT_LG_K, blank: str = "drop",
               strategy: str = "keysets", explode: str = "late",
-              extra_groups: list[str] | None = None, fanin: int | str = "auto") -> DataFrame:
-    """Q4: ``(left_name, right_name, hll_bytes)`` for every co-occurring pair."""
+              extra_groups: list[str] | None = None, fanin: int = FANIN) -> DataFrame:
+    """Q4: ``(left_name, right_name, hll_bytes)`` for every co-occurring pair.
+
+    ``extra_groups`` are columns of ``right`` (e.g. the day an interest was seen): one
+    sketch per pair and value of them.
+    """
     _check_lg_k(lg_config_k)
+    extra = list(extra_groups or [])
     rows = pair_rows(left, right, key=key, left_dim=left_dim, right_dim=right_dim,
                      left_is_array=left_is_array, right_is_array=right_is_array,
                      left_name=left_name, right_name=right_name, strategy=strategy,
-                     explode=explode, blank=blank)
-    return sketch_aggregate(rows, [*(extra_groups or []), left_name, right_name],
+                     explode=explode, blank=blank, extra=extra)
+    return sketch_aggregate(rows, [*extra, left_name, right_name],
                             F.hll_sketch_agg(sketch_input(F.col(key), blank), lg_config_k),
                             lambda c: F.hll_union_agg(c, False), "hll_bytes", fanin)
 
@@ -57,7 +62,7 @@ def hll_pairs(left: DataFrame, right: DataFrame, *, key: str = "pid",
 def merge_hll(df: DataFrame, groups: list[str], col: str = "hll_bytes", *,
               allow_different_lg_k: bool = False, out: str = "hll_bytes") -> DataFrame:
     """Union of stored HLL sketches per group (null cells are empty sketches)."""
-    return df.groupBy(*groups).agg(F.hll_union_agg(F.col(col), allow_different_lg_k).alias(out))
+    return sketch_merge(df, groups, lambda c: F.hll_union_agg(c, allow_different_lg_k), col, out)
 
 
 def estimate_hll(df: DataFrame, col: str = "hll_bytes", out: str = "count",

@@ -29,11 +29,11 @@ EXPLODE = ("late", "early")
 
 
 def _values(df: DataFrame, key: str, dim: str, is_array: bool, name: str,
-            blank: str) -> DataFrame:
+            blank: str, extra: list[str] | None = None) -> DataFrame:
     """(key, dim value) rows, blank keys dropped; arrays exploded (null/empty -> no rows)."""
     v = F.explode(F.col(dim)) if is_array else F.col(dim)
     return df.where(key_predicate(key, blank)).select(key_column(df, key, blank).alias(key),
-                                                      v.alias(name))
+                                                      *(extra or []), v.alias(name))
 
 
 def distinct_set(value: str) -> tuple[Column, Column]:
@@ -49,13 +49,15 @@ def with_null(out: str) -> Column:
 
 
 def key_sets(df: DataFrame, key: str, dim: str, name: str, is_array: bool = False,
-             blank: str = "drop") -> DataFrame:
-    """``(key, <name>_set)``: one row per key with its distinct values of ``dim``.
+             blank: str = "drop", extra: list[str] | None = None) -> DataFrame:
+    """``(key, *extra, <name>_set)``: one row per key with its distinct values of ``dim``.
 
     A null value is kept as its own group, like GROUP BY does.
     """
-    rows = _values(df, key, dim, is_array, name, blank)
-    return rows.groupBy(key).agg(*distinct_set(name)).select(key, with_null(name + "_set"))
+    extra = extra or []
+    rows = _values(df, key, dim, is_array, name, blank, extra)
+    return rows.groupBy(key, *extra).agg(*distinct_set(name)).select(key, *extra,
+                                                                     with_null(name + "_set"))
 
 
 def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
@@ -64,29 +66,31 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
               left_name: str = "location", right_name: str = "interest",
               strategy: str = "keysets", explode: str = "late", blank: str = "drop",
               per_key: dict[str, Column] | None = None,
-              partition_by: str | None = None) -> DataFrame:
+              partition_by: str | None = None,
+              extra: list[str] | None = None) -> DataFrame:
     """``(key, left_name, right_name, *per_key)`` rows of the key join.
 
     With ``strategy="keysets"`` every (key, a, b) occurs exactly once. ``per_key`` columns
     are computed once per key (before the explode) from the normalised key column.
     ``partition_by`` (a per-key column) re-partitions the one-row-per-key join output on it
     *before* the explode, so an aggregate grouped by (..., that column) is complete within
-    each task and needs no shuffle of the exploded rows (keysets strategy only).
+    each task and needs no shuffle of the exploded rows (keysets strategy only). ``extra``
+    columns of ``right`` are carried along; a key then has one set for each value of them.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     if explode not in EXPLODE:
         raise ValueError(f"explode must be one of {EXPLODE}")
-    per_key = per_key or {}
+    per_key, carried = per_key or {}, list(extra or [])
     if strategy == "keysets":
         ls = key_sets(left, key, left_dim, left_name, left_is_array, blank)
-        rs = key_sets(right, key, right_dim, right_name, right_is_array, blank)
+        rs = key_sets(right, key, right_dim, right_name, right_is_array, blank, carried)
         j = ls.join(rs, key)
         if per_key:
             j = j.withColumns(per_key)
         if partition_by:
             j = j.repartition(partition_by)
-        extra = list(per_key)
+        extra = [*carried, *per_key]
         return (j.select(key, *extra, F.explode(left_name + "_set").alias(left_name),
                          right_name + "_set")
                  .select(key, left_name, F.explode(right_name + "_set").alias(right_name),
@@ -94,18 +98,18 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
     # strategy == "join"
     if explode == "early" or not left_is_array:
         lv = _values(left, key, left_dim, left_is_array, left_name, blank)
-        rv = _values(right, key, right_dim, right_is_array, right_name, blank)
+        rv = _values(right, key, right_dim, right_is_array, right_name, blank, carried)
         j = rv.join(lv, key)
         if per_key:
             j = j.withColumns(per_key)
-        return j.select(key, left_name, right_name, *per_key)
-    rv = _values(right, key, right_dim, right_is_array, right_name, blank)
+        return j.select(key, left_name, right_name, *carried, *per_key)
+    rv = _values(right, key, right_dim, right_is_array, right_name, blank, carried)
     lrows = left.where(key_predicate(key, blank)).select(
         key_column(left, key, blank).alias(key), F.col(left_dim).alias("_arr"))
     j = rv.join(lrows, key)
     if per_key:
         j = j.withColumns(per_key)
-    return j.select(key, F.explode("_arr").alias(left_name), right_name, *per_key)
+    return j.select(key, F.explode("_arr").alias(left_name), right_name, *carried, *per_key)
 
 
 def pair_counts(left: DataFrame, right: DataFrame, *, key: str = "pid",

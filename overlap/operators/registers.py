@@ -22,6 +22,9 @@ from overlap.schema import key_column, key_predicate
 # Fixed defaults of the sketch being replaced: log2m 13, register width 4, hash seed 2131319.
 DEFAULT_LOG2M = 13
 DEFAULT_REGWIDTH = 4
+# Width 4 caps ranks at 15, which biases estimates above some ten million keys a group; width 6
+# holds every rank (33 at most). Stored tables and path-to-path jobs use the wide one.
+WIDE_REGWIDTH = 6
 DEFAULT_SEED = 2131319
 
 
@@ -55,9 +58,45 @@ def register_hll(df: DataFrame, groups: list[str], key: str = "pid", *,
     return merge_registers(rows, groups)
 
 
+def sketch_spec(log2m: int, regwidth: int, seed: int) -> str:
+    """Names what two register tables must share to be merged."""
+    return f"log2m={log2m} regwidth={regwidth} seed={seed}"
+
+
+def with_spec(regs: DataFrame, *, log2m: int = DEFAULT_LOG2M, regwidth: int = DEFAULT_REGWIDTH,
+              seed: int = DEFAULT_SEED) -> DataFrame:
+    """Register rows with the parameters they were built with, for storing (column ``spec``)."""
+    return regs.withColumn("spec", F.lit(sketch_spec(log2m, regwidth, seed)))
+
+
+def _one_spec(value: Column) -> Column:
+    """``value``, or an error where the rows of a group have different specs."""
+    mixed = F.concat(F.lit("register tables cannot be merged: "), F.min("spec"), F.lit(" and "),
+                     F.max("spec"))
+    return F.when(F.min("spec").eqNullSafe(F.max("spec")), value).otherwise(
+        F.raise_error(mixed).cast("bigint"))
+
+
 def merge_registers(df: DataFrame, groups: list[str]) -> DataFrame:
-    """Union of register tables (any partition of the input, any order, same result)."""
-    return df.groupBy(*groups, "reg").agg(F.max("rho").alias("rho"))
+    """Union of register tables (any partition of the input, any order, same result).
+
+    Tables with a ``spec`` column keep it, and rows of different specs raise.
+    """
+    if "spec" not in df.columns:
+        return df.groupBy(*groups, "reg").agg(F.max("rho").alias("rho"))
+    return df.groupBy(*groups, "reg").agg(_one_spec(F.max("rho")).cast("int").alias("rho"),
+                                          F.max("spec").alias("spec"))
+
+
+def estimate_columns(present: Column, zsum: Column, log2m: int) -> Column:
+    """The estimate from the number of non-empty registers and the sum of their 2^-rho."""
+    m = float(1 << log2m)
+    alpha = 0.7213 / (1.0 + 1.079 / m)
+    empty = F.lit(m) - present
+    raw = F.lit(alpha * m * m) / (zsum + empty)
+    est = F.when((raw <= F.lit(2.5 * m)) & (empty > F.lit(0.0)),
+                 F.lit(m) * F.log(F.lit(m) / empty)).otherwise(raw)
+    return F.round(est).cast("bigint")
 
 
 def estimate_registers(df: DataFrame, groups: list[str], *, log2m: int = DEFAULT_LOG2M,
@@ -66,16 +105,17 @@ def estimate_registers(df: DataFrame, groups: list[str], *, log2m: int = DEFAULT
 
     m = 2^log2m, V = empty registers, Z = sum 2^-rho + V, E = alpha m^2 / Z with
     alpha = 0.7213 / (1 + 1.079/m); when E <= 2.5 m and V > 0 use linear counting m ln(m/V).
+    Tables with a ``spec`` column must have one spec in a group, with this ``log2m``.
     """
-    m = float(1 << log2m)
-    alpha = 0.7213 / (1.0 + 1.079 / m)
-    g = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_present"),
+    present = F.count(F.lit(1))
+    if "spec" in df.columns:
+        wrong = ~F.max("spec").startswith(f"log2m={log2m} ")
+        present = F.when(wrong, F.raise_error(F.concat(
+            F.lit(f"registers cannot be estimated with log2m={log2m}: "), F.max("spec")))
+            .cast("bigint")).otherwise(_one_spec(present))
+    g = df.groupBy(*groups).agg(present.alias("_present"),
                                 F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("_zsum"))
-    empty = F.lit(m) - F.col("_present")
-    raw = F.lit(alpha * m * m) / (F.col("_zsum") + empty)
-    est = F.when((raw <= F.lit(2.5 * m)) & (empty > F.lit(0.0)),
-                 F.lit(m) * F.log(F.lit(m) / empty)).otherwise(raw)
-    return g.select(*groups, F.round(est).cast("bigint").alias(out))
+    return g.select(*groups, estimate_columns(F.col("_present"), F.col("_zsum"), log2m).alias(out))
 
 
 def singleton(df: DataFrame, key: str = "pid", *, log2m: int = DEFAULT_LOG2M,

@@ -1,52 +1,39 @@
-"""Two-level (tree) sketch aggregation for groups that every map task contributes to.
-
-A sketch aggregate ``groupBy(g).agg(sketch(x))`` is partially aggregated map-side, but
-the final stage still has one reducer per group, and each must merge one partial sketch
-from *every* map task. With few groups (dimension values, pairs) and many tasks that is a
-handful of reducers reading tasks x sketch-size bytes each -- a hot value holding a third
-of the rows changes nothing, since partials are already one per task and group.
-
-With ``fanin = S > 1`` the first level groups by ``(g, partition_id mod S)``: the same
-partial sketches are shuffled, but to ``groups x S`` reducers that each merge about
-``tasks / S`` of them; the second level merges at most ``S`` sketches per group. The
-partition id is stable across task retries, so the result does not depend on failures.
+"""Sketch aggregation in two fixed levels, for groups that every task contributes to.
+
+A sketch aggregate ``groupBy(g).agg(sketch(x))`` is partially aggregated map-side, but with
+one level the reducer of a group merges one partial sketch from *every* task: at 800,000
+scan tasks that is 800,000 merges in one place. Every aggregate and every merge of stored
+sketches therefore runs in the same two levels at any size and under any session: the first
+groups by ``(g, partition id mod FANIN)``, so its reducers merge ``tasks / FANIN`` partials
+each, and the second merges at most ``FANIN`` sketches per group. With few tasks the first
+level passes its few partials on, which costs one small shuffle.
+
+The partition id is stable across task retries, so the result does not depend on failures.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A reducer that merges up to this many partial sketches is fine; beyond, add a level.
-MERGES_PER_REDUCER = 256
-MAX_FANIN = 256
-
-
-def auto_fanin(df: DataFrame) -> int:
-    """S from the session's task count, without planning or running ``df``.
-
-    The stage feeding a sketch aggregate has about ``spark.sql.shuffle.partitions`` tasks
-    (or the AQE initial partition number when set); S keeps each reducer's merges near
-    ``MERGES_PER_REDUCER``. Local sessions (8-200 partitions) get S = 1, a plain aggregate.
-    """
-    conf = df.sparkSession.conf
-    n = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) \
-        or conf.get("spark.sql.shuffle.partitions", "200")
-    return max(1, min(MAX_FANIN, math.ceil(int(n) / MERGES_PER_REDUCER)))
+FANIN = 1024
 
 
 def sketch_aggregate(df: DataFrame, groups: list[str], build: Column, merge, out: str,
-                     fanin: int | str = "auto") -> DataFrame:
-    """``groupBy(groups).agg(build)`` as one or two levels.
+                     fanin: int = FANIN) -> DataFrame:
+    """``groupBy(groups).agg(build)`` in two levels.
 
     ``build`` is the sketch-building aggregate (e.g. ``theta_sketch_agg(x, lg)``) and
     ``merge`` a function column -> union aggregate (e.g. ``theta_union_agg(c, lg)``).
     """
-    s = auto_fanin(df) if fanin == "auto" else int(fanin)
-    if s <= 1:
-        return df.groupBy(*groups).agg(build.alias(out))
-    level1 = (df.withColumn("_fanin", F.pmod(F.spark_partition_id(), F.lit(s)))
+    if fanin < 1:
+        raise ValueError("fanin must be >= 1")
+    level1 = (df.withColumn("_fanin", F.pmod(F.spark_partition_id(), F.lit(fanin)))
                 .groupBy(*groups, "_fanin").agg(build.alias(out)))
     return level1.groupBy(*groups).agg(merge(F.col(out)).alias(out))
+
+
+def sketch_merge(df: DataFrame, groups: list[str], merge, col: str, out: str,
+                 fanin: int = FANIN) -> DataFrame:
+    """Union of stored sketches per group, in the same two levels."""
+    return sketch_aggregate(df, groups, merge(F.col(col)), merge, out, fanin)

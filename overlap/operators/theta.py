@@ -20,17 +20,20 @@ from pyspark.sql import functions as F
 
 from overlap.functions.sketches import theta_estimate
 from overlap.operators.pairs import _values
-from overlap.operators.sketch_tree import sketch_aggregate
+from overlap.operators.sketch_tree import FANIN, sketch_aggregate, sketch_merge
 from overlap.schema import lg_nominal, sketch_input
 
 
+GRID_TASKS = 64
+
+
 def theta_sets(df: DataFrame, *, key: str = "pid", dim: str = "interest",
                name: str | None = None, is_array: bool = False, lg_nom: int = 12,
                blank: str = "drop", sketch_col: str = "sketch",
-               fanin: int | str = "auto") -> DataFrame:
+               fanin: int = FANIN) -> DataFrame:
     """A3/A4: ``(name, sketch)`` -- one theta sketch of the keys per value of ``dim``.
 
-    ``fanin`` > 1 merges the per-task partial sketches in two levels (see sketch_tree).
+    The per-task partial sketches are merged in two levels (see sketch_tree).
     """
     name = name or dim
     rows = _values(df, key, dim, is_array, name, blank)
@@ -41,8 +44,22 @@ def theta_sets(df: DataFrame, *, key: str = "pid", dim: str = "interest",
 
 def merge_theta_sets(df: DataFrame, *, dim: str, sketch_col: str = "sketch",
                      lg_nom: int = 12, out_col: str = "sketch") -> DataFrame:
-    """A5: union of stored partial sketches per dimension value (incremental re-merge)."""
-    return df.groupBy(dim).agg(F.theta_union_agg(F.col(sketch_col), lg_nom).alias(out_col))
+    """A5: union of stored partial sketches per dimension value (incremental re-merge).
+
+    Sketches stored with their parameter (a column ``lg``) must all have ``lg_nom``.
+    """
+    if "lg" in df.columns:
+        df = check_parameter(df, sketch_col, "lg", lg_nom)
+    return sketch_merge(df, [dim], lambda c: F.theta_union_agg(c, lg_nom), sketch_col, out_col)
+
+
+def check_parameter(df: DataFrame, sketch_col: str, param_col: str, expected: int) -> DataFrame:
+    """``df`` whose rows raise where the stored sketch parameter is not the expected one."""
+    ok = F.col(param_col).isNull() | (F.col(param_col) == F.lit(expected))
+    message = F.concat(F.lit(f"sketches built with {param_col} = "), F.col(param_col).cast("string"),
+                       F.lit(f" cannot be merged with {param_col} = {expected}"))
+    return df.withColumn(sketch_col, F.when(ok, F.col(sketch_col)).otherwise(
+        F.raise_error(message).cast("binary")))
 
 
 def theta_pair_counts(left_sets: DataFrame, right_sets: DataFrame, *,
@@ -50,7 +67,10 @@ def theta_pair_counts(left_sets: DataFrame, right_sets: DataFrame, *,
                       sketch_col: str = "sketch", include_zero_pairs: bool = True,
                       count_col: str = "set_intersection_count") -> DataFrame:
     """``(left_name, right_name, set_intersection_count double)`` for the pair grid."""
-    ls = left_sets.select(F.col(left_name), F.col(sketch_col).alias("_ls"))
+    # one side is spread by value: else the tasks of the grid would follow the sketches' bytes
+    # and not the number of intersections
+    ls = left_sets.select(F.col(left_name), F.col(sketch_col).alias("_ls")).repartition(
+        GRID_TASKS, left_name)
     rs = right_sets.select(F.col(right_name), F.col(sketch_col).alias("_rs"))
     grid = ls.crossJoin(rs)
     out = grid.select(left_name, right_name,
@@ -65,7 +85,7 @@ def theta_pairs(left: DataFrame, right: DataFrame, *, key: str = "pid",
                 left_is_array: bool = True, right_is_array: bool = False,
                 left_name: str = "location", right_name: str = "interest",
                 nominal_entries: int = 4096, include_zero_pairs: bool = True,
-                blank: str = "drop", fanin: int | str = "auto") -> DataFrame:
+                blank: str = "drop", fanin: int = FANIN) -> DataFrame:
     """Q3 end to end from the two inputs."""
     lg = lg_nominal(nominal_entries)
     ls = theta_sets(left, key=key, dim=left_dim, name=left_name, is_array=left_is_array,

@@ -74,8 +74,12 @@ def theta_sets_location(spark, sf_dir):
 
 def _bounded(estimates: DataFrame, exact: DataFrame, est_col: str, bound: float) -> DataFrame:
     """(location, interest, distinct_count, within_bound) over the union of both pair sets."""
-    j = exact.join(estimates, ["location", "interest"], "full")
-    return j.select("location", "interest",
+    e = estimates.select(F.col("location").alias("el"), F.col("interest").alias("ei"), est_col)
+    j = exact.join(e, F.col("location").eqNullSafe(F.col("el"))
+                   & F.col("interest").eqNullSafe(F.col("ei")), "full")
+    here = F.col("distinct_count").isNotNull()
+    return j.select(F.when(here, F.col("location")).otherwise(F.col("el")).alias("location"),
+                    F.when(here, F.col("interest")).otherwise(F.col("ei")).alias("interest"),
                     F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"),
                     F.coalesce(within_bound(est_col, "distinct_count", bound), F.lit(False))
                      .alias("within_bound"))
@@ -198,10 +202,14 @@ def trailing_7d_registers(spark, sf_dir):
 def trailing_7d_hll(spark, sf_dir):
     ev = _events(spark, sf_dir)
     est = trailing_uniques(daily_sketches(ev, kind="hll", lg_config_k=HLL_LG_K),
-                           days=TRAILING_DAYS, kind="hll", out="hll_uniques")
-    exact = trailing_exact(ev, days=TRAILING_DAYS)
-    j = exact.join(est, ["event_type", "day"], "full")
-    return j.select("event_type", "day", F.coalesce("uniques", F.lit(0)).alias("uniques"),
+                           days=TRAILING_DAYS, kind="hll", lg_config_k=HLL_LG_K, out="hll_uniques")
+    exact = trailing_exact(ev, days=TRAILING_DAYS).select(
+        F.col("event_type").alias("xt"), F.col("day").alias("xd"), "uniques")
+    j = est.join(exact, F.col("event_type").eqNullSafe(F.col("xt")) & (F.col("day") == F.col("xd")),
+                 "full")
+    here = F.col("day").isNotNull()
+    return j.select(F.when(here, F.col("event_type")).otherwise(F.col("xt")).alias("event_type"),
+                    F.coalesce("day", "xd").alias("day"), F.coalesce("uniques", F.lit(0)).alias("uniques"),
                     F.coalesce(within_bound("hll_uniques", "uniques", HLL_BOUND), F.lit(False))
                     .alias("within_bound"))
 
@@ -298,10 +306,246 @@ def theta_union_merge(spark, sf_dir):
     rows = fixtures.interests_by_year(spark, sf_dir).where(key_predicate("pid"))
     partials = rows.groupBy("interest", "year").agg(
         F.theta_sketch_agg(sketch_input(F.col("pid")), lg).alias("sketch"))
-    merged = merge_theta_sets(partials, dim="interest", lg_nom=lg)
+    merged = merge_theta_sets(partials.withColumn("lg", F.lit(lg)), dim="interest", lg_nom=lg)
     return merged.select("interest", theta_estimate("sketch").alias("estimate"))
 
 
+# ---- estimating paths: small sketches, so that sets are far above the exact regime ----------
+SMALL_NOMINAL = 256
+SMALL_LG_K = 8
+SMALL_LOG2M = 7
+
+
+def _register_small(spark, sf_dir, regwidth):
+    locs, ints = _inputs(spark, sf_dir)
+    regs = register_pairs(locs, ints, log2m=SMALL_LOG2M, regwidth=regwidth)
+    return estimate_registers(regs, ["location", "interest"], log2m=SMALL_LOG2M)
+
+
+def register_small_width4(spark, sf_dir):
+    return _register_small(spark, sf_dir, 4)
+
+
+def register_small_width6(spark, sf_dir):
+    return _register_small(spark, sf_dir, 6)
+
+
+def theta_small_sets(spark, sf_dir):
+    """Theta at 256 nominal entries: (brand, exact keys, estimate within 4 standard errors)."""
+    ints = fixtures.interests(spark, sf_dir)
+    est = theta_sets(ints, dim="interest", lg_nom=lg_nominal(SMALL_NOMINAL)).select(
+        F.col("interest").alias("i"), theta_estimate("sketch").alias("est"))
+    exact = ints.distinct().groupBy("interest").agg(F.count(F.lit(1)).alias("keys"))
+    return exact.join(est, F.col("interest").eqNullSafe(F.col("i"))).select(
+        "interest", "keys", within_bound("est", "keys", 4 / SMALL_NOMINAL ** 0.5).alias("within_bound"))
+
+
+def theta_small_pairs(spark, sf_dir):
+    """The same for intersections; their error follows the size of the union."""
+    locs, ints = _inputs(spark, sf_dir)
+    left = locs.select("pid", F.explode("locations").alias("location"))
+    nl = left.distinct().groupBy("location").agg(F.count(F.lit(1)).alias("nl"))
+    nr = ints.distinct().groupBy("interest").agg(F.count(F.lit(1)).alias("nr"))
+    est = theta_pairs(locs, ints, nominal_entries=SMALL_NOMINAL)
+    j = est.join(pair_counts(locs, ints), ["location", "interest"], "left")
+    j = j.join(nl, "location").join(nr, "interest").withColumn(
+        "distinct_count", F.coalesce("distinct_count", F.lit(0)))
+    union = F.col("nl") + F.col("nr") - F.col("distinct_count")
+    bound = 4 * F.sqrt(F.col("distinct_count") * union / F.lit(float(SMALL_NOMINAL))) + 1
+    return j.select("location", "interest", "distinct_count",
+                    (F.abs(F.col("set_intersection_count") - F.col("distinct_count")) <= bound)
+                    .alias("within_bound"))
+
+
+def hll_small_pairs(spark, sf_dir):
+    """HLL at lgK 8: (pair, exact keys, estimate within 5 standard errors)."""
+    locs, ints = _inputs(spark, sf_dir)
+    est = estimate_hll(hll_pairs(locs, ints, lg_config_k=SMALL_LG_K), out="hll_estimate")
+    return _bounded(est, pair_counts(locs, ints), "hll_estimate", 5 * 1.04 / 16)
+
+
+def accuracy_theta_lg8_checked(spark, sf_dir):
+    """Error summary of theta at 256 entries: pairs compared, average below 50 per cent."""
+    s = accuracy_theta_lg8_stats(spark, sf_dir)
+    return s.select("pairs", (F.col("avg_percent_difference") < 50).alias("average_small"))
+
+
+def accuracy_approx_checked(spark, sf_dir):
+    s = accuracy_approx_stats(spark, sf_dir)
+    return s.select("pairs", (F.col("avg_percent_difference") < 100 * APPROX_RSD).alias("average_small"))
+
+
+# ---- trailing uniques per pair of dimensions ------------------------------------------------
+def _pair_events(spark, sf_dir):
+    """Events with the nation of the user, as (location, interest) pairs of a day."""
+    users = (spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey")
+             .join(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name"),
+                   F.col("c_nationkey") == F.col("n_nationkey")))
+    return _events(spark, sf_dir).join(users, F.col("user_id") == F.col("c_custkey")).select(
+        "user_id", "ts", F.col("n_name").alias("location"), F.col("event_type").alias("interest"))
+
+
+PAIR_DIMS = ["location", "interest"]
+
+
+def trailing_7d_pair_theta(spark, sf_dir):
+    lg = lg_nominal(NOMINAL)
+    daily = daily_sketches(_pair_events(spark, sf_dir), dim=PAIR_DIMS, kind="theta", lg_nom=lg)
+    return trailing_uniques(daily, dim=PAIR_DIMS, days=TRAILING_DAYS, kind="theta", lg_nom=lg)
+
+
+def trailing_7d_pair_registers(spark, sf_dir):
+    return trailing_registers(_pair_events(spark, sf_dir), dim=PAIR_DIMS, days=TRAILING_DAYS)
+
+
+def trailing_7d_pair_exact(spark, sf_dir):
+    return trailing_exact(_pair_events(spark, sf_dir), dim=PAIR_DIMS, days=TRAILING_DAYS)
+
+
+# ---- sinks, scalar sketch functions and the SQL surface -------------------------------------
+def bucket_slices_read(spark, sf_dir):
+    """Every bucket directory of the left side read on its own (S2); rows add up."""
+    from overlap.sources.sinks import read_bucket
+
+    lpath, _ = write_bucketed_inputs(spark, *_inputs(spark, sf_dir), NUM_BUCKETS,
+                                     scratch_path(spark, "slices"))
+    out = None
+    for b in range(NUM_BUCKETS):
+        one = read_bucket(spark, lpath, b).select("pid", "location")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def parquet_overwrite_append(spark, sf_dir):
+    """Overwrite twice, then append (S4, S5) into a set number of files (S11); rows by value."""
+    from overlap.sources.sinks import write_parquet
+
+    path = scratch_path(spark, "sink")
+    ints = fixtures.interests(spark, sf_dir).distinct().select("pid", F.col("interest").alias("value"))
+    locs = fixtures.exploded_locations(spark, sf_dir).distinct().select(
+        "pid", F.col("location").alias("value"))
+    write_parquet(locs, path, num_partitions=2)
+    write_parquet(ints, path, num_partitions=4)
+    write_parquet(locs, path, mode="append", num_partitions=2)
+    return spark.read.parquet(path).groupBy("value").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def bucketed_table_dropped(spark, sf_dir):
+    """A bucketed table is read, then dropped from the catalog."""
+    import uuid
+
+    from overlap.sources.sinks import drop_table, write_bucketed_table
+
+    table = f"overlap_drop_{uuid.uuid4().hex[:10]}"
+    rows = fixtures.interests(spark, sf_dir).distinct()
+    write_bucketed_table(rows, table, NUM_BUCKETS, "pid", scratch_path(spark, "drop"))
+    before = spark.catalog.tableExists(table)
+    counts = spark.table(table).groupBy("interest").agg(F.count(F.lit(1)).alias("n_rows"))
+    drop_table(spark, table)
+    return counts.select("interest", "n_rows", F.lit(before).alias("was_there"),
+                         F.lit(spark.catalog.tableExists(table)).alias("is_there"))
+
+
+def accuracy_report_csv(spark, sf_dir):
+    """The comparison written as CSV (S9) and read back."""
+    from overlap.operators.accuracy import write_report
+
+    path = scratch_path(spark, "report")
+    write_report(_accuracy(spark, sf_dir).select("location1", "interest1", "count_1", "count_2"), path)
+    return spark.read.option("header", True).schema(
+        "location1 string, interest1 string, count_1 long, count_2 long").csv(path)
+
+
+def accuracy_by_column_name(spark, sf_dir):
+    """Count columns found by their names."""
+    locs, ints = _inputs(spark, sf_dir)
+    a = bucketed_pairs(locs, ints, NUM_BUCKETS, mode="exact").withColumnRenamed(
+        "distinct_count", "Pid_Count")
+    return compare_counts(a, pair_counts(locs, ints)).select(
+        "location1", "interest1", "count_1", "count_2")
+
+
+def empty_sketches(spark, sf_dir):
+    """Brands without a sketch for a year that has no orders estimate 0."""
+    from overlap.functions.sketches import empty_hll, empty_hll_bytes, hll_estimate
+    from overlap.operators.hll import hll_sets
+
+    rows = fixtures.interests_by_year(spark, sf_dir)
+    none = hll_sets(rows.where("year < 1900"), ["interest"]).withColumnRenamed("interest", "i")
+    empty = F.lit(empty_hll_bytes(spark))
+    return (rows.select("interest").distinct()
+            .join(none, F.col("interest").eqNullSafe(F.col("i")), "left")
+            .select("interest", hll_estimate(empty_hll(F.col("hll_bytes"), empty)).alias("estimate")))
+
+
+TWO_YEARS = (1995, 1996)
+
+
+def _two_years(spark, sf_dir, build):
+    rows = fixtures.interests_by_year(spark, sf_dir)
+    a, b = (build(rows.where(F.col("year") == y)).withColumnRenamed("sketch", f"s{y}")
+            for y in TWO_YEARS)
+    return a.join(b, "interest")
+
+
+def theta_union_of_two(spark, sf_dir):
+    """Union of two stored theta sketches, one a year."""
+    from overlap.functions.sketches import theta_merge
+
+    lg = lg_nominal(NOMINAL)
+    both = _two_years(spark, sf_dir, lambda r: theta_sets(r, dim="interest", lg_nom=lg))
+    return both.select("interest", theta_estimate(
+        theta_merge(*[f"s{y}" for y in TWO_YEARS], lg_nom=lg)).alias("estimate"))
+
+
+def hll_union_of_two(spark, sf_dir):
+    """Union of two stored HLL sketches (E3), against the exact keys of both years."""
+    from overlap.functions.sketches import hll_estimate, hll_merge
+    from overlap.operators.hll import hll_sets
+
+    both = _two_years(spark, sf_dir, lambda r: hll_sets(r, ["interest"], lg_config_k=HLL_LG_K,
+                                                        out="sketch"))
+    exact = (fixtures.interests_by_year(spark, sf_dir).where(F.col("year").isin(*TWO_YEARS))
+             .groupBy(F.col("interest").alias("i")).agg(F.count_distinct("pid").alias("keys")))
+    est = hll_estimate(hll_merge(*[f"s{y}" for y in TWO_YEARS]))
+    return both.join(exact, F.col("interest") == F.col("i")).select(
+        "interest", "keys", within_bound(est, "keys", HLL_BOUND).alias("within_bound"))
+
+
+def one_key_sketches(spark, sf_dir):
+    """A sketch of one key each (F4) estimates 1."""
+    from overlap.operators.registers import singleton
+
+    return estimate_registers(singleton(fixtures.people(spark, sf_dir)), ["pid"])
+
+
+def pair_approx_sql(spark, sf_dir):
+    from overlap.plans.sql import run_pair_sql
+
+    locs, ints = _inputs(spark, sf_dir)
+    return _bounded(run_pair_sql(spark, locs, ints, "approx", rsd=APPROX_RSD),
+                    pair_counts(locs, ints), "approx_pid_count", APPROX_BOUND)
+
+
+def pair_hll_sql(spark, sf_dir):
+    from overlap.plans.sql import run_pair_sql
+
+    return _hll_bounded(spark, sf_dir, run_pair_sql(spark, *_inputs(spark, sf_dir), "hll", lg_k=HLL_LG_K))
+
+
+def theta_union_sql(spark, sf_dir):
+    """Stored theta sketches per (brand, year), united per brand in SQL."""
+    from overlap.plans.sql import run_union_sql
+    from overlap.schema import key_predicate, sketch_input
+
+    lg = lg_nominal(NOMINAL)
+    rows = fixtures.interests_by_year(spark, sf_dir).where(key_predicate("pid"))
+    stored = rows.groupBy("interest", "year").agg(
+        F.theta_sketch_agg(sketch_input(F.col("pid")), lg).alias("sketch"))
+    return run_union_sql(spark, stored.withColumnRenamed("interest", "value"), "theta",
+                         lg_nom=lg).withColumnRenamed("value", "interest")
+
+
 def registry() -> dict[str, Query]:
     return {
         "pair_exact": pair_exact,
@@ -341,4 +585,26 @@ def registry() -> dict[str, Query]:
         "stream_daily_theta": stream_daily_theta,
         "pair_exact_sql": pair_exact_sql,
         "pair_theta_sql": pair_theta_sql,
+        "pair_approx_sql": pair_approx_sql,
+        "pair_hll_sql": pair_hll_sql,
+        "theta_union_sql": theta_union_sql,
+        "register_small_width4": register_small_width4,
+        "register_small_width6": register_small_width6,
+        "theta_small_sets": theta_small_sets,
+        "theta_small_pairs": theta_small_pairs,
+        "hll_small_pairs": hll_small_pairs,
+        "accuracy_theta_lg8_checked": accuracy_theta_lg8_checked,
+        "accuracy_approx_checked": accuracy_approx_checked,
+        "trailing_7d_pair_theta": trailing_7d_pair_theta,
+        "trailing_7d_pair_registers": trailing_7d_pair_registers,
+        "trailing_7d_pair_exact": trailing_7d_pair_exact,
+        "bucket_slices_read": bucket_slices_read,
+        "parquet_overwrite_append": parquet_overwrite_append,
+        "bucketed_table_dropped": bucketed_table_dropped,
+        "accuracy_report_csv": accuracy_report_csv,
+        "accuracy_by_column_name": accuracy_by_column_name,
+        "empty_sketches": empty_sketches,
+        "theta_union_of_two": theta_union_of_two,
+        "hll_union_of_two": hll_union_of_two,
+        "one_key_sketches": one_key_sketches,
     }

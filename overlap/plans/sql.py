@@ -21,7 +21,9 @@ SQL_FUNCTIONS = {
     "intersection_count": "(a BINARY, b BINARY) RETURNS DOUBLE "
                           "RETURN CAST(theta_sketch_estimate(theta_intersection(a, b)) AS DOUBLE)",
     "bucket_of": "(k STRING, n INT) RETURNS INT RETURN CAST(pmod(hash(k), n) AS INT)",
-    "blank_to_null": "(k STRING) RETURNS STRING RETURN CASE WHEN trim(k) <> '' THEN k END",
+    "is_blank_key": "(k STRING) RETURNS BOOLEAN RETURN k RLIKE r'^\\p{javaWhitespace}*$'",
+    "blank_to_null": "(k STRING) RETURNS STRING "
+                     "RETURN CASE WHEN NOT (k RLIKE r'^\\p{javaWhitespace}*$') THEN k END",
     "percent_difference": "(a DOUBLE, b DOUBLE) RETURNS DOUBLE RETURN "
                           "coalesce(try_divide(abs(a - b), (a + b) / 2.0) * 100.0, "
                           "CASE WHEN a = b THEN 0.0 END)",
@@ -35,37 +37,30 @@ def register_sql_functions(spark: SparkSession) -> list[str]:
     return list(SQL_FUNCTIONS)
 
 
-_KEEP = "{p} IS NOT NULL AND trim({p}) <> ''"
+_KEEP = "{p} IS NOT NULL AND NOT is_blank_key({p})"
 
-PAIR_SQL = {
-    # exact: per-key distinct sets, joined once per key, exploded, counted
-    "exact": """
+# One row per key and side with its distinct values, met once per key: what a pair's keys are
+# counted from, whatever the measure.
+_PER_KEY = """
 WITH ls AS (SELECT pid, flatten(collect_set(array(location))) AS location_set
             FROM (SELECT CAST(pid AS STRING) AS pid, explode(locations) AS location
                   FROM {locations} WHERE {keep}) GROUP BY pid),
      rs AS (SELECT pid, flatten(collect_set(array(interest))) AS interest_set
             FROM (SELECT CAST(pid AS STRING) AS pid, interest FROM {interests} WHERE {keep})
             GROUP BY pid)
-SELECT location, interest, count(1) AS distinct_count
+SELECT location, interest, {measure}
 FROM ls JOIN rs ON ls.pid = rs.pid
 LATERAL VIEW explode(location_set) a AS location
 LATERAL VIEW explode(interest_set) b AS interest
-GROUP BY location, interest""",
-    # the reference's query shape: join, explode late, aggregate
-    "approx": """
-WITH exploded AS (
-  SELECT t1.pid, explode(t1.locations) AS location, t2.interest
-  FROM {interests} t2 JOIN {locations} t1 ON t1.pid = t2.pid
-  WHERE {keep_t1})
-SELECT location, interest, approx_count_distinct(pid, {rsd}) AS approx_pid_count
-FROM exploded GROUP BY location, interest""",
-    "hll": """
-WITH exploded AS (
-  SELECT t1.pid, explode(t1.locations) AS location, t2.interest
-  FROM {interests} t2 JOIN {locations} t1 ON t1.pid = t2.pid
-  WHERE {keep_t1})
-SELECT location, interest, hll_sketch_agg(CAST(pid AS BINARY), {lg_k}) AS hll_bytes
-FROM exploded GROUP BY location, interest""",
+GROUP BY location, interest"""
+
+MEASURES = {
+    "exact": "count(1) AS distinct_count",
+    "approx": "approx_count_distinct(xxhash64(ls.pid), {rsd}) AS approx_pid_count",
+    "hll": "hll_sketch_agg(CAST(ls.pid AS BINARY), {lg_k}) AS hll_bytes",
+}
+
+PAIR_SQL = {name: _PER_KEY.replace("{measure}", measure) for name, measure in MEASURES.items()} | {
     # join-free: one theta sketch per value on each side, intersected per pair
     "theta": """
 WITH ls AS (SELECT location, theta_sketch_agg(CAST(pid AS BINARY), {lg_nom}) AS s
@@ -73,26 +68,45 @@ WITH ls AS (SELECT location, theta_sketch_agg(CAST(pid AS BINARY), {lg_nom}) AS
                   FROM {locations} WHERE {keep}) GROUP BY location),
      rs AS (SELECT interest, theta_sketch_agg(CAST(CAST(pid AS STRING) AS BINARY), {lg_nom}) AS s
             FROM {interests} WHERE {keep} GROUP BY interest)
-SELECT ls.location, rs.interest,
-       CAST(theta_sketch_estimate(theta_intersection(ls.s, rs.s)) AS DOUBLE)
-         AS set_intersection_count
+SELECT ls.location, rs.interest, intersection_count(ls.s, rs.s) AS set_intersection_count
 FROM ls CROSS JOIN rs""",
 }
 
+#: Unions of stored sketches (columns ``value`` and ``sketch``), by value.
+UNION_SQL = {
+    "theta": "SELECT value, estimate_theta(theta_union_agg(sketch, {lg_nom})) AS estimate "
+             "FROM {view} GROUP BY value",
+    "hll": "SELECT value, estimate_hll(hll_union_agg(sketch, false)) AS estimate "
+           "FROM {view} GROUP BY value",
+}
+
+
+def run_union_sql(spark: SparkSession, stored: DataFrame, kind: str, lg_nom: int = 12) -> DataFrame:
+    """``(value, estimate)``: stored sketches united per value in SQL."""
+    if kind not in UNION_SQL:
+        raise ValueError(f"kind must be one of {sorted(UNION_SQL)}")
+    register_sql_functions(spark)
+    view = f"overlap_stored_{uuid.uuid4().hex[:10]}"
+    stored.createOrReplaceTempView(view)
+    return spark.sql(UNION_SQL[kind].format(view=view, lg_nom=lg_nom))
+
 
 def pair_sql(method: str, locations_view: str, interests_view: str, *, rsd: float = 0.05,
              lg_k: int = 13, lg_nom: int = 12) -> str:
-    """Spark SQL text of a pair query over two registered views."""
+    """Spark SQL text of a pair query over two registered views.
+
+    It uses the functions of ``register_sql_functions``.
+    """
     if method not in PAIR_SQL:
         raise ValueError(f"method must be one of {sorted(PAIR_SQL)}")
     return PAIR_SQL[method].format(locations=locations_view, interests=interests_view,
-                                   keep=_KEEP.format(p="pid"), keep_t1=_KEEP.format(p="t1.pid"),
-                                   rsd=rsd, lg_k=lg_k, lg_nom=lg_nom)
+                                   keep=_KEEP.format(p="pid"), rsd=rsd, lg_k=lg_k, lg_nom=lg_nom)
 
 
 def run_pair_sql(spark: SparkSession, locations: DataFrame, interests: DataFrame,
                  method: str, **params) -> DataFrame:
     """Register the two inputs under fresh view names and run ``pair_sql``."""
+    register_sql_functions(spark)
     suffix = uuid.uuid4().hex[:10]
     lv, iv = f"overlap_locations_{suffix}", f"overlap_interests_{suffix}"
     locations.createOrReplaceTempView(lv)

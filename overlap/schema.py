@@ -53,10 +53,21 @@ def key_predicate(key: str, blank: str = "drop"):
         raise ValueError(f"blank must be one of {BLANK_MODES}")
     c = F.col(key)
     if blank == "drop":
-        return c.isNotNull() & (F.trim(c.cast("string")) != F.lit(""))
+        return c.isNotNull() & ~is_blank(c.cast("string"))
     return c.isNotNull()
 
 
+BLANK = "^\\p{javaWhitespace}*$"
+
+
+def is_blank(c):
+    """True for "" and strings of white space only (tabs, line breaks, Unicode spaces too).
+
+    A string that begins with a printing ASCII character is told without the pattern.
+    """
+    return ~F.ascii(c).between(33, 126) & c.rlike(BLANK)
+
+
 def sketch_input(c, blank: str = "drop"):
     """Value fed to a theta/HLL sketch: the key's UTF-8 bytes.
 
