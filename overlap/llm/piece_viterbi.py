@@ -125,7 +125,10 @@ class Codec:
         """Ids (int32, packed) of the best path of one chunk."""
         blanks = len(chunk) - len(chunk.lstrip(b" "))
         s = MARK * blanks + chunk[blanks:]
-        n, marked = len(s), 3 * blanks
+        n = len(s)
+        # markers of the text itself are no blanks: no piece may cover them
+        own = [n] if MARK not in chunk else [
+            m.start() for m in re.finditer(MARK, s) if m.start() >= 3 * blanks] + [n]
         base, check, value, scores = self.base, self.check, self.value, self.scores
         best, back, piece = [-1e300] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
@@ -137,9 +140,10 @@ class Codec:
             while stop < n and s[stop] & 0xC0 == 0x80:
                 stop += 1
             state, single = 0, False
-            # a marker character of the text itself is never a blank
-            if i < marked or s[i:stop] != MARK:
-                for j in range(i, n):
+            if i == own[0]:
+                own.pop(0)
+            else:
+                for j in range(i, own[0]):
                     to = base[state] + s[j] + 1
                     if check[to] != state:
                         break
