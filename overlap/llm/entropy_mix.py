@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from overlap.llm.common import WORD, documents_of, staged, text_hash
@@ -31,6 +31,7 @@ from overlap.llm.common import WORD, documents_of, staged, text_hash
 WEIGHTS = (3, 1, 2)
 SALTS = 256
 MAX_NEWTON = 60
+FIXED = 1e6
 
 
 def targets(sizes: list[tuple[str | None, int]], share: float = 1.5, cap: float = 2.0
@@ -52,6 +53,11 @@ def targets(sizes: list[tuple[str | None, int]], share: float = 1.5, cap: float
     return out
 
 
+def _fixed_sum(term: Column) -> Column:
+    """A sum in fixed point: the same in whatever order the rows come, so reruns agree."""
+    return F.sum((term * FIXED).cast("decimal(30,0)")).cast("double") / FIXED
+
+
 def _solve(classes: DataFrame, sources: list[dict], cap: float) -> None:
     """Sets ``lam`` (None: the cap) of every source by guarded Newton steps on the dual."""
     spark = classes.sparkSession
@@ -71,9 +77,9 @@ def _solve(classes: DataFrame, sources: list[dict], cap: float) -> None:
         sums = (classes.join(F.broadcast(lam), "sid")  # a row for each source
                 .withColumns({"x": x, "rate": rate})
                 .groupBy("sid").agg(
-                    F.sum(F.col("n") * F.col("words") * F.col("rate")).alias("got"),
-                    F.sum(F.col("n") * F.col("words") * F.col("x") * F.col("rate")
-                          * (1 - F.col("rate") / cap)).alias("slope")))
+                    _fixed_sum(F.col("n") * F.col("words") * F.col("rate")).alias("got"),
+                    _fixed_sum(F.col("n") * F.col("words") * F.col("x") * F.col("rate")
+                               * (1 - F.col("rate") / cap)).alias("slope")))
         for r in sums.collect():
             s = todo[r["sid"]]
             gap = r["got"] - s["target"]
