@@ -93,6 +93,12 @@ def run_all(spark, sf_dir: str, out: str, times: dict | None) -> None:
         timed(f"{tag}_q4_hll", lambda: write(hll_pairs(L(), I()), f"{tag}_q4"))
         timed(f"{tag}_q4_registers", lambda: write(estimate_registers(
             register_pairs(L(), I()), ["location", "interest"]), f"{tag}_q4r"))
+        if tag == "synth":
+            # bucketing on the published shape; reported, not summed
+            timed("cmp_synth_q4b_hll_bucket_by", lambda: write(bucket_by_pairs(
+                spark, L(), I(), NUM_BUCKETS, mode="hll", root=f"{out}/bbs"), "synth_q4b"))
+            timed("cmp_synth_q4c_hll_two_phase", lambda: write(two_phase_pairs(
+                spark, L(), I(), NUM_BUCKETS, mode="hll", root=f"{out}/tps"), "synth_q4c"))
         if tag == "tpch":
             timed(f"{tag}_q4b_hll_bucket_by", lambda: write(bucket_by_pairs(
                 spark, L(), I(), NUM_BUCKETS, mode="hll", root=f"{out}/bb"), f"{tag}_q4b"))

@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from overlap.schema import key_column, key_predicate
 
 # Fixed defaults of the sketch being replaced: log2m 13, register width 4, hash seed 2131319.
+# Width 4 caps ranks at 15, which biases estimates above some ten million keys a group; the
+# default here is 6, which holds every rank (33 at most).
 DEFAULT_LOG2M = 13
-DEFAULT_REGWIDTH = 4
-# Width 4 caps ranks at 15, which biases estimates above some ten million keys a group; width 6
-# holds every rank (33 at most). Stored tables and path-to-path jobs use the wide one.
-WIDE_REGWIDTH = 6
+DEFAULT_REGWIDTH = 6
+NARROW_REGWIDTH = 4
 DEFAULT_SEED = 2131319
 
 

@@ -7,11 +7,11 @@ import re
 from pyspark.sql import DataFrame
 
 
-def executed_plan(df: DataFrame, final: bool = True) -> str:
+def executed_plan(df: DataFrame) -> str:
     """The physical plan as text (Exchanges included).
 
     Before execution this is AQE's initial plan; after an action on ``df`` it is the final
-    re-optimised plan. ``final`` only documents which one the caller expects.
+    re-optimised plan.
     """
     text = df._jdf.queryExecution().executedPlan().toString()
     # an executed adaptive plan prints the final plan, then the initial one: keep the final

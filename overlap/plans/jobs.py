@@ -17,7 +17,8 @@ from overlap.operators.accuracy import compare_counts, error_stats, sketch_count
 from overlap.operators.buckets import bucket_by_pairs, bucketed_pairs, two_phase_pairs
 from overlap.operators.hll import hll_pairs
 from overlap.operators.pairs import pair_counts
-from overlap.operators.registers import estimate_registers, register_pairs
+from overlap.operators.registers import (DEFAULT_LOG2M, DEFAULT_REGWIDTH, DEFAULT_SEED,
+                                          estimate_registers, register_pairs, with_spec)
 from overlap.operators.theta import theta_pairs
 from overlap.sources.sinks import write_parquet
 
@@ -27,10 +28,16 @@ TECHNIQUES = ("none", "one_job", "partitioned", "bucket_by")
 
 def pair_result(spark: SparkSession, locations: DataFrame, interests: DataFrame, *,
                 method: str = "theta", technique: str = "none", num_buckets: int = 1,
-                nominal_entries: int = 4096, lg_config_k: int = 13, log2m: int = 13,
-                regwidth: int = 4, seed: int = 2131319, rsd: float = 0.05,
-                strategy: str = "keysets", root: str | None = None) -> DataFrame:
-    """The result DataFrame of ``pair_job`` (nothing written except bucketing scratch)."""
+                nominal_entries: int = 4096, lg_config_k: int = 13, log2m: int = DEFAULT_LOG2M,
+                regwidth: int = DEFAULT_REGWIDTH, seed: int = DEFAULT_SEED, rsd: float = 0.05,
+                strategy: str = "keysets", root: str | None = None,
+                mergeable: bool = False) -> DataFrame:
+    """The result DataFrame of ``pair_job`` (nothing written except bucketing scratch).
+
+    ``mergeable`` gives the registers themselves (with their parameters) instead of estimates,
+    as the HLL method always gives its sketches.
+    """
+    registers_out = _mergeable if mergeable else _estimated
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     if technique not in TECHNIQUES:
@@ -45,9 +52,8 @@ def pair_result(spark: SparkSession, locations: DataFrame, interests: DataFrame,
             return theta_pairs(locations, interests, nominal_entries=nominal_entries)
         if method == "hll":
             return hll_pairs(locations, interests, lg_config_k=lg_config_k, strategy=strategy)
-        return estimate_registers(register_pairs(locations, interests, log2m=log2m,
-                                                 regwidth=regwidth, seed=seed),
-                                  ["location", "interest"], log2m=log2m)
+        return registers_out(register_pairs(locations, interests, log2m=log2m,
+                                            regwidth=regwidth, seed=seed), log2m, regwidth, seed)
     params = dict(mode=method, lg_config_k=lg_config_k, log2m=log2m, regwidth=regwidth,
                   seed=seed)
     if technique == "one_job":
@@ -57,10 +63,18 @@ def pair_result(spark: SparkSession, locations: DataFrame, interests: DataFrame,
     else:
         out = bucket_by_pairs(spark, locations, interests, num_buckets, root=root, **params)
     if method == "registers":
-        out = estimate_registers(out, ["location", "interest"], log2m=log2m)
+        out = registers_out(out, log2m, regwidth, seed)
     return out
 
 
+def _mergeable(regs: DataFrame, log2m: int, regwidth: int, seed: int) -> DataFrame:
+    return with_spec(regs, log2m=log2m, regwidth=regwidth, seed=seed)
+
+
+def _estimated(regs: DataFrame, log2m: int, regwidth: int, seed: int) -> DataFrame:
+    return estimate_registers(regs, ["location", "interest"], log2m=log2m)
+
+
 def pair_job(spark: SparkSession, locations_path: str, interests_path: str, output_path: str,
              **params) -> DataFrame:
     """Read both inputs, compute ``pair_result(**params)``, overwrite ``output_path``."""
@@ -73,12 +87,17 @@ def pair_job(spark: SparkSession, locations_path: str, interests_path: str, outp
 def accuracy_job(spark: SparkSession, approx_path: str, exact_path: str,
                  report_path: str | None = None, *, count_a: str | None = None,
                  count_b: str | None = None, how: str = "inner",
-                 sketch_col: str = "hll_bytes") -> DataFrame:
-    """Q6 from files: one-row ``(min_, max_, avg_percent_difference, pairs)``."""
+                 sketch_col: str = "hll_bytes", log2m: int = DEFAULT_LOG2M) -> DataFrame:
+    """Q6 from files: one-row ``(min_, max_, avg_percent_difference, pairs)``.
+
+    HLL sketches and register rows are estimated first.
+    """
     a = spark.read.parquet(approx_path)
     b = spark.read.parquet(exact_path)
     if sketch_col in a.columns:
         a = sketch_counts(a, sketch_col, out="count")
+    elif {"reg", "rho"} <= set(a.columns):
+        a = estimate_registers(a, ["location", "interest"], log2m=log2m, out="count")
     cmp = compare_counts(a, b, count_a=count_a, count_b=count_b, how=how)
     if report_path:
         write_report(cmp, report_path)
@@ -90,11 +109,14 @@ def generate_job(spark: SparkSession, sf_dir: str, out_root: str, *, source: str
     """Q7: write people, locations and interests (``num_partitions`` files each, S11) and
     return the written row counts ``(table, n_rows)`` (S12)."""
     ppl = synth.people(spark, sf_dir, source=source, seed=seed, num_partitions=num_partitions)
-    tables = {"people": ppl, "locations": synth.person_locations(ppl, seed=seed),
+    write_parquet(ppl, f"{out_root}/people", num_partitions=num_partitions)
+    ppl = spark.read.parquet(f"{out_root}/people")  # made once, read by the other two
+    tables = {"people": None, "locations": synth.person_locations(ppl, seed=seed),
               "interests": synth.person_interests(ppl, seed=seed)}
     counts = None
     for name, df in tables.items():
-        write_parquet(df, f"{out_root}/{name}", num_partitions=num_partitions)
+        if df is not None:
+            write_parquet(df, f"{out_root}/{name}", num_partitions=num_partitions)
         c = spark.read.parquet(f"{out_root}/{name}").agg(F.count(F.lit(1)).alias("n_rows")) \
             .select(F.lit(name).alias("table"), "n_rows")
         counts = c if counts is None else counts.unionByName(c)

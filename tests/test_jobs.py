@@ -68,3 +68,14 @@ def test_people_copies_are_distinct_and_deterministic(spark):
     assert a.count() == 3 * n and a.distinct().count() == 3 * n
     b = synth.people(spark, SF001, copies=3, num_partitions=5)
     assert sorted(r.pid for r in a.collect()) == sorted(r.pid for r in b.collect())
+
+
+@pytest.mark.parametrize("technique", ["none", "partitioned"])
+def test_registers_written_mergeable_and_compared(spark, paths, tmp_path, technique):
+    args = (spark, str(paths / "locations"), str(paths / "interests"))
+    regs = pair_job(*args, str(tmp_path / "regs"), method="registers", technique=technique,
+                    num_buckets=3, mergeable=True)
+    assert set(regs.columns) == {"location", "interest", "reg", "rho", "spec"}
+    pair_job(*args, str(tmp_path / "ex"), method="exact")
+    stats = accuracy_job(spark, str(tmp_path / "regs"), str(tmp_path / "ex")).first()
+    assert stats.pairs == 9 and stats.max_percent_difference == 0.0

@@ -24,7 +24,7 @@ def test_no_python_anywhere(spark):
     for name, fn in registry().items():
         if name.startswith("stream"):
             continue
-        plan = executed_plan(fn(spark, SF001), final=False)
+        plan = executed_plan(fn(spark, SF001))
         for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
                      "MapInPandas", "PythonUDF"):
             assert node not in plan, (name, node)
@@ -32,7 +32,7 @@ def test_no_python_anywhere(spark):
 
 def test_keysets_shuffles_each_side_once(spark, inputs):
     locs, ints = inputs
-    plan = executed_plan(pair_counts(locs, ints), final=False)
+    plan = executed_plan(pair_counts(locs, ints))
     # one pid shuffle per side (after the map-side collect_set) + the final pair shuffle
     assert exchanges(plan, "pid") == 2
     assert count_nodes(plan, "partial_collect_set") == 2
@@ -43,7 +43,7 @@ def test_bucket_by_join_has_no_exchange_below_pairs(spark, inputs):
     locs, ints = inputs
     df = bucket_by_pairs(spark, locs, ints, 4)
     df.collect()
-    plan = executed_plan(df, final=True)
+    plan = executed_plan(df)
     assert "Bucketed: true" in plan
     assert exchanges(plan, "pid") == 0
     assert "SortMergeJoin" in plan
@@ -53,7 +53,7 @@ def test_theta_grid_from_sketch_tables_only(spark, inputs):
     locs, ints = inputs
     df = theta_pairs(locs, ints)
     df.collect()
-    plan = executed_plan(df, final=True)
+    plan = executed_plan(df)
     assert "BroadcastNestedLoopJoin" in plan or "CartesianProduct" in plan
     assert count_nodes(plan, "partial_theta_sketch_agg") == 2
     assert exchanges(plan, "pid") == 0  # the raw rows of the two inputs never meet
@@ -66,7 +66,7 @@ def test_register_pairs_never_shuffle_exploded_rows(spark, inputs):
 
     locs, ints = inputs
     df = estimate_registers(register_pairs(locs, ints), ["location", "interest"])
-    plan = executed_plan(df, final=False)
+    plan = executed_plan(df)
     assert exchanges(plan, "reg") == 1
     # the (pair, reg) aggregate runs where the pair rows are produced
     assert not re.search(r"Exchange hashpartitioning\(location#\d+, interest#\d+, reg#", plan)

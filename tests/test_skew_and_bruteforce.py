@@ -33,7 +33,7 @@ def brute(locs, ints):
             if lsets[a] & isets[b]}
 
 
-def brute_registers(pairs_keys, log2m=13, regwidth=4, seed=2131319):
+def brute_registers(pairs_keys, log2m=13, regwidth=6, seed=2131319):
     """Register HLL estimate computed in Python from the same md5 rule."""
     import hashlib
     m = 1 << log2m
