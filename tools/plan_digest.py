@@ -6,11 +6,12 @@ Per query: shuffles (Exchange keys), joins, aggregates, scans' pushed filters /
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 
 sys.path.insert(0, ".")
-from __spark_entry__ import queries  # noqa: E402
+from overlap.plans.catalog import registry as queries  # noqa: E402
 from overlap.plans.inspect import executed_plan  # noqa: E402
 from overlap.session import local_session  # noqa: E402
 
@@ -38,10 +39,10 @@ def digest(plan: str) -> dict:
 
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    spark = local_session(8)
+    spark = local_session(int(os.environ.get("OVERLAP_CORES", "8")))
     print("# Physical plans of the registered queries\n")
     print(f"Generated by `python tools/plan_digest.py {sf_dir}` from AQE's final plans after "
-          "execution (local[8], 8 shuffle partitions). Fixture-building joins (orders x "
+          "execution (local session, 8 shuffle partitions). Fixture-building joins (orders x "
           "lineitem x part/supplier/nation) are included in each plan.\n")
     print("| query | shuffles (first key) | joins | aggregates | pushed filters | notes |")
     print("| --- | --- | --- | --- | --- | --- |")
@@ -74,8 +75,10 @@ NOTES = """
 * `pair_exact_join` (textbook): the `count(distinct)` shuffles every (location, interest,
   pid) triple, partitioned by `(location, interest)` only -- at most |A|x|B| reducers,
   each receiving all keys of its pair.
-* `pair_theta`: the inputs never meet; only sketches are shuffled (by dimension value) and
-  AQE picks the grid join (`BroadcastNestedLoopJoin` here) from the measured sketch sizes.
+* `pair_theta`: the inputs never meet; only sketches are shuffled (by dimension value and
+  task, then by value) and AQE picks the grid join (`BroadcastNestedLoopJoin` here) from the
+  measured sketch sizes; its left side is spread over a set number of tasks by value.
+* Every sketch aggregate and merge has two shuffles: (groups, `_fanin`), then groups.
 * `register_hll_pairs`: per-key rows are shuffled by `reg`; the exploded pair rows are
   aggregated where they are produced (no Exchange between explode and `max`).
 * `bucket_by_join_exact`: bucketed scans, no `pid` Exchange at all.
