@@ -10,14 +10,15 @@ of nodes with ``100 * |intersection| >= percent * |union|`` that matters for the
    (A node whose filled segments are so few that an agreed one could be empty adds signatures
    under further hashes, and at last one shared by all such nodes: no link is lost.)
 2. Groups. Each node is checked against the least document of its buckets; the components of the
-   links found partition the nodes into groups of similar documents.
-3. Matrix. Groups (in chunks of at most ``CHUNK`` nodes) store the union of their shingles. A
-   node that shares a bucket with another component's chunk counts the overlap with the
-   union; only a chunk that could hold a partner is opened, and its nodes are checked one by one.
-   Pairs within a component add nothing to it and are skipped.
+   links found, and what is left around each least document, partition the nodes into groups of
+   similar documents.
+3. Matrix. Groups (of about ``CHUNK`` nodes) store the union of their shingles. Two groups that
+   share a bucket meet in one row. Each node of one counts its overlap with the union of the
+   other; only where that could hold a partner is the group opened, and its nodes are compared.
+   Pairs within a component add nothing to it and are skipped; no row is made for a pair of nodes.
 
 A frequent passage alone makes no candidates, as whole segments must agree. Shingles, sets and
-signatures are 64-bit hashes. All checks are joins with set intersections on the JVM.
+signatures are 64-bit hashes.
 
 Defined cases: a null text or one without words is an empty set and linked with nothing; with
 fewer words than a shingle has, the sequence is one shingle; documents with equal sets are
@@ -167,33 +168,76 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _members(groups: DataFrame) -> DataFrame:
-    """g, component, node: the groups cut into chunks of about CHUNK nodes by hash."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
-    return (groups.join(sizes, "component")
+    """g, component, node: similar nodes (one label) cut into groups of about CHUNK by hash."""
+    sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
+    return (groups.join(sizes, "label")
             .withColumn("slot", F.pmod(F.xxhash64(F.lit(3), "node"),
                                        1 + F.floor(F.col("size") / CHUNK)))
-            .select("component", "node", F.xxhash64("component", "slot").alias("g")))
+            .select("component", "node", F.xxhash64("label", "slot").alias("g")))
+
+
+def _open(percent: int):
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links between the groups of each row: a query's overlap with the other group's union
+        bounds that with its members; only queries that reach it are compared with them."""
+        for batch in batches:
+            a, b = [], []
+            for one, two in zip(batch.column("one"), batch.column("two")):
+                (nx, cx, tx, ox), (ny, cy, ty, oy) = _unpacked(one), _unpacked(two)
+                union, codes = np.unique(ty, return_inverse=True)
+                sizes = np.diff(oy)
+                for i in range(len(nx)):
+                    x = tx[ox[i]:ox[i + 1]]
+                    at = np.minimum(np.searchsorted(union, x), len(union) - 1)
+                    at = at[union[at] == x]
+                    if 100 * len(at) < percent * len(x):
+                        continue
+                    mark = np.zeros(len(union), dtype=np.int64)
+                    mark[at] = 1
+                    both = np.add.reduceat(mark[codes], oy[:-1])
+                    hit = (cy != cx[i]) & (100 * both >= percent * (len(x) + sizes - both))
+                    found = np.flatnonzero(hit)
+                    # one link to each component will do
+                    found = found[np.unique(cy[found], return_index=True)[1]]
+                    a.extend([int(nx[i])] * len(found))
+                    b.extend(ny[found].tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return opened
+
+
+def _unpacked(group: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes, components, all tokens, and where each node's tokens start."""
+    rows = group.values
+    tokens = rows.field("tokens")
+    lengths = tokens.value_lengths().to_numpy(zero_copy_only=False)
+    return (rows.field("node").to_numpy(zero_copy_only=False),
+            rows.field("component").to_numpy(zero_copy_only=False),
+            tokens.flatten().to_numpy(zero_copy_only=False),
+            np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
 
 
 def _matrix_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components, by way of the token-group matrix."""
+    """Links (a, b) between components, by way of the token-group matrix.
+
+    ``groups`` has node, component and label: nodes of a label are similar.
+    """
     members = staged(_members(groups), "group-members")
-    placed = buckets.select("sig", "node").join(members, "node")
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    placed = staged(placed.join(mixed.filter("lo < hi").select("sig"), "sig"), "mixed-buckets")
-    if placed.isEmpty():
-        return placed.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    chunks = placed.select("sig", F.col("component").alias("of"), "g").distinct()
-    asked = (placed.select("sig", "component", F.col("node").alias("a")).join(chunks, "sig")
-             .filter(F.col("of") < F.col("component")).select("a", "g").distinct())
-    wanted = members.join(asked.select("g").distinct(), "g", "left_semi")
-    unions = (wanted.join(sets, "node").groupBy("g")  # CHUNK sets or so
-              .agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union")))
-    need = F.ceil(F.lit(percent) * F.size("tokens") / 100)
-    opened = (asked.join(sets.select(F.col("node").alias("a"), "tokens"), "a").join(unions, "g")
-              .filter(F.size(F.array_intersect("tokens", "union")) >= need).select("a", "g"))
-    pairs = opened.join(wanted.select("g", F.col("node").alias("b")), "g").select("a", "b")
-    return _linked(pairs, sets, percent)
+    placed = (buckets.select("sig", "node").join(members, "node").groupBy("sig", "g")
+              .agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
+    mixed = placed.groupBy("sig").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
+    placed = staged(placed.join(mixed.filter("least < most").select("sig"), "sig"), "mixed-buckets")
+    one, two = (placed.select("sig", *[F.col(c).alias(f"{c}{k}") for c in ("g", "lo", "hi")])
+                for k in (1, 2))
+    # pairs of groups that meet in a bucket, not of their nodes
+    asked = (one.join(two, "sig").filter("g1 <= g2 AND (lo1 < hi1 OR lo2 < hi2 OR lo1 <> lo2)")
+             .select("g1", "g2").distinct())
+    asked = staged(asked, "group-pairs")
+    met = asked.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
+    packed = staged(members.join(met, "g", "left_semi").join(sets, "node").groupBy("g")  # CHUNK sets
+                    .agg(F.collect_list(F.struct("node", "component", "tokens")).alias("rows")), "groups")
+    return (asked.join(packed.select(F.col("g").alias("g1"), F.col("rows").alias("one")), "g1")
+            .join(packed.select(F.col("g").alias("g2"), F.col("rows").alias("two")), "g2")
+            .select("one", "two").mapInArrow(_open(percent), "a long, b long").distinct())
 
 
 def _buckets(d: DataFrame, width: int, percent: int) -> DataFrame:
@@ -222,10 +266,15 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     least = F.first("node").over(Window.partitionBy("sig").orderBy("rep", "node"))
     stars = (buckets.withColumn("b", least).filter(F.col("node") != F.col("b"))
              .select(F.col("node").alias("a"), "b").distinct())
+    stars = staged(stars, "stars")
     links = staged(_linked(stars, sets, percent), "star-links")
-    grouped = components(links)
-    groups = staged(buckets.select("node").distinct().join(grouped, "node", "left").select(
-        "node", F.coalesce("component", "node").alias("component")), "groups")
+    # similar: a component of links, or what else is left around one least document
+    near = buckets.select("node").distinct().join(components(links), "node", "left").join(
+        stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("center")), "node", "left")
+    groups = staged(near.select(
+        "node", F.coalesce("component", "node").alias("component"),
+        F.xxhash64(F.col("component").isNull(), F.coalesce("component", "center", "node")).alias("label")),
+        "groups")
     across = _matrix_links(buckets, groups, sets, percent)
     joined = components(links.unionByName(across))
     labels = reps.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

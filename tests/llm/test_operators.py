@@ -311,13 +311,28 @@ def test_matrix_opens_only_what_may_hold_a_partner(spark):
     sets = {1: base, 2: base[:97] + [201, 202, 203], 3: base[:50] + list(range(300, 350)), 4: base[3:]}
     frame = spark.createDataFrame(list(sets.items()), "node long, tokens array<long>")
     buckets = spark.createDataFrame([(9, n, n) for n in sets], "sig long, node long, rep long")
-    groups = spark.createDataFrame([(n, n) for n in sets], "node long, component long")
+    groups = spark.createDataFrame([(n, n, 0) for n in sets], "node long, component long, label long")
     links = {tuple(sorted((r.a, r.b))) for r in token_groups._matrix_links(buckets, groups, frame, 85).collect()}
     want = {(a, b) for a in sets for b in sets if a < b
             and 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
     assert links == want and (1, 2) in want and (1, 3) not in want
 
 
+def test_ngram_star_of_uneven_near_copies(spark):
+    """Copies of one text with few to many edits: some link to it, some to each other, some not."""
+    rng = random.Random(12)
+    base, rows = words(rng, 150).split(), []
+    for i in range(150):
+        t = list(base)
+        for k in rng.sample(range(150), rng.choice([0, 1, 2, 4, 8, 12])):
+            t[k] = rng.choice(["left", "right", f"own{i}"])
+        rows.append((i, " ".join(t)))
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in token_groups.ngram_components(table(spark, rows)).collect()}
+    want = brute_components(rows)
+    assert got == want and len({c for _, c in want.values()}) > 20
+
+
 def test_ngram_null_ids_repeats_and_empty(spark, empty):
     t = "one two three four five six"
     rows = [(5, t), (5, t), (None, t), (3, t.upper()), (8, ""), (9, None), (10, "two"), (11, "two")]
