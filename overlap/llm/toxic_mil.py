@@ -6,8 +6,8 @@ are learned from document labels alone (AdaGrad steps on the noisy-or likelihood
 shrinkage, for the features that occur in clearly more toxic documents than others), so the sentence scores that come with the model locate the offending sentences.
 
 The model is fitted on a bounded sample of labelled rows: at most ``max_positive`` toxic and
-``max_negative`` other documents, the first by a hash of the id (production values 3,000 and
-6,000); the sample's features are the only rows the driver sees. Every document is scored, over
+``max_negative`` other documents, the first by a hash of the id (production values 1,500 and
+3,000); the sample's features are the only rows the driver sees. Every document is scored, over
 its whole text. A word is a run of ASCII letters and non-ASCII bytes, A-Z lower-cased.
 
 Defined cases: a null or empty text is one empty sentence; a document labelled twice is toxic
@@ -17,6 +17,7 @@ every score is 0; repeated rows are scored each; an empty table gives an empty r
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,7 +83,7 @@ def telling(bags: list[tuple[np.ndarray, np.ndarray, int]], toxic: np.ndarray) -
 
 def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], labels: list[int]) -> np.ndarray:
     """Weights (the bias last) from bags (feature buckets, sentence of each, sentences)."""
-    distinct = {(b.tobytes(), s.tobytes()): i for i, (b, s, _) in enumerate(bags)}
+    distinct = {hashlib.sha256(b.tobytes() + s.tobytes()).digest(): i for i, (b, s, _) in enumerate(bags)}
     bags, toxic = [bags[i] for i in distinct.values()], np.array([labels[i] for i in distinct.values()])
     size = 1 << HASH_BITS
     w = np.zeros(size + 1)
@@ -118,6 +119,11 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], labels: list[int]) -> np
     return w
 
 
+def _places(sentences: int):
+    """The type for sentence numbers: the sample is held by the driver, so a short one."""
+    return np.uint16 if sentences <= 1 << 16 else np.int32
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
@@ -125,12 +131,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({
                 "toxic": part.column("toxic"),
                 "bucket": [b.astype(np.int32).tobytes() for b, _, _ in bags],
-                "sent": [s.astype(np.int32).tobytes() for _, s, _ in bags],
+                "sent": [s.astype(_places(len(x))).tobytes() for _, s, x in bags],
                 "n": pa.array([len(x) for _, _, x in bags], pa.int32())})
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000,
-          max_negative: int = 6000) -> np.ndarray | None:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 1500,
+          max_negative: int = 3000) -> np.ndarray | None:
     """Weights learned from labelled documents outside the held-out fold."""
     rows = (labels.select(F.col("doc_id").cast("long").alias("doc_id"),
                           F.col("toxic").cast("int").alias("toxic"))
@@ -148,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000,
             .mapInArrow(_features, "toxic int, bucket binary, sent binary, n int").collect())
     # the hash in the sort gives the same weights whatever order the rows arrive in
     bags.sort(key=lambda r: (r["toxic"], bytes(r["bucket"]), bytes(r["sent"])))
-    return fit([(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["sent"], np.int32), r["n"])
+    return fit([(np.frombuffer(r["bucket"], np.int32), np.frombuffer(r["sent"], _places(r["n"])), r["n"])
                 for r in bags], [r["toxic"] for r in bags])
 
 
