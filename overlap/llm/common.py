@@ -59,19 +59,16 @@ def keep_rows(docs: DataFrame, kept: DataFrame, **keys: Column) -> DataFrame:
 
     ``kept`` may have a column ``copies``: how often its row is given, 0 or null for never.
     """
-    names = {k: f"__keep_{k}" for k in keys}
-    wanted = kept.select(*[F.col(k).alias(f"__want_{k}") for k in keys],
-                         (F.col("copies") if "copies" in kept.columns else F.lit(1)).cast("int")
-                         .alias("__copies"))
-    wanted = wanted.groupBy(*[f"__want_{k}" for k in keys]).agg(F.sum("__copies").alias("__copies"))
-    if "copies" not in kept.columns:
-        wanted = wanted.withColumn("__copies", F.lit(1))
-    same = None
-    for k, name in names.items():
-        one = F.col(name).eqNullSafe(F.col(f"__want_{k}"))
-        same = one if same is None else same & one
-    order = Window.partitionBy(*names.values()).orderBy(*[F.col(c) for c in docs.columns])
-    return (docs.withColumns({names[k]: c for k, c in keys.items()}).join(wanted, same)
+    # a struct is never null and its null fields are equal: one exchange by it serves the join and
+    # the choice of one row
+    copies = F.col("copies") if "copies" in kept.columns else F.lit(1)
+    wanted = (kept.select(F.struct(*[F.col(k).alias(k) for k in keys]).alias("__key"),
+                          copies.cast("int").alias("__copies"))
+              .groupBy("__key").agg((F.sum if "copies" in kept.columns else F.max)("__copies")
+                                    .alias("__copies")))
+    order = Window.partitionBy("__key").orderBy(*[F.col(c) for c in docs.columns])
+    return (docs.withColumn("__key", F.struct(*[c.alias(k) for k, c in keys.items()]))
+            .join(wanted, "__key")
             .withColumn("__nth", F.row_number().over(order)).filter("__nth = 1")
             .filter(F.col("__copies") > 0)
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
