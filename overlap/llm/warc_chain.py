@@ -1,9 +1,10 @@
 """WARC archives: writing pages, and reading them back by boundary-chain verification.
 
 Writing: payloads are named by their SHA-1; the largest page_id of equal payloads is a response
-record, the others are revisit records without a payload that refer to it. Payloads meet in a
-map-side aggregate that keeps one (compressed) copy for each digest and task. Spark's text
-writer commits the archives to the shared folder.
+record, the others are revisit records without a payload that refer to it. Payloads
+that occur once are written where they are read; the others meet in a map-side aggregate that
+keeps one (compressed) copy for each digest and task. Spark's text writer commits the archives
+to the shared folder.
 
 Reading: a task searches an archive for the record magic and emits, for every occurrence, the
 candidate's offset and its successor's, from the lengths in the header. Pointer jumping from
@@ -30,17 +31,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from overlap.llm.common import slices
+from overlap.llm.common import slices, staged
 from overlap.session import scratch_path
 
 MAGIC = b"WARC/1.1\r\n"
 MAX_RECORDS = 2000
 HEADER_BYTES = 1 << 16
+BROADCAST_DIGESTS = 100_000
 DATE = "2000-01-01T00:00:00Z"
 
 
-def _base32(sha1_hex: str) -> str:
-    return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
+def _base32(sha1: bytes) -> str:
+    return base64.b32encode(sha1).decode()
 
 
 def _record_id(page_id: int | None, digest: str, kind: str, nth: int) -> str:
@@ -53,16 +55,15 @@ def record(kind: str, page_id: int | None, url: str | None, digest: str, payload
     """One WARC record, its closing line breaks included."""
     block = b""
     if kind == "response":
-        block = (b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
-                 b"%d\r\n\r\n" % len(payload)) + payload
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload
     uri = (url or "").encode().translate(None, b"\r\n").decode()
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page_id, digest, kind, nth)}",
-             f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}",
-             f"WARC-Payload-Bytes: {payload_bytes}"]
+             f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}"]
     if page_id is not None:
         lines.append(f"WARC-Page-ID: {page_id}")
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+        lines += [f"WARC-Payload-Bytes: {payload_bytes}",
+                  "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
                   f"WARC-Refers-To: {_record_id(refers_to, digest, 'response', 0)}"]
         if refers_to is not None:
             lines.append(f"WARC-Refers-To-Page: {refers_to}")
@@ -71,7 +72,7 @@ def record(kind: str, page_id: int | None, url: str | None, digest: str, payload
 
 
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=9).compress
     for batch in batches:
         for part in slices(batch, "html"):
             yield part.set_column(part.schema.get_field_index("html"), "html", pa.array(
@@ -83,7 +84,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html"):
             out = [record(r["kind"], r["page_id"], r["url"], _base32(r["sha1"]), r["n"], r["head"],
-                          unpack(r["html"]) if r["html"] else b"", r["nth"])[:-1]
+                          unpack(r["html"]) if r["packed"] else r["html"] or b"", r["nth"])[:-1]
                    for r in part.to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x.decode() for x in out], pa.string())],
                                              ["value"])
@@ -94,37 +95,46 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = (pages.select(F.col("page_id").cast("long").alias("page_id"),
                          F.col("url").cast("string").alias("url"), html.alias("html"))
-            .withColumns({"sha1": F.sha1("html"), "n": F.octet_length("html").cast("long")}))
-    squeezed = rows.mapInArrow(_squeeze, rows.schema)
-    none = F.lit(None).cast("long").alias("head")
-    tiny = squeezed.filter(F.col("n") < min_bytes).select(
-        "sha1", "n", F.lit("response").alias("kind"), "page_id", "url", "html", none, F.lit(0).alias("nth"))
-    one, key = F.struct("page_id", "url"), ["sha1", "n"]
-    payloads = (squeezed.filter(F.col("n") >= min_bytes)
-                .groupBy(*key).agg(F.max_by(F.struct("url", "html"), one).alias("x"),
-                                   F.max("page_id").alias("page_id"))
-                .select(*key, "page_id", F.col("x.url").alias("url"), F.col("x.html").alias("html")))
-    responses = payloads.select("sha1", "n", F.lit("response").alias("kind"), "page_id", "url", "html",
-                                none, F.lit(0).alias("nth"))
+            .withColumns({"sha1": F.unhex(F.sha1("html")), "n": F.octet_length("html").cast("long")}))
+    key = ["sha1", "n"]
     small = rows.filter(F.col("n") >= min_bytes).drop("html")
-    heads = small.groupBy(*key).agg(F.max("page_id").alias("head"), F.max(one).alias("top"))
-    counted = small.groupBy(*key, "page_id", "url").agg(F.count("*").alias("copies"))
-    revisits = (counted.join(heads.select(*key, "head", F.col("top.url").alias("h_url")), key)
-                .withColumn("nth", F.explode(F.expr("sequence(1, int(copies))")))
-                .filter(~(F.col("page_id").eqNullSafe(F.col("head")) & F.col("url").eqNullSafe(F.col("h_url"))
-                          & (F.col("nth") == 1)))
-                .select("sha1", "n", F.lit("revisit").alias("kind"), "page_id", "url",
-                        F.lit(None).cast("binary").alias("html"), "head", "nth"))
-    (responses.unionByName(revisits).unionByName(tiny).mapInArrow(_records, "value string")
+    heads = staged(small.groupBy(*key).agg(F.max(F.struct("page_id", "url")).alias("top"),
+                                           F.count("*").alias("rows")).filter("rows > 1").drop("rows"),
+                   "warc-repeated")
+    # digests that occur once need no exchange of their pages: few repeated digests are sent to
+    # the tasks (at most BROADCAST_DIGESTS rows of 64 bytes), many are met in a join
+    repeated = heads.select(*key)
+    if repeated.count() <= BROADCAST_DIGESTS:
+        repeated = F.broadcast(repeated)
+    none = F.lit(None).cast("long").alias("head")
+    once = rows.join(repeated, key, "left_anti").select(
+        *key, F.lit("response").alias("kind"), "page_id", "url", "html", F.lit(False).alias("packed"),
+        none, F.lit(0).alias("nth"))
+    again = rows.join(repeated, key, "left_semi").select(rows.columns)
+    # the largest struct is that of the largest page_id; equal payloads never decide
+    payloads = (again.mapInArrow(_squeeze, rows.schema).groupBy(*key)
+                .agg(F.max(F.struct("page_id", "url", "html")).alias("top")))
+    responses = payloads.select(*key, F.lit("response").alias("kind"), "top.page_id", "top.url",
+                                "top.html", F.lit(True).alias("packed"), none, F.lit(0).alias("nth"))
+    counted = (small.join(repeated, key, "left_semi").groupBy(*key, "page_id", "url")
+               .agg(F.count("*").cast("int").alias("copies")))
+    same = F.col("page_id").eqNullSafe(F.col("top.page_id")) & F.col("url").eqNullSafe(F.col("top.url"))
+    revisits = (counted.join(heads, key)
+                .withColumn("nth", F.explode(F.expr("sequence(1, copies)")))
+                .filter(~(same & (F.col("nth") == 1)))
+                .select(*key, F.lit("revisit").alias("kind"), "page_id", "url",
+                        F.lit(None).cast("binary").alias("html"), F.lit(False).alias("packed"),
+                        F.col("top.page_id").alias("head"), "nth"))
+    (once.unionByName(responses).unionByName(revisits).mapInArrow(_records, "value string")
      .write.option("lineSep", "\n").option("maxRecordsPerFile", MAX_RECORDS).text(path))
 
 
 _CANDIDATE = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("successor", pa.int64()),
                         ("page_id", pa.int64()), ("payload_bytes", pa.int64()),
                         ("payload_digest", pa.string()), ("record_type", pa.string()),
-                        ("refers_to", pa.int64()), ("target_uri", pa.string())])
+                        ("refers_to", pa.int64())])
 _CANDIDATE_SQL = ("path string, offset long, successor long, page_id long, payload_bytes long, "
-                  "payload_digest string, record_type string, refers_to long, target_uri string")
+                  "payload_digest string, record_type string, refers_to long")
 
 
 def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
@@ -163,8 +173,7 @@ def candidates_of(path: str, data: bytes) -> Iterator[tuple]:
                     payload = data[head + 4 if head >= 0 else start:start + length]
                     size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 yield (path, at, after, _number(fields, "warc-page-id"), size, digest,
-                       fields.get("warc-type"), _number(fields, "warc-refers-to-page"),
-                       fields.get("warc-target-uri"))
+                       fields.get("warc-type"), _number(fields, "warc-refers-to-page"))
         at = data.find(MAGIC, at + 1)
 
 
