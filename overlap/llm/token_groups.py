@@ -287,7 +287,7 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
 
 
 def op4_token_groups(spark, sf_dir: str) -> DataFrame:
-    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
 
 
 OP4_SQL = r"""
