@@ -6,7 +6,8 @@ return the columns of ``documents``:
 
 * toxicity drops documents that the multiple-instance model scores 0.5 or more;
 * exact dedup keeps, of equal texts, the row with the largest id;
-* n-gram join keeps, of each group of linked documents, the one with the smallest id;
+* n-gram join keeps, of each group of linked documents, the one with the smallest id (near copies:
+  word shingles of ``NEAR_WIDTH`` words whose similarity is ``NEAR_PERCENT`` percent or more);
 * mixing gives each document as often as the mix takes it (not at all, once or twice);
 * tokens encodes each row: ids of the pieces, their score, and whether they decode to the text.
 
@@ -23,6 +24,7 @@ from overlap.llm import content_sort, entropy_mix, piece_viterbi, token_groups,
 from overlap.llm.common import keep_rows, staged, text_hash
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+NEAR_WIDTH, NEAR_PERCENT = 5, 80  # of the stage; op4's contract has limits of its own
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = token_groups.ngram_components(docs)
+    rows = token_groups.ngram_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
     stays = rows.filter(F.col("component_id").isNull()
                         | F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id", "text_hash")
     return keep_rows(docs, stays.distinct(), doc_id=F.col("doc_id").cast("long"), text_hash=text_hash())

@@ -61,6 +61,46 @@ def test_ngram_stage_keeps_the_smallest_of_each_group(staged_rows):
     assert sorted(r.doc_id for r in after.collect()) == sorted({c for _, c in comps.values()})
 
 
+def near_components(rows, width=5, percent=80):
+    """The least id of every row's group, by all pairs of sets of word shingles."""
+    sets, root = {}, {i: i for i, _ in rows}
+    for i, t in rows:
+        w = lower(t).split()
+        sets[i] = {tuple(w[k:k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in root}
+
+
+def test_ngram_stage_takes_five_words_and_four_fifths(spark):
+    """Near copies below op4's limits: 4 scattered words of 200 changed, 45 words appended."""
+    base = [f"w{k}" for k in range(200)]
+    edited = [f"new{k}" if k in (30, 80, 120, 170) else w for k, w in enumerate(base)]
+    longer = [f"v{k}" for k in range(200)]
+    texts = [base, edited, longer, longer + [f"tail{k}" for k in range(45)],
+             longer[:100] + [f"other{k}" for k in range(100)], [f"u{k}" for k in range(60)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], SCHEMA)
+    got = {r.doc_id for r in corpus_pipeline.ngram_join(spark, docs, SF001).collect()}
+    assert got == set(near_components(rows).values()) == {0, 2, 4, 5}
+
+
+def test_ngram_stage_matches_brute_force_of_its_limits(staged_rows):
+    before, after = staged_rows[2][1], staged_rows[3][1]
+    want = near_components([(r.doc_id, r.text) for r in before.collect()])
+    assert sorted(r.doc_id for r in after.collect()) == sorted(set(want.values()))
+
+
 def test_mixing_stage_gives_copies(staged_rows):
     before, after = staged_rows[3][1], staged_rows[4][1]
     want = {r.doc_id: r.copies for r in entropy_mix.entropy_mix(before).collect() if r.copies}
