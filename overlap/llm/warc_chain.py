@@ -9,7 +9,7 @@ to the shared folder.
 Reading: a task searches an archive for the record magic and emits, for every occurrence, the
 candidate's offset and its successor's, from the lengths in the header. Pointer jumping from
 offset 0 (all offsets at once, the jumps doubling in each round) keeps the reachable
-candidates, so a magic inside a payload is not taken for a record. An archive holds at most
+candidates, so a magic inside a payload is not taken for a record. Headers may have any length. An archive holds at most
 ``MAX_RECORDS`` records, which bounds both the task and the group of candidates.
 
 Defined cases: a null html is an empty payload; payloads shorter than ``min_bytes`` are all
@@ -36,7 +36,6 @@ from overlap.session import scratch_path
 
 MAGIC = b"WARC/1.1\r\n"
 MAX_RECORDS = 2000
-HEADER_BYTES = 1 << 16
 BROADCAST_DIGESTS = 100_000
 DATE = "2000-01-01T00:00:00Z"
 
@@ -137,18 +136,41 @@ _CANDIDATE_SQL = ("path string, offset long, successor long, page_id long, paylo
                   "payload_digest string, record_type string, refers_to long")
 
 
-def _header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """Header fields of a candidate, and where its block starts."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if end < 0:
-        return None
-    fields = {}
-    for line in data[at + len(MAGIC):end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
+class _Headers:
+    """Headers of an archive, asked for at increasing offsets; a header may have any length.
+
+    Candidates before one blank line share its lines, which are read once: a field belongs to
+    those that start before its last occurrence.
+    """
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.end = data, -1
+
+    def _read(self, start: int) -> None:
+        self.fields, self.bad = {}, -1  # name: (offset, value); offset of the last line without a name
+        while start <= self.end:
+            stop = self.data.find(b"\r\n", start, self.end)
+            stop = self.end if stop < 0 else stop
+            name, colon, value = self.data[start:stop].partition(b":")
+            if colon:
+                self.fields[name.decode("latin-1").lower()] = start, value.strip()
+            else:
+                self.bad = start
+            start = stop + 2
+
+    def at(self, at: int) -> tuple[dict[str, str], int] | None:
+        """Header fields of a candidate, and where its block starts."""
+        first = at + len(MAGIC)
+        if self.end < at:
+            end = self.data.find(b"\r\n\r\n", at)
+            self.end = len(self.data) if end < 0 else end
+            self.blank = end >= 0
+            if self.blank:
+                self._read(first)
+        if not self.blank or first > self.end or self.bad >= first:
             return None
-        fields[name.decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    return fields, end + 4
+        return ({name: value.decode("utf-8", "replace") for name, (start, value) in self.fields.items()
+                 if start >= first}, self.end + 4)
 
 
 def _number(fields: dict[str, str], name: str) -> int | None:
@@ -158,9 +180,10 @@ def _number(fields: dict[str, str], name: str) -> int | None:
 
 def candidates_of(path: str, data: bytes) -> Iterator[tuple]:
     """A row of _CANDIDATE for every occurrence of the magic that a header could follow."""
+    headers = _Headers(data)
     at = data.find(MAGIC)
     while at >= 0:
-        got = _header(data, at)
+        got = headers.at(at)
         length = _number(got[0], "content-length") if got else None
         if length is not None and length >= 0:
             fields, start = got

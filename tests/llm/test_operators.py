@@ -118,6 +118,26 @@ def test_warc_small_payloads_and_empty_table(spark, tmp_path):
     assert warc_chain.read_archives(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_warc_long_url_breaks_no_chain(spark, tmp_path):
+    given = [(0, "data:text/plain," + "x" * 200_000, "first")] + [(i, f"u{i}", f"page {i}") for i in range(1, 6)]
+    path = str(tmp_path / "warc")
+    warc_chain.write_archives(pages(spark, given).coalesce(1), path)
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc_chain.read_archives(spark, path).collect()}
+    assert got == {i: (len(h), "response") for i, _, h in given}
+
+
+def test_warc_headers_of_candidates_that_share_a_blank_line():
+    m = warc_chain.MAGIC
+    data = (m + b"no name\r\n" + m + b"A: 1\r\nb: 2\r\nA: 3\r\nx:" + m + b"b: 4\r\n\r\nblock" + m + b"\r\n"
+            + b"c: 5\r\n\r\n" + m + b"d: 6")
+    headers, at, got = warc_chain._Headers(data), data.find(m), []
+    while at >= 0:
+        got.append(headers.at(at))
+        at = data.find(m, at + 1)
+    start = data.find(b"block")
+    assert got == [None, ({"a": "3", "b": "4", "x": "WARC/1.1"}, start), ({"b": "4"}, start), None, None]
+
+
 def test_pointer_jumping_keeps_the_chain():
     rng = random.Random(2)
     for _ in range(50):
