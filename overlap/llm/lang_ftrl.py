@@ -4,9 +4,12 @@ Features are hashed 1- to 3-grams of the lower-cased code points (runs of non-le
 one space), weighted by log term frequency times inverse document frequency and scaled to unit
 length. Document frequencies are counted over every learnable document. Weights are trained by
 follow-the-regularised-leader (FTRL-proximal: per-coordinate rates, L1 and L2 penalties), one
-softmax row for each language, on a bounded sample: at most ``max_docs`` learnable documents,
-the first by a hash of the id (production value 4,000, three parts for the weights and one for
-the temperature that calibrates the scores). Every document is predicted over its whole text.
+softmax row for each language. The languages are all of the learnable documents; the weights see a
+sample of each: its first texts by hash, equal texts counted once, as many as ``quota`` gives every
+language so that all take ``max_docs`` (production value 4,000), and ``LEAST_DOCS`` at least, or all
+it has. Of each language's sample, three parts are for the weights and one for the temperature that
+calibrates the scores. So languages weigh alike, however rare, and the sample grows with the number
+of languages only. Every document is predicted over its whole text.
 
 Learnable: non-null language, not held out (crc32 of the id as text mod 4 is not 2). Defined
 cases: a null text or one without a letter is ``und`` with score 0, as is every text when
@@ -21,15 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from overlap.llm.common import documents_of, held_out, mix, slices
+from overlap.llm.common import documents_of, held_out, mix, slices, staged
 
 HASH_BITS = 16
 ORDERS = (1, 2, 3)
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 EPOCHS = 3
+LEAST_DOCS = 50
+LETTER = r"[\p{L}\p{Nl}\p{No}]"  # what _GAP leaves
 UNKNOWN = "und"
 _GAP = re.compile(r"[\W\d_]+")
 
@@ -118,13 +123,50 @@ def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            got = [(d, lang, c) for d, lang, t in zip(*(part.column(k).to_pylist() for k in (
-                "doc_id", "lang", "text"))) if (c := counts_of(t)) is not None]
+            got = [(*r, c) for *r, t in zip(*(part.column(k).to_pylist() for k in (
+                "lang", "key", "nth", "text"))) if (c := counts_of(t)) is not None]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array([d for d, _, _ in got], pa.int64()),
-                "lang": pa.array([g for _, g, _ in got], pa.string()),
-                "at": pa.array([c[0].astype(np.int32).tobytes() for *_, c in got], pa.binary()),
-                "tf": pa.array([c[1].astype(np.int32).tobytes() for *_, c in got], pa.binary())})
+                "lang": pa.array([r[0] for r in got], pa.string()),
+                "key": pa.array([r[1] for r in got], pa.int64()),
+                "nth": pa.array([r[2] for r in got], pa.int32()),
+                "at": pa.array([r[3][0].astype(np.int32).tobytes() for r in got], pa.binary()),
+                "tf": pa.array([r[3][1].astype(np.int32).tobytes() for r in got], pa.binary())})
+
+
+def quota(sizes: list[int], most: int) -> int:
+    """Texts of each language, so that languages of these sizes take ``most`` together.
+
+    What small languages leave goes to the others; LEAST_DOCS at least.
+    """
+    left = most
+    for k, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - k)
+        if size > share:
+            return max(share, LEAST_DOCS)
+        left -= size
+    return max([LEAST_DOCS, *sizes])
+
+
+def sample(learn: DataFrame, max_docs: int) -> DataFrame:
+    """lang, key, nth, text: the first texts of each language by hash, equal texts once."""
+    keyed = (learn.filter(F.col("text").rlike(LETTER))
+             .select("lang", F.xxhash64(F.lit(9), "text").alias("key"), "text"))
+    keys = staged(keyed.select("lang", "key"), "lang-keys")
+    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(  # a row for each language
+        F.approx_count_distinct("key", 0.02).alias("n")).collect()}
+    if not sizes:
+        return keyed.select("lang", "key", F.lit(1).alias("nth"), "text")
+    each = quota(list(sizes.values()), max_docs)
+    # keys are uniform: below the bound lie about 3 * each of a language's texts, or all of them
+    bounds = keys.sparkSession.createDataFrame(
+        [(lang, -2 ** 63 + min(2 ** 64 - 1, 2 ** 64 * 3 * each // n)) for lang, n in sizes.items()],
+        "lang string, bound long")
+    first = (keys.join(F.broadcast(bounds), "lang").filter("key <= bound")
+             .select("lang", "key").distinct()
+             .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+             .filter(F.col("nth") <= each))
+    return (keyed.join(F.broadcast(first), ["lang", "key"])  # ``each`` rows a language
+            .groupBy("lang", "key", "nth").agg(F.first("text").alias("text")))
 
 
 def train(docs: DataFrame, max_docs: int = 4000) -> tuple[list[str], np.ndarray, np.ndarray, float] | None:
@@ -143,23 +185,20 @@ def train(docs: DataFrame, max_docs: int = 4000) -> tuple[list[str], np.ndarray,
     if not total:
         return None
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-    ids = (learn.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct()
-           .orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(max_docs))
-    chosen = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in ids.collect()], "doc_id long")
-    got = (learn.join(F.broadcast(chosen), "doc_id")  # max_docs rows
-           .select("doc_id", "lang", "text")
-           .mapInArrow(_features, "doc_id long, lang string, at binary, tf binary").collect())
+    got = (sample(learn, max_docs).select("lang", "key", "nth", "text")
+           .mapInArrow(_features, "lang string, key long, nth int, at binary, tf binary").collect())
     if not got:
         return None
-    got.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["at"]), bytes(r["tf"])))
+    got.sort(key=lambda r: (r["key"], r["lang"]))
     langs = sorted({r["lang"] for r in got})
+    number = {lang: k for k, lang in enumerate(langs)}
     rows = []
     for r in got:
         at = np.frombuffer(r["at"], np.int32).astype(np.int64)
-        rows.append((at, _tfidf(at, np.frombuffer(r["tf"], np.int32), idf), langs.index(r["lang"])))
-    for_scores = [i for i, r in enumerate(got) if r["doc_id"] % 4 == 3]
+        rows.append((at, _tfidf(at, np.frombuffer(r["tf"], np.int32), idf), number[r["lang"]]))
+    for_scores = [i for i, r in enumerate(got) if r["nth"] % 4 == 0]
     kept = set(for_scores)
-    w = fit([x for i, x in enumerate(rows) if i not in kept] or rows, len(langs))
+    w = fit([x for i, x in enumerate(rows) if i not in kept], len(langs))
     logits = np.array([rows[i][1] @ w[rows[i][0]] + w[-1] for i in for_scores])
     return langs, idf, w, temperature(logits, np.array([rows[i][2] for i in for_scores], dtype=np.int64))
 

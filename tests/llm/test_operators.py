@@ -493,6 +493,32 @@ def test_language_id(spark, empty):
     assert {r.lang_pred for r in lang_ftrl.language_id(unlabelled).collect()} == {"und"}
 
 
+def test_rare_language_is_learnt_beside_copies(spark):
+    """3 texts of a language beside 900 of others, half of them copies, with a sample of 40."""
+    rng = random.Random(4)
+    rows = [(i, words(rng, 20, "abcdefg"), "xx") for i in range(450)]
+    rows += [(1000 + i, "hot copy of one text hij", "yy") for i in range(400)]
+    rows += [(2000 + i, words(rng, 20, "ghijklm"), "yy") for i in range(50)]
+    learnable = [i for i in range(3000, 3100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rare = [(i, words(rng, 20, "éàùçbcd"), "zz") for i in learnable[:3]]
+    held = [(i, words(rng, 20, "éàùçbcd"), "zz") for i in range(3100, 3200) if i not in learnable][:20]
+    docs = table(spark, [*rows, *rare, *held])
+    model = lang_ftrl.train(docs, max_docs=40)
+    assert model[0] == ["xx", "yy", "zz"]
+    got = {r.doc_id: r.lang_pred for r in lang_ftrl.predict(docs, model).collect()}
+    assert all(got[i] == "zz" for i, *_ in [*rare, *held])
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.95 * len(rows)
+    taken = lang_ftrl.sample(docs.filter("lang = 'yy'"), 40).collect()
+    assert len({r.text for r in taken}) == len(taken) == lang_ftrl.LEAST_DOCS
+
+
+def test_language_quota():
+    assert lang_ftrl.quota([10 ** 6] * 4, 4000) == 1000
+    assert lang_ftrl.quota([10 ** 6, 3, 10 ** 6], 4000) == 1998
+    assert lang_ftrl.quota([5, 7], 4000) == lang_ftrl.LEAST_DOCS
+    assert lang_ftrl.quota([10 ** 6] * 1000, 4000) == lang_ftrl.LEAST_DOCS
+
+
 def test_language_weights_are_sparse_and_calibrated():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 400)
