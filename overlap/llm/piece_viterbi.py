@@ -1,7 +1,11 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-The vocabulary is that of a given model file (pieces, log scores, byte pieces); nothing is
-trained. The best segmentation of the text maximises the sum of piece scores; a character that
+The pieces are those of a given model file. Its scores are not used, as those of a BPE file are
+negated merge ranks and no likelihoods: log probabilities are estimated by ``ROUNDS`` rounds of
+expectation maximisation over all documents, from equal ones on. Words (see below) are counted
+once; a round adds up every piece's expected count over all segmentations of all words, in fixed
+point, and only a vocabulary-sized result reaches the driver. A count under ``FLOOR`` is taken as
+``FLOOR``, so every piece stays usable. The best segmentation of the text maximises the sum of piece scores; a character that
 is no piece costs the least score minus 10 and becomes its UTF-8 byte pieces. A blank is the
 marker U+2581, and one marker is put before a text that isn't empty; decoding undoes both and
 leaves markers that come from byte pieces alone, so every text is restored byte by byte.
@@ -19,19 +23,27 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from math import exp, inf, log1p
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from overlap.llm.common import slices
+from overlap.llm.common import slices, staged
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
 CACHE = 400_000
+ROUNDS = 4
+FLOOR = 0.5
+FIXED = 1 << 16
+KEPT_STEPS = 4096  # positions of a word whose steps are kept from the forward to the backward pass
+COUNT_BYTES = 32 << 20
 
 
 def load_vocabulary(path: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -167,6 +179,57 @@ class Codec:
             j = i
         return np.array(ids[::-1], dtype=np.int32).tobytes()
 
+    def _steps(self, s: bytes, i: int, until: int) -> list[tuple[int, int]]:
+        """(end, piece) of what may follow position i; piece -1 is a character that is none."""
+        n, base, check, value = len(s), self.base, self.check, self.value
+        stop = i + 1
+        while stop < n and s[stop] & 0xC0 == 0x80:
+            stop += 1
+        out, state, single = [], 0, False
+        for j in range(i, until):
+            to = base[state] + s[j] + 1
+            if check[to] != state:
+                break
+            state = to
+            if value[state] >= 0:
+                single |= j + 1 == stop
+                out.append((j + 1, value[state]))
+        if not single:
+            out.append((stop, -1))
+        return out
+
+    def expected(self, chunk: bytes, times: int, counts: dict[int, int]) -> None:
+        """Adds the expected counts (times FIXED) of the pieces of ``times`` such chunks."""
+        blanks = len(chunk) - len(chunk.lstrip(b" "))
+        s = MARK * blanks + chunk[blanks:]
+        n, scores, unknown = len(s), self.scores, self.unknown
+        own = [n] if MARK not in chunk else [
+            m.start() for m in re.finditer(MARK, s) if m.start() >= 3 * blanks] + [n]
+        kept: dict[int, list[tuple[int, int]]] = {}
+        forward, backward = [-inf] * (n + 1), [-inf] * (n + 1)
+        forward[0] = backward[n] = 0.0
+        for i in range(n):
+            here = forward[i]
+            if here == -inf:
+                continue
+            steps = self._steps(s, i, own[bisect_left(own, i)])
+            if n <= KEPT_STEPS:
+                kept[i] = steps
+            for j, v in steps:
+                x, y = here + (scores[v] if v >= 0 else unknown), forward[j]
+                forward[j] = x if y == -inf else max(x, y) + log1p(exp(-abs(x - y)))
+        whole = forward[n]
+        for i in range(n - 1, -1, -1):
+            if forward[i] == -inf:
+                continue
+            total = -inf
+            for j, v in kept.get(i) or self._steps(s, i, own[bisect_left(own, i)]):
+                x = backward[j] + (scores[v] if v >= 0 else unknown)
+                total = x if total == -inf else max(x, total) + log1p(exp(-abs(x - total)))
+                if v >= 0:
+                    counts[v] += round(times * FIXED * min(1.0, exp(forward[i] + x - whole)))
+            backward[i] = total
+
     def encode(self, text: bytes) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
@@ -206,12 +269,85 @@ _ENCODED = ("doc_id long, n_bytes long, n_tokens long, n_fallback long, score do
             "lossless boolean, text_sha256 string, token_ids array<int>")
 
 
-def shared_tables(spark, model: str = MODEL):
-    """The broadcast vocabulary and trie of a model file."""
-    pieces, scores, byte_ids = load_vocabulary(model)
-    tables = (pieces, scores, byte_ids, *double_array(pieces))
+def shared_tables(spark, model: str = MODEL, scores: np.ndarray | None = None, built: tuple | None = None):
+    """The broadcast vocabulary and trie of a model file, with its scores or the given ones."""
+    pieces, own, byte_ids, *trie = built or _built(model)
+    scores = own if scores is None else scores
     name = hashlib.sha256(b"\0".join(pieces) + scores.tobytes()).hexdigest()
-    return spark.sparkContext.broadcast((name, *tables))  # one vocabulary
+    return spark.sparkContext.broadcast((name, pieces, scores, byte_ids, *trie))  # one vocabulary
+
+
+def _built(model: str) -> tuple:
+    pieces, scores, byte_ids = load_vocabulary(model)
+    return pieces, scores, byte_ids, *double_array(pieces)
+
+
+def log_probabilities(counts: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+    """Of each piece by its count, FLOOR at least; other ids have the least."""
+    normal = np.array([bool(p) for p in pieces])
+    seen = np.where(normal, np.maximum(counts, FLOOR), 0.0)
+    return np.log(np.where(normal, seen, FLOOR) / max(seen.sum(), FLOOR))
+
+
+def words_of_documents(texts: DataFrame, shared) -> DataFrame:
+    """word, n: how often each word occurs in the column ``text`` (binary)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks, found, held = _codec(shared).chunks, Counter(), 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            words, lo, size = list(found), 0, 0
+            for hi, w in enumerate(words, 1):
+                size += len(w)
+                if size >= COUNT_BYTES or hi - lo >= 1 << 17 or hi == len(words):
+                    part = words[lo:hi]
+                    yield pa.RecordBatch.from_pydict({
+                        "word": pa.array(part, pa.binary()), "n": pa.array([found[w] for w in part], pa.int64())})
+                    lo, size = hi, 0
+            found.clear()
+
+        for batch in batches:
+            for part in slices(batch):
+                for t in part.column("text").to_pylist():
+                    if t:
+                        got = Counter(chunks(b" " + t))
+                        held += sum(len(w) + 64 for w in got if w not in found)
+                        found.update(got)
+                        if held >= COUNT_BYTES:
+                            yield from flushed()
+                            held = 0
+        yield from flushed()
+
+    # a number of partitions that is not reduced: the words are work for every core
+    many = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (texts.mapInArrow(counted, "word binary, n long").repartition(many, "word")
+            .groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def estimate(docs: DataFrame, built: tuple, rounds: int = ROUNDS) -> np.ndarray:
+    """Log probabilities of the pieces over all of ``docs``."""
+    spark, pieces = docs.sparkSession, built[0]
+    scores = log_probabilities(np.zeros(len(pieces)), pieces)
+    words = staged(words_of_documents(docs.select(F.col("text").cast("string").cast("binary").alias("text")),
+                                      shared_tables(spark, scores=scores, built=built)), "piece-words")
+    for _ in range(rounds):
+        shared = shared_tables(spark, scores=scores, built=built)
+
+        def expected(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            codec, counts = _codec(shared), Counter()
+            for batch in batches:
+                for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                    codec.expected(word, n, counts)
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(list(counts), pa.int32()),
+                                              "n": pa.array(list(counts.values()), pa.int64())})
+
+        counts = np.zeros(len(pieces))
+        for r in (words.mapInArrow(expected, "piece int, n long").groupBy("piece")
+                  .agg(F.sum("n").alias("n")).collect()):  # a row for each piece
+            counts[r["piece"]] = r["n"] / FIXED
+        scores = log_probabilities(counts, pieces)
+        shared.unpersist()
+    return scores
 
 
 def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -219,7 +355,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     ``text_sha256`` is that of the decoded text.
     """
-    shared = shared_tables(docs.sparkSession, model)
+    built = _built(model)
+    shared = shared_tables(docs.sparkSession, scores=estimate(docs, built), built=built)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)

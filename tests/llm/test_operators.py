@@ -240,6 +240,57 @@ def test_viterbi_is_best_and_lossless(codec, rows):
         assert c.score(ids) == pytest.approx(plain_viterbi(t, pieces, scores, c.unknown), abs=1e-3)
 
 
+def test_pieces_have_probabilities_of_the_documents(spark):
+    """Merge ranks split ' the' and ' information'; likelihoods of a text that repeats them do not."""
+    text = "the information of the house in the form of information " * 20
+    docs = table(spark, [(i, text) for i in range(5)] + [(9, None), (10, "zq ▁x 日 🙂 " + "y" * 5000)])
+    built = piece_viterbi._built(piece_viterbi.MODEL)
+    scores = piece_viterbi.estimate(docs, built)
+    normal = [bool(p) for p in built[0]]
+    assert np.exp(scores[normal]).sum() == pytest.approx(1)
+    assert (scores == piece_viterbi.estimate(docs, built)).all()
+    got = {r.doc_id: r for r in piece_viterbi.encode_documents(docs).collect()}
+    assert [built[0][i].decode() for i in got[0].token_ids][:5] == ["▁the", "▁information", "▁of", "▁the", "▁house"]
+    assert got[0].score == pytest.approx(scores[got[0].token_ids].sum())
+    assert all(r.lossless for r in got.values())
+
+
+def test_expected_counts_match_all_segmentations(codec):
+    """The sum over every path, for short words, some with markers and characters that are no piece."""
+    _, pieces, _ = codec
+    built = piece_viterbi._built(piece_viterbi.MODEL)
+    scores = piece_viterbi.log_probabilities(np.arange(len(pieces)) % 97, pieces)
+    c = piece_viterbi.Codec(pieces, scores, *built[2:])
+    for word in (" then", "  in", "a▁b", " 🙂x", "\n"):
+        paths = []
+
+        def walk(i, path, score, s, own):
+            if i == len(s):
+                return paths.append((path, score))
+            until = min([m for m in own if m >= i], default=len(s))
+            ends = [j for j in range(i + 1, until + 1) if s[i:j] in c_ids]
+            for j in ends:
+                v = c_ids[s[i:j]]
+                walk(j, [*path, v], score + scores[v], s, own)
+            one = i + len(s[i:].decode()[0].encode())
+            if one not in ends:
+                walk(one, path, score + c.unknown, s, own)
+
+        c_ids = {p: i for i, p in enumerate(pieces) if p}
+        blanks = len(word) - len(word.lstrip(" "))
+        s = piece_viterbi.MARK * blanks + word[blanks:].encode()
+        own = [m.start() for m in re.finditer(piece_viterbi.MARK, s) if m.start() >= 3 * blanks]
+        walk(0, [], 0.0, s, own)
+        whole, want, got = sum(math.exp(x) for _, x in paths), Counter(), Counter()
+        for path, x in paths:
+            for v in path:
+                want[v] += 3 * math.exp(x) / whole
+        c.expected(word.encode(), 3, got)
+        assert {v: n / piece_viterbi.FIXED for v, n in got.items() if n} == pytest.approx(
+            {v: n for v, n in want.items() if v in got and got[v]}, abs=1e-3)
+        assert sum(got.values()) / piece_viterbi.FIXED == pytest.approx(sum(want.values()), abs=1e-2)
+
+
 def test_double_array_holds_exactly_the_pieces(codec):
     c, pieces, _ = codec
     for i, p in enumerate(pieces):
