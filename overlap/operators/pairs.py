@@ -15,6 +15,10 @@ Two physical strategies, same answer:
     The textbook plan: join the raw rows on the key, explode the array late (after the
     join, so the array side ships one row per key) or early, then ``count(distinct)``.
     Its distinct aggregation shuffles every (a, b, key) triple; kept for comparison.
+
+``blocks``
+    Key sets whose hot keys (more than ``chunk`` values on a side) are cut into chunks, and every
+    chunk pair is dealt to a task of its own (see ``blocks``). One more pass counts rows a key.
 """
 
 from __future__ import annotations
@@ -22,9 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from overlap.operators.blocks import CHUNK, block_pairs, heavy_keys
 from overlap.schema import key_column, key_predicate
 
-STRATEGIES = ("keysets", "join")
+STRATEGIES = ("keysets", "join", "blocks")
 EXPLODE = ("late", "early")
 
 
@@ -67,10 +72,10 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
               strategy: str = "keysets", explode: str = "late", blank: str = "drop",
               per_key: dict[str, Column] | None = None,
               partition_by: str | None = None,
-              extra: list[str] | None = None) -> DataFrame:
+              extra: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """``(key, left_name, right_name, *per_key)`` rows of the key join.
 
-    With ``strategy="keysets"`` every (key, a, b) occurs exactly once. ``per_key`` columns
+    With ``strategy="keysets"`` or ``"blocks"`` every (key, a, b) occurs exactly once. ``per_key`` columns
     are computed once per key (before the explode) from the normalised key column.
     ``partition_by`` (a per-key column) re-partitions the one-row-per-key join output on it
     *before* the explode, so an aggregate grouped by (..., that column) is complete within
@@ -95,6 +100,21 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
                          right_name + "_set")
                  .select(key, left_name, F.explode(right_name + "_set").alias(right_name),
                          *extra))
+    if strategy == "blocks":
+        if partition_by or carried:
+            raise ValueError("blocks takes neither partition_by nor extra columns")
+        lv, rv = (_values(df, key, dim, is_array, name, blank) for df, dim, is_array, name in (
+            (left, left_dim, left_is_array, left_name), (right, right_dim, right_is_array, right_name)))
+
+        def keyed(df, dim, is_array):
+            weight = F.greatest(F.size(dim), F.lit(0)) if is_array else F.lit(1)
+            return df.where(key_predicate(key, blank)).select(
+                key_column(df, key, blank).alias(key), weight.alias("_w"))
+
+        hot = heavy_keys(keyed(left, left_dim, left_is_array), keyed(right, right_dim, right_is_array),
+                         key, chunk, F.col("_w"), F.col("_w"))
+        rows = block_pairs(lv, rv, key, left_name, right_name, hot=hot, chunk=chunk)
+        return rows.withColumns(per_key) if per_key else rows
     # strategy == "join"
     if explode == "early" or not left_is_array:
         lv = _values(left, key, left_dim, left_is_array, left_name, blank)
@@ -118,7 +138,7 @@ def pair_counts(left: DataFrame, right: DataFrame, *, key: str = "pid",
                 left_name: str = "location", right_name: str = "interest",
                 exact: bool = True, rsd: float = 0.05, strategy: str = "keysets",
                 explode: str = "late", blank: str = "drop",
-                count_col: str | None = None) -> DataFrame:
+                count_col: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """Q1/Q2: ``(left_name, right_name, distinct_count | approx_pid_count)`` for co-occurring pairs.
 
     ``exact=True`` -> exact distinct keys (bigint); ``exact=False`` -> ``approx_count_distinct``
@@ -131,10 +151,10 @@ def pair_counts(left: DataFrame, right: DataFrame, *, key: str = "pid",
     rows = pair_rows(left, right, key=key, left_dim=left_dim, right_dim=right_dim,
                      left_is_array=left_is_array, right_is_array=right_is_array,
                      left_name=left_name, right_name=right_name, strategy=strategy,
-                     explode=explode, blank=blank, per_key=per_key)
+                     explode=explode, blank=blank, per_key=per_key, chunk=chunk)
     if exact:
         name = count_col or "distinct_count"
-        agg = (F.count(F.lit(1)) if strategy == "keysets" else F.count_distinct(key)).alias(name)
+        agg = (F.count_distinct(key) if strategy == "join" else F.count(F.lit(1))).alias(name)
     else:
         name = count_col or "approx_pid_count"
         agg = F.approx_count_distinct("_h", rsd).alias(name)

@@ -24,6 +24,7 @@ from overlap.operators.pairs import pair_counts
 from overlap.operators.registers import estimate_registers, register_hll, register_pairs
 from overlap.session import scratch_path
 from overlap.operators.theta import theta_pairs, theta_sets
+from overlap.plans import merging
 from overlap.schema import lg_nominal
 from overlap.sources import fixtures
 
@@ -465,37 +466,52 @@ def accuracy_by_column_name(spark, sf_dir):
         "location1", "interest1", "count_1", "count_2")
 
 
+def _brand_years(spark, sf_dir):
+    """Every brand with every order year of the table: the cells a report asks for."""
+    rows = fixtures.interests_by_year(spark, sf_dir)
+    years = rows.select("year").distinct()
+    return rows.select("interest").distinct().crossJoin(F.broadcast(years))  # some years a brand
+
+
 def empty_sketches(spark, sf_dir):
-    """Brands without a sketch for a year that has no orders estimate 0."""
+    """Keys of the nation with the fewest customers a (brand, year): a cell that no row has is the
+    empty sketch and estimates 0 (A13)."""
     from overlap.functions.sketches import empty_hll, empty_hll_bytes, hll_estimate
     from overlap.operators.hll import hll_sets
 
     rows = fixtures.interests_by_year(spark, sf_dir)
-    none = hll_sets(rows.where("year < 1900"), ["interest"]).withColumnRenamed("interest", "i")
+    users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        F.col("c_custkey").cast("string").alias("pid"), "c_nationkey")
+    least = users.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n")).orderBy(
+        "n", "c_nationkey").limit(1)
+    few = rows.join(users.join(least, "c_nationkey").select("pid"), "pid")
+    some = hll_sets(few, ["interest", "year"]).withColumnsRenamed({"interest": "i", "year": "y"})
     empty = F.lit(empty_hll_bytes(spark))
-    return (rows.select("interest").distinct()
-            .join(none, F.col("interest").eqNullSafe(F.col("i")), "left")
-            .select("interest", hll_estimate(empty_hll(F.col("hll_bytes"), empty)).alias("estimate")))
+    return (_brand_years(spark, sf_dir)
+            .join(some, F.col("interest").eqNullSafe(F.col("i")) & F.col("year").eqNullSafe(F.col("y")), "left")
+            .select("interest", "year", hll_estimate(empty_hll(F.col("hll_bytes"), empty)).alias("estimate")))
 
 
-TWO_YEARS = (1995, 1996)
-
-
-def _two_years(spark, sf_dir, build):
-    rows = fixtures.interests_by_year(spark, sf_dir)
-    a, b = (build(rows.where(F.col("year") == y)).withColumnRenamed("sketch", f"s{y}")
-            for y in TWO_YEARS)
-    return a.join(b, "interest")
+def _with_last_year(sets: DataFrame) -> DataFrame:
+    """Each (brand, year) beside the brand's sketch of the year before (null where there is none)."""
+    before = sets.select(F.col("interest").alias("i"), (F.col("year") + 1).alias("y"),
+                         F.col("sketch").alias("last"))
+    both = sets.join(before, F.col("interest").eqNullSafe(F.col("i")) & (F.col("year") == F.col("y")), "full")
+    here = F.col("year").isNotNull()
+    return both.select(F.when(here, F.col("interest")).otherwise(F.col("i")).alias("interest"),
+                       F.coalesce("year", "y").alias("year"), "sketch", "last")
 
 
 def theta_union_of_two(spark, sf_dir):
-    """Union of two stored theta sketches, one a year."""
+    """Union of two stored theta sketches (E2): each brand's years with the year before."""
     from overlap.functions.sketches import theta_merge
+    from overlap.schema import sketch_input
 
     lg = lg_nominal(NOMINAL)
-    both = _two_years(spark, sf_dir, lambda r: theta_sets(r, dim="interest", lg_nom=lg))
-    return both.select("interest", theta_estimate(
-        theta_merge(*[f"s{y}" for y in TWO_YEARS], lg_nom=lg)).alias("estimate"))
+    sets = fixtures.interests_by_year(spark, sf_dir).groupBy("interest", "year").agg(
+        F.theta_sketch_agg(sketch_input(F.col("pid")), lg).alias("sketch"))
+    merged = F.coalesce(theta_merge("sketch", "last", lg_nom=lg), F.col("sketch"), F.col("last"))
+    return _with_last_year(sets).select("interest", "year", theta_estimate(merged).alias("estimate"))
 
 
 def hll_union_of_two(spark, sf_dir):
@@ -503,13 +519,26 @@ def hll_union_of_two(spark, sf_dir):
     from overlap.functions.sketches import hll_estimate, hll_merge
     from overlap.operators.hll import hll_sets
 
-    both = _two_years(spark, sf_dir, lambda r: hll_sets(r, ["interest"], lg_config_k=HLL_LG_K,
-                                                        out="sketch"))
-    exact = (fixtures.interests_by_year(spark, sf_dir).where(F.col("year").isin(*TWO_YEARS))
-             .groupBy(F.col("interest").alias("i")).agg(F.count_distinct("pid").alias("keys")))
-    est = hll_estimate(hll_merge(*[f"s{y}" for y in TWO_YEARS]))
-    return both.join(exact, F.col("interest") == F.col("i")).select(
-        "interest", "keys", within_bound(est, "keys", HLL_BOUND).alias("within_bound"))
+    rows = fixtures.interests_by_year(spark, sf_dir)
+    both = _with_last_year(hll_sets(rows, ["interest", "year"], lg_config_k=HLL_LG_K, out="sketch"))
+    spread = rows.withColumn("y", F.explode(F.array("year", F.col("year") + 1)))
+    exact = spread.groupBy(F.col("interest").alias("i"), "y").agg(F.count_distinct("pid").alias("keys"))
+    est = hll_estimate(F.coalesce(hll_merge("sketch", "last"), F.col("sketch"), F.col("last")))
+    return both.join(exact, F.col("interest").eqNullSafe(F.col("i")) & (F.col("year") == F.col("y"))).select(
+        "interest", "year", "keys", within_bound(est, "keys", HLL_BOUND).alias("within_bound"))
+
+
+def hll_union_sql(spark, sf_dir):
+    """Stored HLL sketches per (brand, year), united per brand in SQL."""
+    from overlap.operators.hll import hll_sets
+    from overlap.plans.sql import run_union_sql
+
+    rows = fixtures.interests_by_year(spark, sf_dir)
+    stored = hll_sets(rows, ["interest", "year"], lg_config_k=HLL_LG_K, out="sketch")
+    est = run_union_sql(spark, stored.withColumnRenamed("interest", "value"), "hll")
+    exact = rows.groupBy("interest").agg(F.count_distinct("pid").alias("keys"))
+    return exact.join(est, F.col("interest").eqNullSafe(F.col("value"))).select(
+        "interest", "keys", within_bound("estimate", "keys", HLL_BOUND).alias("within_bound"))
 
 
 def one_key_sketches(spark, sf_dir):
@@ -607,4 +636,6 @@ def registry() -> dict[str, Query]:
         "theta_union_of_two": theta_union_of_two,
         "hll_union_of_two": hll_union_of_two,
         "one_key_sketches": one_key_sketches,
+        "hll_union_sql": hll_union_sql,
+        **merging.registry(),
     }

@@ -26,7 +26,7 @@ def test_no_python_anywhere(spark):
             continue
         plan = executed_plan(fn(spark, SF001))
         for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas",
-                     "MapInPandas", "PythonUDF"):
+                     "MapInPandas", "MapInArrow", "FlatMapGroupsInArrow", "PythonUDF"):
             assert node not in plan, (name, node)
 
 
