@@ -9,9 +9,11 @@ from overlap.llm.kd_shards import op6_kd_shards
 from overlap.llm.lang_ftrl import op8_lang_ftrl
 from overlap.llm.piece_viterbi import op3_piece_viterbi
 from overlap.llm.suffix_dedup import op2_suffix_dedup
+from overlap.llm.token_align import op11_token_align
 from overlap.llm.token_groups import OP4_SQL, op4_token_groups
 from overlap.llm.toxic_mil import op7_toxic_mil
 from overlap.llm.warc_chain import op1_warc_chain
+from overlap.llm.whitening import op13_whitening
 
 
 def queries() -> dict:
@@ -24,7 +26,9 @@ def queries() -> dict:
             "op7_toxic_mil": op7_toxic_mil,
             "op8_lang_ftrl": op8_lang_ftrl,
             "op9_block_matrix_ann": op9_block_matrix_ann,
-            "op10_entropy_mix": op10_entropy_mix}
+            "op10_entropy_mix": op10_entropy_mix,
+            "op11_token_align": op11_token_align,
+            "op13_whitening": op13_whitening}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -136,13 +136,13 @@ def letter_words_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs(_LETTER[b])
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch cut into pieces of about ``BATCH_BYTES`` of ``column`` (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch cut into pieces of about ``size`` bytes of ``column`` (one row at least)."""
     if batch.num_rows == 0:
         return
     sizes = np.array([0 if n is None else n for n in
                       pa.compute.binary_length(batch.column(column)).to_pylist()], dtype=np.int64)
-    at = np.cumsum(sizes) // BATCH_BYTES
+    at = np.cumsum(sizes) // size
     cuts = np.flatnonzero(np.diff(at, prepend=at[0] if len(at) else 0)).tolist()
     for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
         if hi > lo:
