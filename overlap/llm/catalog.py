@@ -8,6 +8,7 @@ from overlap.llm.entropy_mix import op10_entropy_mix
 from overlap.llm.kd_shards import op6_kd_shards
 from overlap.llm.lang_ftrl import op8_lang_ftrl
 from overlap.llm.piece_viterbi import op3_piece_viterbi
+from overlap.llm.secret_crf import op12_secret_crf
 from overlap.llm.suffix_dedup import op2_suffix_dedup
 from overlap.llm.token_align import op11_token_align
 from overlap.llm.token_groups import OP4_SQL, op4_token_groups
@@ -28,6 +29,7 @@ def queries() -> dict:
             "op9_block_matrix_ann": op9_block_matrix_ann,
             "op10_entropy_mix": op10_entropy_mix,
             "op11_token_align": op11_token_align,
+            "op12_secret_crf": op12_secret_crf,
             "op13_whitening": op13_whitening}
 
 

@@ -181,3 +181,129 @@ def test_large_deviations_are_exact_or_null():
     q, r = (np.array([int(v) // n for v in s]), np.array([int(v) % n for v in s]))
     want = [sum((n * int(a) - int(t)) ** 2 for a, t in zip(row, s)) for row in x]
     assert whitening._deviations(x, n, q, r) == [w if w < 1 << 63 else None for w in want]
+
+
+# ---- 12: secrets -----------------------------------------------------------------------------
+from overlap.llm import secret_crf as crf  # noqa: E402
+
+
+def _plain_base(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+                         text, re.I | re.A):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    for kind, pattern, least in ((1, "AKIA[A-Z0-9]+", 20), (2, "[0-9a-f]+", 24)):
+        out += [(m.start(), kind, m.end()) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return sorted(out)
+
+
+SECRET_TEXTS = ["", "token:token:abcdefg", "PASSWORD = 'abc123x' api_key: zz", "ApiKey=\"k1/k2+k3==\" secret :abcde",
+                "AKIA" + "A" * 16 + " AKIAAKIA" + "B" * 9, "AKIA" + "Z9" * 12, "deadbeef" * 3 + "g" + "a" * 23,
+                "é€ token=é password=sécret123", "ſecret=abcdefgh toKen=abcdefgh", "x" * 50 + "0123456789abcdef" * 4]
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(1)
+    parts = ["token", "=", ":", " ", "secret", "abcdef", "12", "\"", "'", "AKIA", "ABCDEFGH12", "deadbeef", "\n", "é", "Api_Key"]
+    texts = SECRET_TEXTS + ["".join(rng.choice(parts) for _ in range(30)) for _ in range(500)]
+    for t in texts:
+        assert crf.base_spans(t)[0] == _plain_base(t), t
+
+
+def _all_paths(u, trans):
+    import itertools
+    return {p: sum(u[t, y] for t, y in enumerate(p)) + trans[0, p[0]] + trans[p[-1], 0]
+            + sum(trans[a, b] for a, b in zip(p, p[1:])) for p in itertools.product(range(3), repeat=len(u))}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_viterbi_and_likelihood_against_all_paths(seed):
+    rng = np.random.default_rng(seed)
+    trans = rng.standard_normal((3, 3))
+    chains = [rng.standard_normal((n, 3)) * np.array([0, 3, 3]) - np.array([0, 2, 2]) * (seed % 2)
+              for n in (1, 2, 5, 7, 3)]
+    u, text = np.concatenate(chains), np.repeat(np.arange(5), [len(c) for c in chains])
+    tags = crf.viterbi(u, trans, text)
+    for k, c in enumerate(chains):
+        paths = _all_paths(c, trans)
+        assert abs(paths[tuple(tags[text == k])] - max(paths.values())) < 1e-9
+    # the likelihood and its derivatives, by all paths and by differences
+    ids = rng.integers(0, 6, (3, 5, 4)).astype(np.int32)
+    gold, length, w = rng.integers(0, 3, (3, 5)), np.array([5, 3, 1]), rng.standard_normal((6, 2))
+    value, g, g_t = crf.likelihood(w, trans, ids, gold, length)
+    want = 0.0
+    for i, n in enumerate(length):
+        paths = _all_paths(crf._unary(w, ids[i, :n]), trans)
+        want += paths[tuple(gold[i, :n])] - np.log(sum(np.exp(v) for v in paths.values()))
+    assert abs(value - want) < 1e-8
+    for at in np.ndindex(6, 2):
+        step = np.zeros_like(w)
+        step[at] = 1e-6
+        d = (crf.likelihood(w + step, trans, ids, gold, length)[0] - crf.likelihood(w - step, trans, ids, gold, length)[0])
+        assert abs(d / 2e-6 - g[at]) < 1e-5
+    for at in np.ndindex(3, 3):
+        step = np.zeros((3, 3))
+        step[at] = 1e-6
+        d = crf.likelihood(w, trans + step, ids, gold, length)[0] - crf.likelihood(w, trans - step, ids, gold, length)[0]
+        assert abs(d / 2e-6 - g_t[at]) < 1e-5
+
+
+def _scan(spark, rows):
+    return sorted(map(tuple, crf.scan_secrets(_docs(spark, rows)).collect()), key=str)
+
+
+def test_scan_keeps_base_spans_and_defined_cases(spark):
+    rows = [*enumerate(SECRET_TEXTS), (50, None), (None, SECRET_TEXTS[2]), (3, SECRET_TEXTS[3])]
+    got = _scan(spark, rows)
+    want = []
+    for i, t in rows:
+        base = _plain_base(t or "")
+        text = ",".join(f"{crf.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        want.append((i, *[sum(k == c for _, k, _ in base) for c in range(3)], hashlib.sha256(text.encode()).hexdigest(), text))
+    want = sorted(want, key=str)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    for g, w in zip(got, want):
+        assert set(filter(None, w[5].split(","))) <= set(g[5].split(","))
+        keys = [(int(x.split(":")[1]), crf.KINDS.index(x.split(":")[0])) for x in g[5].split(",") if x]
+        assert keys == sorted(keys)
+    assert crf.scan_secrets(_docs(spark, [])).collect() == []
+    assert [r["spans"] for r in crf.scan_secrets(_docs(spark, [(1, "no secrets here"), (2, None)])).collect()] == ["", ""]
+
+
+def test_the_model_finds_secrets_that_the_patterns_miss(spark):
+    """Keys of a form that the patterns know, in places where they don't look."""
+    rng = random.Random(2)
+    words = "the of and there was once a long walk home by river in spring".split()
+    value = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(18))
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = []
+    for i in range(400):
+        t = prose(60)
+        if i % 4 == 0:
+            t += f" password={value()} " + prose(30)
+        rows.append((i, t))
+    hidden = [(1000 + i, prose(40) + f" passphrase={value()} " + prose(20)) for i in range(40)]
+    model = crf.train(_docs(spark, rows))
+    got = {r["doc_id"]: r["spans"] for r in crf.scan(_docs(spark, rows + hidden), model).collect()}
+    found = sum("crf:" in got[i] for i, _ in hidden)
+    assert found >= 36, found
+    assert sum("crf:" in got[i] for i, _ in rows) <= 4
+    for i, t in hidden:
+        for s in got[i].split(","):
+            if s.startswith("crf:"):
+                _, a, b = s.split(":")
+                assert set(t[int(a):int(b)]) <= set("0123456789abcdef")
+
+
+def test_held_out_agreement_of_the_model_with_the_patterns(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = crf.train(docs)
+    texts = [r["text"] or "" for r in docs.select("text").collect()]
+    hit = total = extra = 0
+    for t, spans in zip(texts, crf.tag_texts(texts, model)):
+        values = crf.base_spans(t)[1]
+        total += len(values)
+        hit += sum(any(s < e0 and s0 < e for s, e in spans) for s0, e0 in values)
+        extra += sum(all(e <= s0 or e0 <= s for s0, e0 in values) for s, e in spans)
+    assert total and hit >= 0.95 * total and extra <= 0.02 * len(texts)
