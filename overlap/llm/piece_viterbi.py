@@ -11,8 +11,10 @@ marker U+2581, and one marker is put before a text that isn't empty; decoding un
 leaves markers that come from byte pieces alone, so every text is restored byte by byte.
 
 Pieces hold markers only at their front, so the best path of a text is the chain of the best
-paths of its words (a run of blanks with what follows it); those are kept in a bounded cache.
-The trie is an array of fixed size that is built once and broadcast.
+paths of its words (a run of blanks with what follows it). The distinct words of a slice of texts are
+solved together, in arrays (see ``lattice``), and kept for the next slices up to a limit; words that are
+long, hold a marker of their own or aren't UTF-8 are solved one at a time. The trie is an array of
+fixed size that is built once and broadcast.
 
 Defined cases: a null text encodes as an empty one, to no token; ties go to the path whose last
 piece is longest; a text of any length is read whole; bytes that aren't UTF-8 fall back to byte
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overlap.llm.common import slices, staged
+from overlap.llm.lattice import Lattice, fits
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -44,6 +47,9 @@ FLOOR = 0.5
 FIXED = 1 << 16
 KEPT_STEPS = 4096  # positions of a word whose steps are kept from the forward to the backward pass
 COUNT_BYTES = 32 << 20
+COUNT_WORDS = 300_000
+SOLVED = 20_000  # words in a lattice
+SLICE_BYTES = 4 << 20
 
 
 def load_vocabulary(path: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -116,6 +122,8 @@ class Codec:
     """Encodes and decodes byte strings; one for each worker process."""
 
     def __init__(self, pieces, scores, byte_ids, base, check, value) -> None:
+        self.trie = base.astype(np.int64), np.append(check, np.full(
+            max(0, int(base.max()) + 258 - len(check)), -1, check.dtype)).astype(np.int64), value.astype(np.int64)
         self.base, self.check, self.value = base.tolist(), check.tolist(), value.tolist()
         self.check += [-1] * max(0, int(base.max()) + 258 - len(self.check))
         self.scores, self.byte_ids = scores.tolist(), byte_ids
@@ -131,7 +139,13 @@ class Codec:
             self.out[i] = bytes([b])
         line = b"" if any(b"\n" in p for p in pieces) else b"\n"
         self.chunks = re.compile(b" +[^ " + line + b"]*|[^ " + line + b"]+" + (b"|\n" if line else b"")).findall
-        self.cache: dict[bytes, bytes] = {}
+        self.score_array = scores
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets the words solved so far."""
+        self.numbers, self.done = _Numbers(), 0
+        self.ids, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _best(self, chunk: bytes) -> bytes:
         """Ids (int32, packed) of the best path of one chunk."""
@@ -230,21 +244,63 @@ class Codec:
                     counts[v] += round(times * FIXED * min(1.0, exp(forward[i] + x - whole)))
             backward[i] = total
 
+    def expected_of(self, words: list[bytes], times: list[int], counts: np.ndarray) -> None:
+        """Adds the expected counts (times FIXED) of the pieces of words, each so many times."""
+        one = Counter()
+        many = []
+        for w, n in zip(words, times):
+            if fits(w):
+                many.append((w, n))
+            else:
+                self.expected(w, n, one)
+        for v, n in one.items():
+            counts[v] += n
+        many.sort(key=lambda x: len(x[0]))  # few levels in most lattices
+        for lo in range(0, len(many), SOLVED):
+            part = many[lo:lo + SOLVED]
+            Lattice([w for w, _ in part], *self.trie).expected(
+                self.score_array, self.unknown, np.array([n for _, n in part], dtype=np.float64), FIXED, counts)
+
+    def solve(self) -> None:
+        """Best paths of the words that were numbered since the last call."""
+        new = list(self.numbers)[self.done:]
+        sizes = np.zeros(len(new), np.int64)
+        found, places = [], []
+        plain = sorted((k for k, w in enumerate(new) if fits(w)), key=lambda k: len(new[k]))
+        for lo in range(0, len(plain), SOLVED):
+            part = plain[lo:lo + SOLVED]
+            ids, n = Lattice([new[k] for k in part], *self.trie).best(self.score_array, self.unknown, self.byte_ids)
+            found.append(ids)
+            places.append(np.array(part))
+            sizes[part] = n
+        for k in set(range(len(new))).difference(plain):
+            ids = np.frombuffer(self._best(new[k]), dtype=np.int32)
+            found.append(ids)
+            places.append(np.array([k]))
+            sizes[k] = len(ids)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.zeros(at[-1], np.int32)
+        for ids, place in zip(found, places):
+            flat[_spread(at[place], sizes[place])] = ids
+        self.ids, self.at = np.concatenate([self.ids, flat]), np.concatenate([self.at, self.at[-1] + at[1:]])
+        self.done = len(self.numbers)
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.numbers) > CACHE or len(self.ids) > 8 * CACHE:
+            self.clear()
+        number = self.numbers.__getitem__
+        words = [list(map(number, self.chunks(b" " + t))) if t else [] for t in texts]
+        if len(self.numbers) > self.done:
+            self.solve()
+        word = np.array([w for x in words for w in x], dtype=np.int64)
+        sizes = self.at[word + 1] - self.at[word]
+        ids = self.ids[_spread(self.at[word], sizes)]
+        per_text = np.bincount(np.repeat(np.arange(len(texts)), [len(x) for x in words]), sizes, minlength=len(texts))
+        return np.split(ids, np.cumsum(per_text).astype(np.int64)[:-1]) if len(texts) else []
+
     def encode(self, text: bytes) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        out = []
-        for c in self.chunks(b" " + text):
-            got = cache.get(c)
-            if got is None:
-                got = self._best(c)
-                if len(c) <= 64:
-                    cache[c] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), dtype=np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.out.__getitem__, ids.tolist()))[1:]
@@ -253,6 +309,20 @@ class Codec:
         return float(self.score_of[ids].sum())
 
 
+class _Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        return n
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions starts[k], starts[k] + 1, ... of ranges of the given sizes."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
+
+
 _codecs: dict[str, Codec] = {}
 
 
@@ -310,10 +380,9 @@ def words_of_documents(texts: DataFrame, shared) -> DataFrame:
             for part in slices(batch):
                 for t in part.column("text").to_pylist():
                     if t:
-                        got = Counter(chunks(b" " + t))
-                        held += sum(len(w) + 64 for w in got if w not in found)
-                        found.update(got)
-                        if held >= COUNT_BYTES:
+                        found.update(chunks(b" " + t))
+                        held += len(t)
+                        if held >= COUNT_BYTES or len(found) >= COUNT_WORDS:
                             yield from flushed()
                             held = 0
         yield from flushed()
@@ -334,12 +403,11 @@ def estimate(docs: DataFrame, built: tuple, rounds: int = ROUNDS) -> np.ndarray:
         shared = shared_tables(spark, scores=scores, built=built)
 
         def expected(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            codec, counts = _codec(shared), Counter()
+            codec, counts = _codec(shared), np.zeros(len(pieces), np.int64)
             for batch in batches:
-                for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                    codec.expected(word, n, counts)
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(list(counts), pa.int32()),
-                                              "n": pa.array(list(counts.values()), pa.int64())})
+                codec.expected_of(batch.column("word").to_pylist(), batch.column("n").to_pylist(), counts)
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(some, pa.int32()), "n": pa.array(counts[some])})
 
         counts = np.zeros(len(pieces))
         for r in (words.mapInArrow(expected, "piece int, n long").groupBy("piece")
@@ -361,9 +429,9 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE_BYTES):
                 texts = [t or b"" for t in part.column("text").to_pylist()]
-                ids = [codec.encode(t) for t in texts]
+                ids = codec.encode_all(texts)
                 decoded = [codec.decode(i) for i in ids]
                 sizes = np.array([len(i) for i in ids], dtype=np.int64)
                 flat = np.concatenate([*ids, np.zeros(0, np.int32)])

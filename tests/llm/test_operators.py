@@ -291,6 +291,31 @@ def test_expected_counts_match_all_segmentations(codec):
         assert sum(got.values()) / piece_viterbi.FIXED == pytest.approx(sum(want.values()), abs=1e-2)
 
 
+def test_lattice_equals_the_words_one_at_a_time(codec):
+    """Expected counts, best paths and ties of many words at once, odd ones among them."""
+    _, pieces, _ = codec
+    built = piece_viterbi._built(piece_viterbi.MODEL)
+    rng = random.Random(6)
+    parts = ["the", "ation", "x", "é", "漢", "🙂", "▁", "\t", "y" * 90, "0", "Ø", "ing"]
+    words = list(dict.fromkeys(
+        [" " * rng.randrange(4) + "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+        + [" ", "   ", "\n", "a" * 3000]))
+    words = [w.encode() for w in words] + [b" \xff\xfe", b"\xa9x"]
+    for scores in (piece_viterbi.log_probabilities(np.arange(len(pieces)) % 97, pieces),
+                   np.full(len(pieces), -3.0)):  # equal scores: ties everywhere
+        c = piece_viterbi.Codec(pieces, scores, *built[2:])
+        want, got = Counter(), np.zeros(len(pieces), np.int64)
+        for k, w in enumerate(words):
+            c.expected(w, 1 + k % 5, want)
+        c.expected_of(words, [1 + k % 5 for k in range(len(words))], got)
+        assert np.abs(got - np.array([want[i] for i in range(len(pieces))])).max() <= len(words)
+        for w in words:
+            c.numbers[w]
+        c.solve()
+        for k, w in enumerate(words):
+            assert c.ids[c.at[k]:c.at[k + 1]].tobytes() == c._best(w), w
+
+
 def test_double_array_holds_exactly_the_pieces(codec):
     c, pieces, _ = codec
     for i, p in enumerate(pieces):
