@@ -12,8 +12,14 @@ of nodes with ``100 * |intersection| >= percent * |union|`` that matters for the
 2. Groups. Each node is checked against the least document of its buckets; the components of the
    links found, and what is left around each least document, partition the nodes into groups of
    similar documents.
-3. Matrix. Groups (of about ``CHUNK`` nodes) store the union of their shingles. Two groups that
-   share a bucket meet in one row. Each node of one counts its overlap with the union of the
+3. Rare shingles. Only nodes of buckets that hold several components can be linked further. Of linked
+   sets, at most (100 - percent) percent of either's shingles are not in the other; so a node with more
+   shingles that no other such node has is linked with none, and is settled. Of the others, in the
+   order from the rarest shingle to the most frequent, linked sets share one among the first
+   |set| - least overlap + 1 of each: groups meet by those shingles alone, and not by what all copies
+   of a frequent text share.
+4. Matrix. Groups (of about ``CHUNK`` nodes) store the union of their shingles. Two groups that
+   share a rare shingle meet in one row. Each node of one counts its overlap with the union of the
    other; only where that could hold a partner is the group opened, and its nodes are compared.
    Pairs within a component add nothing to it and are skipped; no row is made for a pair of nodes.
 
@@ -216,19 +222,51 @@ def _unpacked(group: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
 
 
+def _mixed_nodes(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """node: those of buckets with nodes of several components."""
+    placed = buckets.select("sig", "node").join(groups.select("node", "component"), "node")
+    mixed = placed.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return buckets.select("sig", "node").join(mixed.filter("least < most").select("sig"), "sig").select(
+        "node").distinct()
+
+
+def _undecided(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The nodes that could be linked with another of ``nodes``, by their shingles that occur once."""
+    own = sets.join(nodes, "node").select("node", F.size("tokens").cast("long").alias("size"), "tokens")
+    tokens = own.select("node", F.explode("tokens").alias("token"))
+    lone = (tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+            .filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
+    return (own.select("node", "size").join(lone, "node", "left")
+            .filter(100 * F.coalesce("alone", F.lit(0)) <= (100 - percent) * F.col("size"))
+            .select("node").distinct())
+
+
+def _rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """sig, node: the rarest shingles of each node, as many as linked sets share one of."""
+    own = sets.join(nodes, "node").select("node", "tokens").dropDuplicates(["node"])
+    tokens = own.select("node", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("sig"))
+    often = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "sig"))
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    return (tokens.join(often, "sig").withColumn("nth", rank)
+            .filter((F.col("nth") <= prefix) & (F.col("n") > 1)).select("sig", "node"))
+
+
 def _matrix_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components, by way of the token-group matrix.
 
     ``groups`` has node, component and label: nodes of a label are similar.
     """
-    members = staged(_members(groups), "group-members")
-    placed = (buckets.select("sig", "node").join(members, "node").groupBy("sig", "g")
+    nodes = staged(_undecided(staged(_mixed_nodes(buckets, groups), "mixed-nodes"), sets, percent), "undecided")
+    members = staged(_members(groups.join(nodes, "node")), "group-members")
+    placed = (_rare_shingles(nodes, sets, percent).join(members, "node").groupBy("sig", "g")
               .agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
+    placed = staged(placed, "rare-shingles")
     mixed = placed.groupBy("sig").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
-    placed = staged(placed.join(mixed.filter("least < most").select("sig"), "sig"), "mixed-buckets")
+    placed = placed.join(mixed.filter("least < most").select("sig"), "sig")
     one, two = (placed.select("sig", *[F.col(c).alias(f"{c}{k}") for c in ("g", "lo", "hi")])
                 for k in (1, 2))
-    # pairs of groups that meet in a bucket, not of their nodes
+    # pairs of groups that share a rare shingle, not of their nodes
     asked = (one.join(two, "sig").filter("g1 <= g2 AND (lo1 < hi1 OR lo2 < hi2 OR lo1 <> lo2)")
              .select("g1", "g2").distinct())
     asked = staged(asked, "group-pairs")
