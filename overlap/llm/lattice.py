@@ -17,21 +17,27 @@ MARK = "▁".encode()
 LONGEST = 256
 
 
-def fits(word: bytes) -> bool:
-    """Whether a word is one for the lattice."""
-    if len(word) > LONGEST or MARK in word:
-        return False
-    if word.isascii():
-        return True
+def by_length(words: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """Places of the words for the lattice, short ones first (so few levels do for most), and of the others."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    good = np.fromiter(map(bytes.isascii, words), bool, len(words))
+    for k in np.flatnonzero(~good).tolist():
+        good[k] = _valid(words[k])
+    good &= size <= LONGEST
+    plain = np.flatnonzero(good)
+    return plain[np.argsort(size[plain], kind="stable")], np.flatnonzero(~good).tolist()
+
+
+def _valid(word: bytes) -> bool:
+    """UTF-8 without a marker of its own."""
     try:
-        word.decode()
+        return "▁" not in word.decode()
     except UnicodeDecodeError:
         return False
-    return True
 
 
 class Lattice:
-    """Edges of the given words (see ``fits``) and the nodes they join."""
+    """Edges of the given words (see ``by_length``) and the nodes they join."""
 
     def __init__(self, words: list[bytes], base: np.ndarray, check: np.ndarray, value: np.ndarray) -> None:
         spelt = [w.replace(b" ", MARK) for w in words]  # blanks stand only in front

@@ -36,18 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from overlap.llm.common import slices, staged
-from overlap.llm.lattice import Lattice, fits
+from overlap.llm.lattice import Lattice, by_length
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
-CACHE = 400_000
+CACHE = 1_200_000
 ROUNDS = 4
 FLOOR = 0.5
 FIXED = 1 << 16
 KEPT_STEPS = 4096  # positions of a word whose steps are kept from the forward to the backward pass
 COUNT_BYTES = 32 << 20
-COUNT_WORDS = 300_000
+COUNT_WORDS = 1_000_000
 SOLVED = 20_000  # words in a lattice
 SLICE_BYTES = 4 << 20
 
@@ -246,34 +246,31 @@ class Codec:
 
     def expected_of(self, words: list[bytes], times: list[int], counts: np.ndarray) -> None:
         """Adds the expected counts (times FIXED) of the pieces of words, each so many times."""
-        one = Counter()
-        many = []
-        for w, n in zip(words, times):
-            if fits(w):
-                many.append((w, n))
-            else:
-                self.expected(w, n, one)
+        one, often = Counter(), np.array(times, dtype=np.float64)
+        plain, others = by_length(words)
+        for k in others:
+            self.expected(words[k], times[k], one)
         for v, n in one.items():
             counts[v] += n
-        many.sort(key=lambda x: len(x[0]))  # few levels in most lattices
-        for lo in range(0, len(many), SOLVED):
-            part = many[lo:lo + SOLVED]
-            Lattice([w for w, _ in part], *self.trie).expected(
-                self.score_array, self.unknown, np.array([n for _, n in part], dtype=np.float64), FIXED, counts)
+        for lo in range(0, len(plain), SOLVED):
+            part = plain[lo:lo + SOLVED]
+            Lattice([words[k] for k in part.tolist()], *self.trie).expected(
+                self.score_array, self.unknown, often[part], FIXED, counts)
 
     def solve(self) -> None:
         """Best paths of the words that were numbered since the last call."""
         new = list(self.numbers)[self.done:]
         sizes = np.zeros(len(new), np.int64)
         found, places = [], []
-        plain = sorted((k for k, w in enumerate(new) if fits(w)), key=lambda k: len(new[k]))
+        plain, others = by_length(new)
         for lo in range(0, len(plain), SOLVED):
             part = plain[lo:lo + SOLVED]
-            ids, n = Lattice([new[k] for k in part], *self.trie).best(self.score_array, self.unknown, self.byte_ids)
+            ids, n = Lattice([new[k] for k in part.tolist()], *self.trie).best(
+                self.score_array, self.unknown, self.byte_ids)
             found.append(ids)
-            places.append(np.array(part))
+            places.append(part)
             sizes[part] = n
-        for k in set(range(len(new))).difference(plain):
+        for k in others:
             ids = np.frombuffer(self._best(new[k]), dtype=np.int32)
             found.append(ids)
             places.append(np.array([k]))

@@ -25,7 +25,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -224,16 +223,17 @@ def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
     return reach[:n]
 
 
-def _chain(rows: pd.DataFrame) -> pd.DataFrame:
-    keep = reachable(rows["offset"].to_numpy(np.int64), rows["successor"].to_numpy(np.int64))
-    return rows[keep].sort_values("offset")
+def _chain(rows: pa.Table) -> pa.Table:
+    """The reachable rows of an archive; as Arrow, so that ids stay exact beside nulls."""
+    keep = reachable(rows.column("offset").to_numpy(), rows.column("successor").to_numpy())
+    return rows.filter(pa.array(keep)).sort_by("offset")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The verified records of the archives under ``path``, with archive and offset."""
     found = (spark.read.format("binaryFile").load(path).select("path", "content")
              .mapInArrow(_emit, _CANDIDATE_SQL))
-    return found.groupBy("path").applyInPandas(_chain, _CANDIDATE_SQL)
+    return found.groupBy("path").applyInArrow(_chain, _CANDIDATE_SQL)
 
 
 def op1_warc_chain(spark, sf_dir: str) -> DataFrame:

@@ -307,3 +307,16 @@ def test_held_out_agreement_of_the_model_with_the_patterns(spark):
         hit += sum(any(s < e0 and s0 < e for s, e in spans) for s0, e0 in values)
         extra += sum(all(e <= s0 or e0 <= s for s0, e0 in values) for s, e in spans)
     assert total and hit >= 0.95 * total and extra <= 0.02 * len(texts)
+
+
+# ---- 1: ids beyond 2^53 ----------------------------------------------------------------------
+def test_archive_ids_stay_exact_beside_nulls(spark, tmp_path):
+    from overlap.llm import warc_chain
+
+    big = 1 << 60
+    rows = [(big + 1, "u1", "<p>same</p>"), (big + 3, "u2", "<p>same</p>"), (big + 7, "u3", "<p>other</p>"),
+            (None, "u4", "<p>third</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc_chain.write_archives(pages, str(tmp_path / "w"))
+    got = {(r["page_id"], r["refers_to"]) for r in warc_chain.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert got == {(big + 1, big + 3), (big + 3, None), (big + 7, None), (None, None)}
