@@ -8,6 +8,7 @@ cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark) -> None:
+    """Lets Spark delete shuffle files of finished steps now: it does so once the driver's objects
+    for them are collected, which on a driver with much free memory can be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents_of(docs: DataFrame, *cols: str) -> DataFrame:
     """``doc_id`` (long) and ``text`` (string) of ``docs``, plus the named further columns."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from overlap.llm.common import (documents_of, lower_bytes, mix, prefix_hash, slices, span_hash,
+from overlap.llm.common import (documents_of, lower_bytes, mix, prefix_hash, release, slices, span_hash,
                                 staged, text_hash, words_of)
 from overlap.llm.components import components
 
@@ -244,12 +244,13 @@ def _undecided(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """sig, node: the rarest shingles of each node, as many as linked sets share one of."""
     own = sets.join(nodes, "node").select("node", "tokens").dropDuplicates(["node"])
-    tokens = own.select("node", F.size("tokens").cast("long").alias("size"), F.explode("tokens").alias("sig"))
+    tokens = own.select("node", F.explode("tokens").alias("sig"))
     often = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "sig"))
-    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    return (tokens.join(often, "sig").withColumn("nth", rank)
-            .filter((F.col("nth") <= prefix) & (F.col("n") > 1)).select("sig", "node"))
+    size = F.size("tokens").cast("long")
+    prefix = own.select("node", (size - F.ceil(size * percent / 100) + 1).alias("prefix"))
+    return (tokens.join(often, "sig").withColumn("nth", rank).join(prefix, "node")
+            .filter((F.col("nth") <= F.col("prefix")) & (F.col("n") > 1)).select("sig", "node"))
 
 
 def _matrix_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -257,11 +258,14 @@ def _matrix_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percen
 
     ``groups`` has node, component and label: nodes of a label are similar.
     """
+    spark = buckets.sparkSession
     nodes = staged(_undecided(staged(_mixed_nodes(buckets, groups), "mixed-nodes"), sets, percent), "undecided")
+    release(spark)
     members = staged(_members(groups.join(nodes, "node")), "group-members")
     placed = (_rare_shingles(nodes, sets, percent).join(members, "node").groupBy("sig", "g")
               .agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
     placed = staged(placed, "rare-shingles")
+    release(spark)
     mixed = placed.groupBy("sig").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
     placed = placed.join(mixed.filter("least < most").select("sig"), "sig")
     one, two = (placed.select("sig", *[F.col(c).alias(f"{c}{k}") for c in ("g", "lo", "hi")])
@@ -297,6 +301,7 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     reps = (rows.filter(F.col("node").isNotNull() & F.col("doc_id").isNotNull())
             .groupBy("node").agg(F.min("doc_id").alias("rep")))
     buckets = staged(_buckets(named, width, percent).join(reps, "node"), "buckets")
+    release(docs.sparkSession)
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = staged(named.join(wanted, "doc_id", "left_semi").mapInArrow(
         _sets(width), "node long, tokens array<long>"), "token-sets")
@@ -306,6 +311,7 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
              .select(F.col("node").alias("a"), "b").distinct())
     stars = staged(stars, "stars")
     links = staged(_linked(stars, sets, percent), "star-links")
+    release(docs.sparkSession)
     # similar: a component of links, or what else is left around one least document
     near = buckets.select("node").distinct().join(components(links), "node", "left").join(
         stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("center")), "node", "left")
