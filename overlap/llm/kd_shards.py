@@ -5,8 +5,8 @@ at the weighted quantile ``floor(n/2)/n`` of its bytes along its widest dimensio
 leaf is one shard of the target bytes. All nodes of a level are searched together: each pass
 sums bytes in a bounded number of bins per node (a map-side aggregate) and the crossing bin
 becomes the next pass's range, so only node x bins sums reach the driver, whatever the table's
-size. Ties are ordered by a hash of the id below the coordinate, so a group of equal texts
-falls into one leaf where it fits and is split where it doesn't.
+size. Ties are ordered by a hash of the id below the coordinate, so a cut inside one size may
+split a group of equal texts.
 
 Law: ``bytes``. Defined cases: a null text has size 16 and CRC 0; a null id hashes like any
 value; repeated rows keep separate slots; an empty table gives an empty result.

@@ -632,7 +632,7 @@ def test_block_neighbours_match_brute_force(spark):
 def test_block_neighbours_few_candidates_and_empty(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], schema)
-    assert [(r["rank"], r.vec_id) for r in block_ann.block_neighbours(few).sort("rank").collect()] == [(1, 1), (2, 2)] or True
+    assert [(r["rank"], r.vec_id) for r in block_ann.block_neighbours(few).sort("rank").collect()] == [(1, 2), (2, 1)]
     assert block_ann.block_neighbours(few).count() == 2
     assert block_ann.block_neighbours(few.limit(0)).count() == 0
     assert block_ann.block_neighbours(few.filter("vec_id > 0")).count() == 0
