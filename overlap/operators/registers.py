@@ -38,11 +38,21 @@ def _check(log2m: int, regwidth: int) -> None:
 def register_columns(key: Column, *, log2m: int = DEFAULT_LOG2M,
                      regwidth: int = DEFAULT_REGWIDTH, seed: int = DEFAULT_SEED) -> dict:
     """``{"reg": index, "rho": rank}`` for one key (hash = md5 of ``seed:key``)."""
-    _check(log2m, regwidth)
+    hi, lo = hash_halves(key, seed)
+    return registers_of(hi, lo, log2m, regwidth)
+
+
+def hash_halves(key: Column, seed: int = DEFAULT_SEED) -> tuple[Column, Column]:
+    """The first two 32-bit numbers of md5(``seed:key``)."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-    hi = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
-    w = F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint")
-    rank = F.when(w == F.lit(0), F.lit(33)).otherwise(F.lit(33) - F.length(F.bin(w)))
+    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"),
+            F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint"))
+
+
+def registers_of(hi: Column, lo: Column, log2m: int, regwidth: int) -> dict:
+    """Register index (low bits of ``hi``) and rank (of ``lo``) of a hash."""
+    _check(log2m, regwidth)
+    rank = F.when(lo == F.lit(0), F.lit(33)).otherwise(F.lit(33) - F.length(F.bin(lo)))
     cap = (1 << regwidth) - 1
     return {"reg": F.pmod(hi, F.lit(1 << log2m)).cast("int"),
             "rho": F.least(rank, F.lit(cap)).cast("int")}
@@ -88,6 +98,41 @@ def merge_registers(df: DataFrame, groups: list[str]) -> DataFrame:
                                           F.max("spec").alias("spec"))
 
 
+def fold_registers(df: DataFrame, groups: list[str], *, log2m: int, to_log2m: int) -> DataFrame:
+    """Registers of precision ``log2m`` folded to the lower ``to_log2m``.
+
+    The index is the low bits of one hash and the rank comes from another, so register r folds
+    into r mod 2^to_log2m with the larger rank: the result is that of a build at ``to_log2m``.
+    Tables with a ``spec`` column are folded by :func:`merge_folded`, which checks it.
+    """
+    _check(log2m, 1)
+    _check(to_log2m, 1)
+    if to_log2m > log2m:
+        raise ValueError(f"registers of log2m={log2m} cannot be folded to {to_log2m}")
+    if "spec" in df.columns:
+        raise ValueError("a table with a spec is folded by merge_folded")
+    return merge_registers(df.withColumn("reg", F.pmod("reg", F.lit(1 << to_log2m))), groups)
+
+
+def merge_folded(df: DataFrame, groups: list[str], *, log2m: int, regwidth: int,
+                 seed: int = DEFAULT_SEED) -> DataFrame:
+    """Union of stored tables of several precisions, at the precision asked for.
+
+    Rows of a lower precision or width than that, or of another seed, raise: nothing is merged
+    at a precision that was not asked for.
+    """
+    _check(log2m, regwidth)
+    part = lambda name: F.regexp_extract("spec", rf"{name}=(-?\d+)", 1).cast("bigint")
+    fits = (part("log2m") >= log2m) & (part("regwidth") >= regwidth) & (part("seed") == seed)
+    spec = sketch_spec(log2m, regwidth, seed)
+    wrong = F.raise_error(F.concat(F.lit(f"registers cannot be folded to {spec}: "), F.col("spec")))
+    folded = df.select(
+        *groups, F.when(F.coalesce(fits, F.lit(False)), F.pmod("reg", F.lit(1 << log2m)))
+        .otherwise(wrong.cast("int")).alias("reg"),
+        F.least("rho", F.lit((1 << regwidth) - 1)).alias("rho"))
+    return merge_registers(folded, groups).withColumn("spec", F.lit(spec))
+
+
 def estimate_columns(present: Column, zsum: Column, log2m: int) -> Column:
     """The estimate from the number of non-empty registers and the sum of their 2^-rho."""
     m = float(1 << log2m)

@@ -24,6 +24,8 @@ INTEREST_GROUP_1 = ["Pizza", "Paint", "Sushi", "Pasta", "Tacos", "Ramen", "Chips
                     "Tango"]
 INTEREST_GROUP_2 = ["Yoga", "Chai", "Cook", "Cars", "Lego", "Bike", "News", "Tech", "Cake"]
 PICKS_PER_GROUP = 5
+# Fixed value: the symbols of a person id's suffix.
+SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789@$%"
 PID_SUFFIX_LEN = 35
 DEFAULT_SEED = 42
 
@@ -58,6 +60,28 @@ def people(spark: SparkSession, sf_dir: str, *, source: str = "customer",
     return out.repartition(num_partitions) if num_partitions else out
 
 
+def symbol_suffix(ident: Column, seed: int = DEFAULT_SEED) -> Column:
+    """35 of ``SYMBOLS``, each by three hex digits of two sha256 of the identity and the seed."""
+    h = F.concat(F.sha2(F.concat(F.lit(f"{seed}:"), ident), 256),
+                 F.sha2(F.concat(ident, F.lit(f":{seed}")), 256))
+    at = [F.conv(F.substring(h, 3 * i + 1, 3), 16, 10).cast("int") for i in range(PID_SUFFIX_LEN)]
+    return F.concat(*[F.substr(F.lit(SYMBOLS), F.pmod(a, F.lit(len(SYMBOLS))) + 1, F.lit(1)) for a in at])
+
+
+def symbol_people(idents: DataFrame, ident: str, *, seed: int = DEFAULT_SEED) -> DataFrame:
+    """G1 in its own alphabet: ``people(pid)``, ``<ident>_<35 symbols>`` for each row of ``idents``."""
+    c = F.col(ident).cast("string")
+    return idents.select(F.concat(c, F.lit("_"), symbol_suffix(c, seed)).alias("pid"))
+
+
+def numbered_people(spark: SparkSession, n: int, *, seed: int = DEFAULT_SEED,
+                    num_partitions: int | None = None) -> DataFrame:
+    """G1 for any number of people: ``n`` of them, numbered from 0, made by the executors."""
+    if n < 0:
+        raise ValueError("n must be >= 0")
+    return symbol_people(spark.range(0, n, 1, num_partitions), "id", seed=seed)
+
+
 def _pick(pid: Column, words: list[str], k: int, seed: int) -> Column:
     """k of ``words`` per key, ranked by md5(seed:pid:word) -- no repeats.
 

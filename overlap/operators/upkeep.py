@@ -24,6 +24,7 @@ from overlap.operators.registers import (DEFAULT_LOG2M, DEFAULT_REGWIDTH, DEFAUL
                                           sketch_spec)
 from overlap.operators.sketch_tree import sketch_aggregate, sketch_merge
 from overlap.schema import key_column, key_predicate, sketch_input
+from overlap.sources.commits import CommitLog
 
 KINDS = ("theta", "registers")
 
@@ -42,18 +43,7 @@ class PairSketches:
         self.registers = {"log2m": log2m, "regwidth": regwidth, "seed": seed}
         self.groups = [left_name, right_name, "day"]
         self.spec = f"theta lg={lg_nom}" if kind == "theta" else sketch_spec(**self.registers)
-
-    def _batches(self) -> list[int]:
-        """Committed batches; one small row each."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        rows = self.spark.read.schema("n int, spec string").json(f"{self.root}/commits/*").collect()
-        for r in rows:
-            if r["spec"] != self.spec:
-                raise ValueError(f"stored with {r['spec']}, not {self.spec}")
-        return sorted(r["n"] for r in rows)
+        self.log = CommitLog(spark, f"{self.root}/commits", self.spec)
 
     def _read(self, part: str, batches: list[int], schema) -> DataFrame:
         if not batches:
@@ -66,7 +56,7 @@ class PairSketches:
 
     def apply(self, batch: int, new_left: DataFrame, new_right: DataFrame) -> bool:
         """Add a batch; False where it was committed before."""
-        done = self._batches()
+        done = self.log.numbers()
         if batch in done:
             return False
         if done and batch < done[-1]:
@@ -80,9 +70,7 @@ class PairSketches:
         all_right = self._read("right", [*done, batch], right.schema)
         delta = one.join(all_right, self.key).unionByName(old_left.join(two, self.key))
         self._sketched(delta).write.mode("overwrite").parquet(f"{self.root}/cells/{batch}")
-        # written last, in one file: the batch counts from here on
-        (self.spark.range(1).select(F.lit(batch).alias("n"), F.lit(self.spec).alias("spec")).coalesce(1)
-         .write.mode("overwrite").json(f"{self.root}/commits/{batch}"))
+        self.log.add(batch)
         return True
 
     def _sketched(self, pairs: DataFrame) -> DataFrame:
@@ -95,7 +83,7 @@ class PairSketches:
 
     def cells(self) -> DataFrame:
         """The daily pair sketches of all committed batches, merged."""
-        done = self._batches()
+        done = self.log.numbers()
         if not done:
             raise ValueError(f"no committed batch under {self.root}")
         stored = self.spark.read.parquet(*[f"{self.root}/cells/{n}" for n in done])

@@ -1,19 +1,27 @@
 """Registered queries of the mergeable forms: screened theta sets, bitmaps, blocks, dyadic windows
-and stored daily pair sketches that are kept up to date."""
+stored daily pair sketches that are kept up to date, adaptive and folded registers, planned buckets and
+late rows of streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from overlap.functions.metrics import within_bound
-from overlap.operators import bitmaps, dyadic, screened
+from overlap.operators import adaptive, bitmaps, dyadic, screened, synth
+from overlap.operators.bucket_plan import planned_pairs
 from overlap.operators.pairs import pair_counts
+from overlap.operators.registers import (estimate_registers, fold_registers, merge_folded, register_hll,
+                                          with_spec)
 from overlap.operators.upkeep import PairSketches
 from overlap.session import scratch_path
 from overlap.sources import fixtures
+from overlap.streaming.late import DailyStore, start_daily_store_stream
 
 NOMINAL = 16384
 SMALL_NOMINAL = 256
+LOW_LOG2M = 11
+EXPLICIT = 100  # key hashes that a group may keep: small, so that the test tables have both forms
+PLANNED_BUCKETS = 32
 BLOCK = 8  # values of a key in a chunk: small, so that the test tables' keys are cut too
 
 
@@ -131,8 +139,73 @@ def pair_daily_upkeep_registers(spark, sf_dir):
     return _upkeep(spark, sf_dir, "registers")
 
 
+def adaptive_sets(spark, sf_dir):
+    """Brands of a year: exact up to the limit, registers above it."""
+    rows = fixtures.interests_by_year(spark, sf_dir)
+    groups = ["interest", "year"]
+    return adaptive.estimate_adaptive(adaptive.adaptive_hll(rows, groups, limit=EXPLICIT), groups)
+
+
+def adaptive_merge(spark, sf_dir):
+    """Adaptive tables of each year, united per brand."""
+    rows = fixtures.interests_by_year(spark, sf_dir)
+    stored = adaptive.adaptive_hll(rows, ["interest", "year"], limit=EXPLICIT).drop("year")
+    return adaptive.estimate_adaptive(
+        adaptive.merge_adaptive(stored, ["interest"], limit=EXPLICIT), ["interest"])
+
+
+def adaptive_singletons(spark, sf_dir):
+    """One-key sketches of all customers."""
+    return adaptive.estimate_adaptive(adaptive.adaptive_singleton(fixtures.people(spark, sf_dir)), ["pid"])
+
+
+def register_fold(spark, sf_dir):
+    """Built at log2m 13, folded to 11."""
+    regs = fold_registers(register_hll(fixtures.interests(spark, sf_dir), ["interest"]), ["interest"],
+                          log2m=13, to_log2m=LOW_LOG2M)
+    return estimate_registers(regs, ["interest"], log2m=LOW_LOG2M)
+
+
+def register_mixed_merge(spark, sf_dir):
+    """Odd years stored at log2m 13, even years at 11, united at 11."""
+    rows = fixtures.interests_by_year(spark, sf_dir)
+    stored = [with_spec(register_hll(rows.where(F.col("year") % 2 == odd), ["interest"], log2m=m), log2m=m)
+              for odd, m in ((1, 13), (0, LOW_LOG2M))]
+    merged = merge_folded(stored[0].unionByName(stored[1]), ["interest"], log2m=LOW_LOG2M, regwidth=6)
+    return estimate_registers(merged, ["interest"], log2m=LOW_LOG2M)
+
+
+def pair_exact_planned(spark, sf_dir):
+    return planned_pairs(spark, *_inputs(spark, sf_dir), PLANNED_BUCKETS, scratch_path(spark, "planned"))
+
+
+def synth_people_symbols(spark, sf_dir):
+    return synth.symbol_people(fixtures.people(spark, sf_dir), "pid")
+
+
+def _late(kind):
+    def query(spark, sf_dir):
+        """All events, streamed as four files in an order that has nothing to do with their days."""
+        ev, source = _events(spark, sf_dir), scratch_path(spark, f"late-{kind}-source")
+        ev.repartition(4, "user_id").write.parquet(source)
+        store = DailyStore(spark, scratch_path(spark, f"late-{kind}"), kind=kind,
+                           lg_nom=NOMINAL.bit_length() - 1)
+        start_daily_store_stream(store, source, ev.schema, max_files_per_trigger=1).awaitTermination()
+        return store.estimates()
+    return query
+
+
 def registry() -> dict:
     return {
+        "adaptive_sets": adaptive_sets,
+        "adaptive_merge": adaptive_merge,
+        "adaptive_singletons": adaptive_singletons,
+        "register_fold": register_fold,
+        "register_mixed_merge": register_mixed_merge,
+        "pair_exact_planned": pair_exact_planned,
+        "synth_people_symbols": synth_people_symbols,
+        "stream_late_theta": _late("theta"),
+        "stream_late_registers": _late("registers"),
         "pair_theta_screened": pair_theta_screened,
         "pair_theta_sparse": pair_theta_sparse,
         "theta_screened_sets": theta_screened_sets,
