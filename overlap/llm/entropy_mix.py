@@ -124,10 +124,10 @@ def entropy_mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0) -> DataFr
     sources = [{"sid": i, "source": s, "size": w, "mean": max(1.0, w / n), "target": goal[s]}
                for i, (s, w, n) in enumerate(sorted(totals, key=lambda t: (t[0] is None, t[0] or "")))]
     ids = spark.createDataFrame([(s["source"], s["sid"]) for s in sources], "source string, sid int")
-    # salted classes: documents of a source with as many words, by a hash of the id
+    # salted classes: documents of a source with as many words, by a hash of the row
     salted = (sized.join(F.broadcast(ids.withColumnRenamed("source", "src")),
                          F.col("source").eqNullSafe(F.col("src")))
-              .withColumn("u", F.xxhash64(F.lit(11), "doc_id"))
+              .withColumn("u", F.xxhash64(F.lit(11), "doc_id", "text_hash"))
               .select("doc_id", "text_hash", "sid", "words", "u", F.pmod("u", F.lit(SALTS)).cast("int").alias("salt")))
     parts = staged(salted.groupBy("sid", "words", "salt").agg(F.count("*").alias("n")), "mix-parts")
     classes = staged(parts.groupBy("sid", "words").agg(F.sum("n").alias("n")), "mix-classes")
