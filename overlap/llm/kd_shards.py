@@ -5,8 +5,9 @@ at the weighted quantile ``floor(n/2)/n`` of its bytes along its widest dimensio
 leaf is one shard of the target bytes. All nodes of a level are searched together: each pass
 sums bytes in a bounded number of bins per node (a map-side aggregate) and the crossing bin
 becomes the next pass's range, so only node x bins sums reach the driver, whatever the table's
-size. Ties are ordered by a hash of the id below the coordinate, so a cut inside one size may
-split a group of equal texts.
+size. Ties are ordered below the coordinate: rows of one size by a hash of the CRC-32, then of the id.
+So equal texts lie together, and a cut parts only the groups of the one (size, hash) it falls into;
+a group as large as a shard can be cut, as the law asks.
 
 Law: ``bytes``. Defined cases: a null text has size 16 and CRC 0; a null id hashes like any
 value; repeated rows keep separate slots; an empty table gives an empty result.
@@ -22,6 +23,7 @@ from overlap.llm.common import documents_of, staged
 ROW_BYTES = 16
 BIN_BITS = 12
 TIE_BITS = 31
+ID_BITS = 12  # of them, below the hash of the text
 DIMS = ("k_size", "k_crc")
 
 
@@ -31,7 +33,9 @@ def _points(docs: DataFrame) -> DataFrame:
         "doc_id", (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"))
     tie = F.xxhash64(F.lit(7), "doc_id").bitwiseAND((1 << TIE_BITS) - 1)
-    return d.withColumns({"k_size": F.shiftleft("size", TIE_BITS) + tie,
+    group = F.xxhash64(F.lit(13), "text_crc32").bitwiseAND((1 << (TIE_BITS - ID_BITS)) - 1)
+    within = F.shiftleft(group, ID_BITS) + tie.bitwiseAND((1 << ID_BITS) - 1)
+    return d.withColumns({"k_size": F.shiftleft("size", TIE_BITS) + within,
                           "k_crc": F.shiftleft("text_crc32", TIE_BITS) + tie})
 
 
