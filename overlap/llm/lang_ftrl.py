@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are hashed 1- to 3-grams of the lower-cased code points (runs of non-letters count as
-one space), weighted by log term frequency times inverse document frequency and scaled to unit
+Features are hashed 1- to 3-grams of the lower-cased code points (runs of what is neither a
+letter nor a mark count as one space), weighted by log term frequency times inverse document frequency and scaled to unit
 length. Document frequencies are counted over every learnable document. Weights are trained by
 follow-the-regularised-leader (FTRL-proximal: per-coordinate rates, L1 and L2 penalties), one
 softmax row for each language. The languages are all of the learnable documents; the weights see a
@@ -19,11 +19,11 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,15 +34,16 @@ ORDERS = (1, 2, 3)
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 EPOCHS = 3
 LEAST_DOCS = 50
-LETTER = r"[\p{L}\p{Nl}\p{No}]"  # what _GAP leaves
+LETTER = r"\p{L}"
 UNKNOWN = "und"
-_GAP = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(LETTER)
+_GAP = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def counts_of(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Buckets and counts of the text's n-grams; None where there is no letter."""
     t = _GAP.sub(" ", (text or "").lower())
-    if not t.strip():
+    if not _LETTER.search(t):
         return None
     c = np.frombuffer(f" {t.strip()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     grams = []
