@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 1500,
     chosen = docs.sparkSession.createDataFrame(
         [(r["doc_id"], int(r["toxic"] > 0)) for r in pick], "doc_id long, toxic int")
     bags = (documents_of(docs).join(F.broadcast(chosen), "doc_id")  # max_positive + max_negative rows
-            .select("doc_id", "text", "toxic")
+            .groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))  # one row an id, however often it occurs
             .mapInArrow(_features, "toxic int, bucket binary, sent binary, n int").collect())
     # the hash in the sort gives the same weights whatever order the rows arrive in
     bags.sort(key=lambda r: (r["toxic"], bytes(r["bucket"]), bytes(r["sent"])))
