@@ -8,6 +8,7 @@ lower bound reaches the k-th smallest upper bound of their query survive. Surviv
 recomputed in double precision on the original vectors, in component order, and each task
 merges its tiles in one heap per query before the last merge.
 
+Very large components are scaled by a power of two, so that no product overflows.
 The bounds are those of exact arithmetic, widened by a relative margin for rounding, so no true
 neighbour is lost: recall is 1. Vectors that are null, zero, of another length than the most
 common one, or hold null or non-finite components take no part. Ties go to the smaller id; a
@@ -30,6 +31,7 @@ BLOCK_ROWS = 1024
 QUERY_BLOCK_ROWS = 1024
 SHARD_BLOCKS = 32
 MARGIN = 1e-9
+SHIFT = 640
 
 _BLOCK = "block long, n int, ids binary, vecs binary"
 _HIT = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()),
@@ -56,18 +58,38 @@ def _pack(rows: int):
 def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes (as float32, exact in products), scale and error norm of each row."""
     scale = np.abs(x).max(axis=1) / 127.0
+    scale[scale == 0] = 1.0  # a row that is zero beside far larger ones
     codes = np.rint(x / scale[:, None])
     error = np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1))
     return codes.astype(np.int8), scale, error
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of row pairs, summed in component order."""
-    total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        d = a[:, j] - b[:, j]
-        total += d * d
-    return np.sqrt(total)
+    """Euclidean distances of row pairs, summed in component order.
+
+    Where the squares overflow, they are summed at a lower power of two.
+    """
+    def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(a))
+        with np.errstate(over="ignore"):
+            for j in range(a.shape[1]):
+                d = a[:, j] - b[:, j]
+                total += d * d
+        return np.sqrt(total)
+
+    out = summed(a, b)
+    far = np.flatnonzero(np.isinf(out))
+    if len(far):
+        with np.errstate(over="ignore"):
+            out[far] = np.ldexp(summed(np.ldexp(a[far], -SHIFT), np.ldexp(b[far], -SHIFT)), SHIFT)
+    return out
+
+
+def _tame(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides at one lower power of two, where products would overflow."""
+    if max(np.abs(q).max(), np.abs(c).max()) < 2.0 ** 400:
+        return q, c
+    return np.ldexp(q, -SHIFT), np.ldexp(c, -SHIFT)
 
 
 def _tile(q: np.ndarray, c: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +121,7 @@ def _search(k: int, dim: int):
                 ci = np.frombuffer(row["ids"], dtype=np.int64)
                 q = np.frombuffer(row["q_vecs"]).reshape(-1, dim)
                 c = np.frombuffer(row["vecs"]).reshape(-1, dim)
-                at, to = _tile(q, c, qi[:, None] == ci[None, :], k)
+                at, to = _tile(*_tame(q, c), qi[:, None] == ci[None, :], k)
                 score = _exact(q[at], c[to])
                 order = np.lexsort((ci[to], score, at))
                 at, to, score = at[order], to[order], score[order]

@@ -320,3 +320,56 @@ def test_archive_ids_stay_exact_beside_nulls(spark, tmp_path):
     warc_chain.write_archives(pages, str(tmp_path / "w"))
     got = {(r["page_id"], r["refers_to"]) for r in warc_chain.read_archives(spark, str(tmp_path / "w")).collect()}
     assert got == {(big + 1, big + 3), (big + 3, None), (big + 7, None), (None, None)}
+
+
+# ---- repairs of earlier operators ---------------------------------------------------------------
+def test_equal_texts_share_a_shard_but_at_cuts(spark):
+    from overlap.llm import kd_shards
+
+    rows = [(i, f"text {i // 2:06d}") for i in range(4000)]  # pairs of one length
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {}
+    for r in kd_shards.kd_shards(docs).collect():
+        by.setdefault(r["text_crc32"], set()).add(r["shard"])
+    assert sum(len(s) > 1 for s in by.values()) <= 39  # one group a cut
+
+
+@pytest.mark.parametrize("text,letters", [("\u00bd \u00b2", 0), ("\u2167", 0), ("\u2460", 0), ("\u0301", 0),
+                                          ("a\u0301", 1), ("\u0939\u093f\u0928\u094d\u0926\u0940", 1)])
+def test_only_letters_make_a_language(text, letters):
+    from overlap.llm import lang_ftrl
+
+    got = lang_ftrl.counts_of(text)
+    assert (got is not None) == bool(letters)
+    if len(text) == 6:  # marks stay within the word: one word of six code points, eight with its blanks
+        assert got[1].sum() == 8 + 7 + 6
+
+
+def test_toxic_sample_takes_one_row_an_id(spark, monkeypatch):
+    from overlap.llm import toxic_mil
+
+    seen = []
+    monkeypatch.setattr(toxic_mil, "fit", lambda bags, labels: seen.extend(labels))
+    docs = spark.range(3000).select((F.col("id") % 3).alias("doc_id"), F.lit("some words").alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    toxic_mil.train(docs, labels)
+    assert 0 < len(seen) <= 3
+
+
+def test_nearest_of_vectors_whose_squares_overflow():
+    from overlap.llm import block_ann
+
+    rng = np.random.default_rng(4)
+    for scale in (1e200, 1e300, 1.0, 1e-200):
+        q, c = rng.standard_normal((5, 8)) * scale, rng.standard_normal((40, 8)) * scale
+        c[0] = 1e-150
+        at, to = block_ann._tile(*block_ann._tame(q, c), np.zeros((5, 40), bool), 3)
+        got = {(a, t) for a, t in zip(at.tolist(), to.tolist())}
+        with np.errstate(over="ignore"):
+            true = np.sqrt((((q[:, None] - c[None]) / scale) ** 2).sum(axis=2))
+        for i in range(5):
+            assert {(i, int(t)) for t in np.argsort(true[i])[:3]} <= got
+        score = block_ann._exact(q[at], c[to])
+        if scale > 1:
+            assert np.isfinite(score).all()
+            np.testing.assert_allclose(score / scale, true[at, to], rtol=1e-9)
