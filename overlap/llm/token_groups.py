@@ -294,6 +294,7 @@ def _buckets(d: DataFrame, width: int, percent: int) -> DataFrame:
 
 def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (and the text's hash) for every row of ``docs``."""
+    release(docs.sparkSession)  # of whatever ran before, a stage of a pipeline for instance
     d = documents_of(docs)
     named = d.filter(F.col("doc_id").isNotNull())
     rows = staged(d.withColumn("text_hash", text_hash()).mapInArrow(
