@@ -9,12 +9,14 @@ of nodes with ``100 * |intersection| >= percent * |union|`` that matters for the
    A node's signature is a segment with the hash of its shingles there; equal signatures meet.
    (A node whose filled segments are so few that an agreed one could be empty adds signatures
    under further hashes, and at last one shared by all such nodes: no link is lost.)
-2. Groups. Each node is checked against the least document of its buckets; the components of the
-   links found, and what is left around each least document, partition the nodes into groups of
-   similar documents.
+2. Groups. Each node is checked against the least document of its buckets, first by the low 16 bits
+   of its shingles, whose overlap bounds that of the sets, and where that could do by the sets; the
+   components of the links found, and what is left around each least document, partition the nodes
+   into groups of similar documents.
 3. Rare shingles. Only nodes of buckets that hold several components can be linked further. Of linked
    sets, at most (100 - percent) percent of either's shingles are not in the other; so a node with more
-   shingles that no other such node has is linked with none, and is settled. Of the others, in the
+   shingles that no other such node has is linked with none, and is settled (half of the universe
+   settles most nodes; the whole is counted for the rest). Of the others, in the
    order from the rarest shingle to the most frequent, linked sets share one among the first
    |set| - least overlap + 1 of each: groups meet by those shingles alone, and not by what all copies
    of a frequent text share.
@@ -149,26 +151,35 @@ def _rows(width: int, percent: int, signatures: bool):
 
 
 def _sets(width: int):
+    """node, n, the set's tokens in order, and the distinct low 16 bits of them."""
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(t, width).view(np.int64) for t in part.column("text").to_pylist()]
-                ends = np.cumsum([0, *[len(s) for s in sets]]).astype(np.int32)
+                low = [np.unique(s.astype(np.int16)) for s in sets]
                 nodes = [_node(s.view(np.uint64)) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(
-                        pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))],
-                    ["node", "tokens"])
+                    [pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
+                     _lists(sets, np.int64), _lists(low, np.int16)], ["node", "n", "tokens", "low"])
     return made
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar enough."""
-    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = F.size(F.array_intersect("ta", "tb")).cast("long")
-    total = (F.size("ta") + F.size("tb")).cast("long")
-    least, most = F.least(F.size("ta"), F.size("tb")), F.greatest(F.size("ta"), F.size("tb"))
+def _lists(rows: list[np.ndarray], kind: type) -> pa.ListArray:
+    ends = np.cumsum([0, *[len(s) for s in rows]]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, kind)])))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, by: str = "tokens") -> DataFrame:
+    """The pairs (a, b) of nodes that are similar enough; by ``low``, those that could be.
+
+    Of the shared shingles, as many as either set has beyond its distinct low bits may share theirs.
+    """
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(by).alias("ta"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col(by).alias("tb"))
+    spare = F.least(F.col("na") - F.size("ta"), F.col("nb") - F.size("tb"))
+    both = (F.size(F.array_intersect("ta", "tb")) + spare).cast("long")
+    total = (F.col("na") + F.col("nb")).cast("long")
+    least, most = F.least("na", "nb").cast("long"), F.greatest("na", "nb").cast("long")
     return (pairs.join(one, "a").join(two, "b").filter(100 * least >= percent * most)
             .filter(100 * both >= percent * (total - both)).select("a", "b"))
 
@@ -230,12 +241,17 @@ def _mixed_nodes(buckets: DataFrame, groups: DataFrame) -> DataFrame:
         "node").distinct()
 
 
-def _undecided(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The nodes that could be linked with another of ``nodes``, by their shingles that occur once."""
+def _undecided(nodes: DataFrame, sets: DataFrame, percent: int, half: bool) -> DataFrame:
+    """The nodes that could be linked with another of ``nodes``, by their shingles that occur once.
+
+    ``half`` counts those of one half of the universe: fewer, so it settles fewer nodes and none wrongly.
+    """
     own = sets.join(nodes, "node").select("node", F.size("tokens").cast("long").alias("size"), "tokens")
     tokens = own.select("node", F.explode("tokens").alias("token"))
-    lone = (tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
-            .filter("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
+    if half:
+        tokens = tokens.filter(F.col("token").bitwiseAND(F.lit(1)) == 0)
+    lone = (tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node"))
+            .filter("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
     return (own.select("node", "size").join(lone, "node", "left")
             .filter(100 * F.coalesce("alone", F.lit(0)) <= (100 - percent) * F.col("size"))
             .select("node").distinct())
@@ -259,8 +275,10 @@ def _matrix_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percen
     ``groups`` has node, component and label: nodes of a label are similar.
     """
     spark = buckets.sparkSession
-    nodes = staged(_undecided(staged(_mixed_nodes(buckets, groups), "mixed-nodes"), sets, percent), "undecided")
-    release(spark)
+    nodes = staged(_mixed_nodes(buckets, groups), "mixed-nodes")
+    for half in (True, False):
+        nodes = staged(_undecided(nodes, sets, percent, half), "undecided")
+        release(spark)
     members = staged(_members(groups.join(nodes, "node")), "group-members")
     placed = (_rare_shingles(nodes, sets, percent).join(members, "node").groupBy("sig", "g")
               .agg(F.min("component").alias("lo"), F.max("component").alias("hi")))
@@ -275,7 +293,7 @@ def _matrix_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percen
              .select("g1", "g2").distinct())
     asked = staged(asked, "group-pairs")
     met = asked.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
-    packed = staged(members.join(met, "g", "left_semi").join(sets, "node").groupBy("g")  # CHUNK sets
+    packed = staged(members.join(met, "g", "left_semi").join(sets.select("node", "tokens"), "node").groupBy("g")  # CHUNK sets
                     .agg(F.collect_list(F.struct("node", "component", "tokens")).alias("rows")), "groups")
     return (asked.join(packed.select(F.col("g").alias("g1"), F.col("rows").alias("one")), "g1")
             .join(packed.select(F.col("g").alias("g2"), F.col("rows").alias("two")), "g2")
@@ -305,13 +323,15 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     release(docs.sparkSession)
     wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = staged(named.join(wanted, "doc_id", "left_semi").mapInArrow(
-        _sets(width), "node long, tokens array<long>"), "token-sets")
+        _sets(width), "node long, n int, tokens array<long>, low array<smallint>"), "token-sets")
     # groups: every node against the least document of its buckets
     least = F.first("node").over(Window.partitionBy("sig").orderBy("rep", "node"))
     stars = (buckets.withColumn("b", least).filter(F.col("node") != F.col("b"))
              .select(F.col("node").alias("a"), "b").distinct())
     stars = staged(stars, "stars")
-    links = staged(_linked(stars, sets, percent), "star-links")
+    close = staged(_linked(stars, sets, percent, "low"), "close-stars")
+    release(docs.sparkSession)
+    links = staged(_linked(close, sets, percent), "star-links")
     release(docs.sparkSession)
     # similar: a component of links, or what else is left around one least document
     near = buckets.select("node").distinct().join(components(links), "node", "left").join(

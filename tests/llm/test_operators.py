@@ -414,6 +414,29 @@ def test_matrix_opens_only_what_may_hold_a_partner(spark):
     assert links == want and (1, 2) in want and (1, 3) not in want
 
 
+def test_low_bits_of_shingles_lose_no_link(spark):
+    """The overlap of the low 16 bits bounds that of the sets, also where many tokens share theirs."""
+    rng = np.random.default_rng(11)
+    sets, pairs = {}, []
+    for k in range(0, 120, 2):
+        n = int(rng.choice([1, 5, 40, 400, 30_000]))
+        x = np.unique(rng.integers(-1 << 62, 1 << 62, n))
+        if k % 3 == 0:
+            x = np.unique(x << 12)  # few low bits differ
+        keep = rng.permutation(x)[int(rng.integers(0, n // 4 + 1)):]
+        sets[k], sets[k + 1] = x, np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, n // 9)]))
+        pairs.append((k, k + 1))
+    frame = spark.createDataFrame(
+        [(k, len(s), s.tolist(), np.unique(s.astype(np.int16)).tolist()) for k, s in sets.items()],
+        "node long, n int, tokens array<long>, low array<smallint>")
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    want = {(a, b) for a, b in pairs
+            if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    low = {tuple(r) for r in token_groups._linked(asked, frame, 80, "low").collect()}
+    assert want and {tuple(r) for r in token_groups._linked(asked, frame, 80).collect()} == want <= low
+    assert len(low) < len(pairs)
+
+
 def test_ngram_star_of_uneven_near_copies(spark):
     """Copies of one text with few to many edits: some link to it, some to each other, some not."""
     rng = random.Random(12)
