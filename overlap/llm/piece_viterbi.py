@@ -41,7 +41,7 @@ from overlap.llm.lattice import Lattice, by_length
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
-CACHE = 1_200_000
+CACHE = 800_000  # words a task keeps between slices
 ROUNDS = 4
 FLOOR = 0.5
 FIXED = 1 << 16
@@ -425,24 +425,28 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for batch in batches:
-            for part in slices(batch, size=SLICE_BYTES):
-                texts = [t or b"" for t in part.column("text").to_pylist()]
-                ids = codec.encode_all(texts)
-                decoded = [codec.decode(i) for i in ids]
-                sizes = np.array([len(i) for i in ids], dtype=np.int64)
-                flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"),
-                    "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
-                    "n_tokens": pa.array(sizes),
-                    "n_fallback": pa.array([int(codec.is_byte[i].sum()) for i in ids], pa.int64()),
-                    "score": pa.array([codec.score(i) for i in ids], pa.float64()),
-                    "lossless": pa.array([d == t for d, t in zip(decoded, texts)], pa.bool_()),
-                    "text_sha256": pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
-                    "token_ids": pa.ListArray.from_arrays(
-                        pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
-                        pa.array(flat, pa.int32()))})
+        try:
+            for batch in batches:
+                for part in slices(batch, size=SLICE_BYTES):
+                    texts = [t or b"" for t in part.column("text").to_pylist()]
+                    ids = codec.encode_all(texts)
+                    decoded = [codec.decode(i) for i in ids]
+                    sizes = np.array([len(i) for i in ids], dtype=np.int64)
+                    flat = np.concatenate([*ids, np.zeros(0, np.int32)])
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": part.column("doc_id"),
+                        "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+                        "n_tokens": pa.array(sizes),
+                        "n_fallback": pa.array([int(codec.is_byte[i].sum()) for i in ids], pa.int64()),
+                        "score": pa.array([codec.score(i) for i in ids], pa.float64()),
+                        "lossless": pa.array([d == t for d, t in zip(decoded, texts)], pa.bool_()),
+                        "text_sha256": pa.array([hashlib.sha256(d).hexdigest() for d in decoded]),
+                        "token_ids": pa.ListArray.from_arrays(
+                            pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+                            pa.array(flat, pa.int32()))})
+        finally:  # the process serves other tasks, also of other operators
+            codec.clear()
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
