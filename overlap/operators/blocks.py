@@ -8,8 +8,9 @@ hash. All other keys take the usual form (one row a key and side).
 
 Hot keys are found by a count of rows a key (map-side combined); their chunks follow the count
 of *distinct* values, so a key with many repeated rows and few values is one block again. The
-table of hot keys is written before it is used: Spark knows its size and broadcasts it only
-below ``spark.sql.autoBroadcastJoinThreshold``, beyond that the joins with it are shuffled.
+table of hot keys is written before it is used. Up to ``FEW`` of them Spark may broadcast it and the
+tables made from it; beyond that the joins with them are shuffled: files of a few MB can hold millions
+of keys, which the driver would have to unpack and hold for every such join.
 
 A pair row occurs once, and the rows are the same whatever keys are cut. Null values are values;
 null keys take no part (as in a join).
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from overlap.session import scratch_path
 
 CHUNK = 1024
+FEW = 10_000  # hot keys whose tables may be broadcast
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -68,23 +70,34 @@ def block_pairs(left: DataFrame, right: DataFrame, on: str, left_name: str, righ
     products are cut, not what they hold); without any, no product is cut.
     """
     if hot is None:
-        return _exploded(_sets(left, [on], left_name, "_l").join(_sets(right, [on], right_name, "_r"), on),
-                         [on], left_name, right_name)
+        # a row a key on either side: never broadcast, whatever few bytes their files have
+        return _exploded(_sets(left, [on], left_name, "_l").hint("merge").join(
+            _sets(right, [on], right_name, "_r"), on), [on], left_name, right_name)
     spark = left.sparkSession
+    many = hot.limit(FEW + 1).count() > FEW
+    if many:  # most rows may be hot: made distinct once, not for the ordinary and the hot keys each
+        left = written(left.select(on, left_name).distinct(), "block-rows")
+        right = written(right.select(on, right_name).distinct(), "block-rows")
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordinary = _sets(left.join(hot, on, "left_anti"), [on], left_name, "_l").join(
+
+    def beside(rows: DataFrame) -> DataFrame:
+        return rows.hint("merge") if many else rows  # a row a hot key
+
+    hot = beside(hot)
+    ordinary = _sets(left.join(hot, on, "left_anti"), [on], left_name, "_l").hint("merge").join(
         _sets(right.join(hot, on, "left_anti"), [on], right_name, "_r"), on)
 
     def chunked(rows: DataFrame, value: str) -> DataFrame:
-        distinct = written(rows.join(hot, on, "left_semi").select(on, value).distinct(), "hot-rows")
+        found = rows.join(hot, on, "left_semi").select(on, value)
+        distinct = written(found if many else found.distinct(), "hot-rows")
         parts = distinct.groupBy(on).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("_n"))
-        return distinct.join(parts, on).withColumn(
+        return distinct.join(beside(parts), on).withColumn(
             "_c", F.pmod(F.xxhash64(F.struct(F.col(value))), F.col("_n")).cast("int"))
 
     lc, rc = chunked(left, left_name), chunked(right, right_name)
     sizes = (lc.select(on, F.col("_n").alias("_nl")).distinct()
-             .join(rc.select(on, F.col("_n").alias("_nr")).distinct(), on))
-    sizes = written(sizes, "hot-sizes")
+             .join(beside(rc.select(on, F.col("_n").alias("_nr")).distinct()), on))
+    sizes = beside(written(sizes, "hot-sizes"))
 
     def blocks(rows: DataFrame, value: str, out: str, own: str, other: str, copies: str) -> DataFrame:
         sets = _sets(rows.withColumnRenamed("_c", own), [on, own], value, out)
@@ -92,7 +105,7 @@ def block_pairs(left: DataFrame, right: DataFrame, on: str, left_name: str, righ
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
                 .select(on, "_i", "_j", out).repartition(tasks, on, "_i", "_j"))
 
-    cut = blocks(lc, left_name, "_l", "_i", "_j", "_nr").join(
+    cut = beside(blocks(lc, left_name, "_l", "_i", "_j", "_nr")).join(
         blocks(rc, right_name, "_r", "_j", "_i", "_nl"), [on, "_i", "_j"])
     return _exploded(ordinary, [on], left_name, right_name).unionByName(
         _exploded(cut, [on], left_name, right_name))
