@@ -12,9 +12,10 @@ Two physical strategies, same answer:
     aggregate leaves at most |A|x|B| rows per task for the final shuffle.
 
 ``join``
-    The textbook plan: join the raw rows on the key, explode the array late (after the
-    join, so the array side ships one row per key) or early, then ``count(distinct)``.
-    Its distinct aggregation shuffles every (a, b, key) triple; kept for comparison.
+    The textbook plan: join the rows on the key, explode the array late (after the join, so
+    the array side ships one row per key) or early, then count distinct keys. The rows of each
+    side are made distinct *before* the join (two small shuffles), so the join yields each
+    (key, a, b) exactly once and no set of triples is held, shuffled or spilled after it.
 
 ``blocks``
     Key sets whose hot keys (more than ``chunk`` values on a side) are cut into chunks, and every
@@ -75,8 +76,8 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
               extra: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
     """``(key, left_name, right_name, *per_key)`` rows of the key join.
 
-    With ``strategy="keysets"`` or ``"blocks"`` every (key, a, b) occurs exactly once. ``per_key`` columns
-    are computed once per key (before the explode) from the normalised key column.
+    Every (key, a, b) occurs exactly once, whatever the strategy. ``per_key`` columns are
+    computed once per key (before the explode) from the normalised key column.
     ``partition_by`` (a per-key column) re-partitions the one-row-per-key join output on it
     *before* the explode, so an aggregate grouped by (..., that column) is complete within
     each task and needs no shuffle of the exploded rows (keysets strategy only). ``extra``
@@ -117,13 +118,13 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
         return rows.withColumns(per_key) if per_key else rows
     # strategy == "join"
     if explode == "early" or not left_is_array:
-        lv = _values(left, key, left_dim, left_is_array, left_name, blank)
-        rv = _values(right, key, right_dim, right_is_array, right_name, blank, carried)
+        lv = _values(left, key, left_dim, left_is_array, left_name, blank).distinct()
+        rv = _values(right, key, right_dim, right_is_array, right_name, blank, carried).distinct()
         j = rv.join(lv, key)
         if per_key:
             j = j.withColumns(per_key)
         return j.select(key, left_name, right_name, *carried, *per_key)
-    rv = _values(right, key, right_dim, right_is_array, right_name, blank, carried)
+    rv = _values(right, key, right_dim, right_is_array, right_name, blank, carried).distinct()
     lrows = left.where(key_predicate(key, blank)).select(
         key_column(left, key, blank).alias(key), F.col(left_dim).alias("_arr"))
     j = rv.join(lrows, key)
@@ -145,6 +146,7 @@ def pair_counts(left: DataFrame, right: DataFrame, *, key: str = "pid",
     with relative standard deviation ``rsd``.
     """
     # approx: hash each key once, before the pair explode, instead of once per pair row
+    lrows = lrows.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("_arr"))).alias("_arr"))
     # (the count is a number, not a stored sketch, so the value hashed is free to choose;
     # 64-bit hash collisions are negligible next to the estimator's error)
     per_key = {} if exact else {"_h": F.xxhash64(F.col(key))}
@@ -154,7 +156,7 @@ def pair_counts(left: DataFrame, right: DataFrame, *, key: str = "pid",
                      explode=explode, blank=blank, per_key=per_key, chunk=chunk)
     if exact:
         name = count_col or "distinct_count"
-        agg = (F.count_distinct(key) if strategy == "join" else F.count(F.lit(1))).alias(name)
+        agg = F.count(F.lit(1)).alias(name)  # a row is a distinct key of its pair
     else:
         name = count_col or "approx_pid_count"
         agg = F.approx_count_distinct("_h", rsd).alias(name)

@@ -45,3 +45,11 @@ def test_many_hot_keys_are_not_broadcast(spark):
 def test_few_hot_keys_give_the_same_pairs(inputs):
     want = {tuple(r) for r in pair_counts(*inputs).collect()}
     assert {tuple(r) for r in pair_counts(*inputs, strategy="blocks", chunk=1).collect()} == want
+
+
+@pytest.mark.parametrize("explode", ["late", "early"])
+def test_textbook_join_holds_no_triples(inputs, explode):
+    out = pair_counts(*inputs, strategy="join", explode=explode)
+    assert not re.search(r"keys=\[location#\d+, interest#\d+, pid#", executed_plan(out))
+    assert {tuple(r) for r in out.collect()} == {
+        ("X", "i", 2), ("Y", "i", 1), (None, "i", 1), ("X", None, 1), ("Y", None, 1), (None, None, 1)}
