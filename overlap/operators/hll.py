@@ -53,7 +53,7 @@ def hll_pairs(left: DataFrame, right: DataFrame, *, key: str = "pid",
     rows = pair_rows(left, right, key=key, left_dim=left_dim, right_dim=right_dim,
                      left_is_array=left_is_array, right_is_array=right_is_array,
                      left_name=left_name, right_name=right_name, strategy=strategy,
-                     explode=explode, blank=blank, extra=extra)
+                     explode=explode, blank=blank, extra=extra, deal=strategy == "keysets")
     return sketch_aggregate(rows, [*extra, left_name, right_name],
                             F.hll_sketch_agg(sketch_input(F.col(key), blank), lg_config_k),
                             lambda c: F.hll_union_agg(c, False), "hll_bytes", fanin)

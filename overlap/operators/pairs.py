@@ -27,11 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from overlap.operators.blocks import CHUNK, block_pairs, heavy_keys
+from overlap.operators.blocks import CHUNK, block_pairs, heavy_keys, written
 from overlap.schema import key_column, key_predicate
 
 STRATEGIES = ("keysets", "join", "blocks")
 EXPLODE = ("late", "early")
+PAIRS_PER_TASK = 1 << 20
 
 
 def _values(df: DataFrame, key: str, dim: str, is_array: bool, name: str,
@@ -66,6 +67,20 @@ def key_sets(df: DataFrame, key: str, dim: str, name: str, is_array: bool = Fals
                                                                      with_null(name + "_set"))
 
 
+def dealt_sets(sets: DataFrame, key: str, left_set: str, right_set: str,
+               pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """``sets`` (one row a key, with both its sets), dealt to tasks by the pairs they explode to.
+
+    Spark sizes a stage by the bytes of its sets, which says little about the pairs. A sketch
+    aggregate falls back to sorting its input beyond a few groups, so a task with very many
+    pairs spills them all. The sets are written once; one aggregate counts their pairs.
+    """
+    spark = sets.sparkSession
+    sets = written(sets, "key-sets")
+    pairs = sets.agg(F.sum(F.size(left_set).cast("bigint") * F.size(right_set))).first()[0] or 0
+    return sets.repartition(max(spark.sparkContext.defaultParallelism, -(-pairs // pairs_per_task)), key)
+
+
 def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
               left_dim: str = "locations", right_dim: str = "interest",
               left_is_array: bool = True, right_is_array: bool = False,
@@ -73,7 +88,7 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
               strategy: str = "keysets", explode: str = "late", blank: str = "drop",
               per_key: dict[str, Column] | None = None,
               partition_by: str | None = None,
-              extra: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+              extra: list[str] | None = None, chunk: int = CHUNK, deal: bool = False) -> DataFrame:
     """``(key, left_name, right_name, *per_key)`` rows of the key join.
 
     Every (key, a, b) occurs exactly once, whatever the strategy. ``per_key`` columns are
@@ -82,6 +97,7 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
     *before* the explode, so an aggregate grouped by (..., that column) is complete within
     each task and needs no shuffle of the exploded rows (keysets strategy only). ``extra``
     columns of ``right`` are carried along; a key then has one set for each value of them.
+    ``deal`` deals the keys to tasks by their pairs (``dealt_sets``; keysets strategy only).
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
@@ -91,11 +107,14 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
     if strategy == "keysets":
         ls = key_sets(left, key, left_dim, left_name, left_is_array, blank)
         rs = key_sets(right, key, right_dim, right_name, right_is_array, blank, carried)
-        j = ls.join(rs, key)
+        # a row a key on either side: never broadcast, whatever few bytes their files have
+        j = ls.hint("merge").join(rs, key)
         if per_key:
             j = j.withColumns(per_key)
         if partition_by:
             j = j.repartition(partition_by)
+        if deal:
+            j = dealt_sets(j, key, left_name + "_set", right_name + "_set")
         extra = [*carried, *per_key]
         return (j.select(key, *extra, F.explode(left_name + "_set").alias(left_name),
                          right_name + "_set")
@@ -127,6 +146,7 @@ def pair_rows(left: DataFrame, right: DataFrame, *, key: str = "pid",
     rv = _values(right, key, right_dim, right_is_array, right_name, blank, carried).distinct()
     lrows = left.where(key_predicate(key, blank)).select(
         key_column(left, key, blank).alias(key), F.col(left_dim).alias("_arr"))
+    lrows = lrows.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("_arr"))).alias("_arr"))
     j = rv.join(lrows, key)
     if per_key:
         j = j.withColumns(per_key)
@@ -146,7 +166,6 @@ def pair_counts(left: DataFrame, right: DataFrame, *, key: str = "pid",
     with relative standard deviation ``rsd``.
     """
     # approx: hash each key once, before the pair explode, instead of once per pair row
-    lrows = lrows.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_set("_arr"))).alias("_arr"))
     # (the count is a number, not a stored sketch, so the value hashed is free to choose;
     # 64-bit hash collisions are negligible next to the estimator's error)
     per_key = {} if exact else {"_h": F.xxhash64(F.col(key))}

@@ -17,6 +17,7 @@ from overlap.operators.buckets import (BUCKET_COL, bucket_by_pairs, bucketed_pai
                                         two_phase_pairs, write_bucketed_inputs)
 from overlap.operators import synth
 from overlap.operators.accuracy import compare_counts, error_stats
+from overlap.operators.blocks import written
 from overlap.operators.daily import (daily_sketches, trailing_exact, trailing_registers,
                                      trailing_uniques)
 from overlap.operators.hll import estimate_hll, hll_pairs
@@ -41,6 +42,12 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return fixtures.locations(spark, sf_dir), fixtures.interests(spark, sf_dir)
 
 
+def _inputs_once(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same rows, written once: for queries that read their inputs several times."""
+    locs, ints = _inputs(spark, sf_dir)
+    return written(locs, "locations"), written(ints, "interests")
+
+
 def pair_exact(spark, sf_dir):
     locs, ints = _inputs(spark, sf_dir)
     return pair_counts(locs, ints)
@@ -102,8 +109,7 @@ HLL_BOUND = 0.05
 NUM_BUCKETS = 8
 
 
-def _hll_bounded(spark, sf_dir, hll: DataFrame) -> DataFrame:
-    locs, ints = _inputs(spark, sf_dir)
+def _hll_bounded(locs: DataFrame, ints: DataFrame, hll: DataFrame) -> DataFrame:
     return _bounded(estimate_hll(hll, out="hll_estimate"), pair_counts(locs, ints),
                     "hll_estimate", HLL_BOUND)
 
@@ -132,8 +138,8 @@ def register_hll_two_phase(spark, sf_dir):
 
 
 def pair_hll(spark, sf_dir):
-    locs, ints = _inputs(spark, sf_dir)
-    return _hll_bounded(spark, sf_dir, hll_pairs(locs, ints, lg_config_k=HLL_LG_K))
+    locs, ints = _inputs_once(spark, sf_dir)
+    return _hll_bounded(locs, ints, hll_pairs(locs, ints, lg_config_k=HLL_LG_K))
 
 
 def pair_hll_raw(spark, sf_dir):
@@ -142,15 +148,15 @@ def pair_hll_raw(spark, sf_dir):
 
 
 def pair_hll_two_phase(spark, sf_dir):
-    locs, ints = _inputs(spark, sf_dir)
+    locs, ints = _inputs_once(spark, sf_dir)
     hll = two_phase_pairs(spark, locs, ints, NUM_BUCKETS, mode="hll", lg_config_k=HLL_LG_K)
-    return _hll_bounded(spark, sf_dir, hll)
+    return _hll_bounded(locs, ints, hll)
 
 
 def pair_hll_bucket_by(spark, sf_dir):
-    locs, ints = _inputs(spark, sf_dir)
+    locs, ints = _inputs_once(spark, sf_dir)
     hll = bucket_by_pairs(spark, locs, ints, NUM_BUCKETS, mode="hll", lg_config_k=HLL_LG_K)
-    return _hll_bounded(spark, sf_dir, hll)
+    return _hll_bounded(locs, ints, hll)
 
 
 def bucket_exact_one_job(spark, sf_dir):
@@ -343,7 +349,7 @@ def theta_small_sets(spark, sf_dir):
 
 def theta_small_pairs(spark, sf_dir):
     """The same for intersections; their error follows the size of the union."""
-    locs, ints = _inputs(spark, sf_dir)
+    locs, ints = _inputs_once(spark, sf_dir)
     left = locs.select("pid", F.explode("locations").alias("location"))
     nl = left.distinct().groupBy("location").agg(F.count(F.lit(1)).alias("nl"))
     nr = ints.distinct().groupBy("interest").agg(F.count(F.lit(1)).alias("nr"))
@@ -360,7 +366,7 @@ def theta_small_pairs(spark, sf_dir):
 
 def hll_small_pairs(spark, sf_dir):
     """HLL at lgK 8: (pair, exact keys, estimate within 5 standard errors)."""
-    locs, ints = _inputs(spark, sf_dir)
+    locs, ints = _inputs_once(spark, sf_dir)
     est = estimate_hll(hll_pairs(locs, ints, lg_config_k=SMALL_LG_K), out="hll_estimate")
     return _bounded(est, pair_counts(locs, ints), "hll_estimate", 5 * 1.04 / 16)
 
@@ -559,7 +565,8 @@ def pair_approx_sql(spark, sf_dir):
 def pair_hll_sql(spark, sf_dir):
     from overlap.plans.sql import run_pair_sql
 
-    return _hll_bounded(spark, sf_dir, run_pair_sql(spark, *_inputs(spark, sf_dir), "hll", lg_k=HLL_LG_K))
+    locs, ints = _inputs(spark, sf_dir)
+    return _hll_bounded(locs, ints, run_pair_sql(spark, locs, ints, "hll", lg_k=HLL_LG_K))
 
 
 def theta_union_sql(spark, sf_dir):

@@ -53,3 +53,12 @@ def test_textbook_join_holds_no_triples(inputs, explode):
     assert not re.search(r"keys=\[location#\d+, interest#\d+, pid#", executed_plan(out))
     assert {tuple(r) for r in out.collect()} == {
         ("X", "i", 2), ("Y", "i", 1), (None, "i", 1), ("X", None, 1), ("Y", None, 1), (None, None, 1)}
+
+
+def test_keys_are_dealt_by_their_pairs(spark):
+    sets = spark.range(100).select("id", F.sequence(F.lit(1), F.lit(10)).alias("l"),
+                                   F.sequence(F.lit(1), F.lit(5)).alias("r"))
+    out = dealt_sets(sets, "id", "l", "r", 100)
+    assert out.rdd.getNumPartitions() == max(50, spark.sparkContext.defaultParallelism)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, sets.collect()))
+    assert dealt_sets(sets.where("id < 0"), "id", "l", "r").count() == 0
