@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from overlap.functions.keys import bucket_of
 from overlap.operators.sketch_tree import sketch_aggregate, sketch_merge
-from overlap.operators.pairs import distinct_set, key_sets, with_null
+from overlap.operators.pairs import dealt_sets, distinct_set, key_sets, with_null
 from overlap.operators.registers import (DEFAULT_LOG2M, DEFAULT_REGWIDTH, DEFAULT_SEED,
                                           merge_registers, register_columns, sketch_spec)
 from overlap.schema import key_column, key_predicate, sketch_input
@@ -77,9 +77,18 @@ def _merge(partials: DataFrame, groups: list[str], mode: str) -> DataFrame:
 
 
 def _explode_sets(ls: DataFrame, rs: DataFrame, key: str, left_name: str, right_name: str,
-                  on: list[str], per_key: dict) -> DataFrame:
-    """(on..., key, a, b, per_key...) rows; ``per_key`` columns are made before the explode."""
-    j = ls.join(rs, [*on, key]).withColumns(per_key)
+                  on: list[str], per_key: dict, mode: str) -> DataFrame:
+    """(on..., key, a, b, per_key...) rows; ``per_key`` columns are made before the explode.
+
+    Keys are dealt to tasks before it too: for registers by the register, so a task holds its
+    share of the (bucket, a, b, reg) groups and no other has any of them; for HLL by pairs.
+    """
+    j = ls.hint("merge").join(rs, [*on, key]).withColumns(per_key)  # a row a key: never broadcast
+    if mode == "registers":
+        # a set number: by the bytes of the sets, few tasks would do and hold all the groups
+        j = j.repartition(int(j.sparkSession.conf.get("spark.sql.shuffle.partitions")), "reg")
+    elif mode == "hll":
+        j = dealt_sets(j, key, left_name + "_set", right_name + "_set")
     carry = [*on, *per_key]
     return (j.select(*carry, key, F.explode(left_name + "_set").alias(left_name),
                      right_name + "_set")
@@ -108,7 +117,7 @@ def bucketed_pairs(left: DataFrame, right: DataFrame, num_buckets: int, *, key:
     ls = key_sets(left, key, left_dim, left_name, left_is_array, blank)
     rs = key_sets(right, key, right_dim, right_name, right_is_array, blank)
     rows = _explode_sets(ls, rs, key, left_name, right_name, [], {
-        BUCKET_COL: bucket_of(key, num_buckets), **_per_key(mode, key, log2m, regwidth, seed)})
+        BUCKET_COL: bucket_of(key, num_buckets), **_per_key(mode, key, log2m, regwidth, seed)}, mode)
     groups = [left_name, right_name]
     partials = _partial(rows, [BUCKET_COL, *groups], key, mode, lg_config_k, blank)
     return partials if keep_buckets else _merge(partials, groups, mode)
@@ -173,7 +182,7 @@ def two_phase_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, num_
     rs = rrows.groupBy(BUCKET_COL, key).agg(*distinct_set(right_name)).select(
         BUCKET_COL, key, with_null(right_name + "_set"))
     rows = _explode_sets(ls, rs, key, left_name, right_name, [BUCKET_COL],
-                         _per_key(mode, key, log2m, regwidth, seed))
+                         _per_key(mode, key, log2m, regwidth, seed), mode)
     groups = [left_name, right_name]
     partials = _partial(rows, [BUCKET_COL, *groups], key, mode, lg_config_k, blank)
     params = {"exact": mode, "hll": f"{mode} lg_config_k={lg_config_k}",
@@ -249,8 +258,8 @@ def bucket_by_pairs(spark: SparkSession, left: DataFrame, right: DataFrame, num_
     ls = lt.groupBy(key).agg(*distinct_set(left_name)).select(key, with_null(left_name + "_set"))
     rs = rt.groupBy(key).agg(*distinct_set(right_name)).select(key,
                                                                with_null(right_name + "_set"))
-    rows = _explode_sets(ls.hint("merge"), rs, key, left_name, right_name, [],
-                         _per_key(mode, key, log2m, regwidth, seed))
+    rows = _explode_sets(ls, rs, key, left_name, right_name, [],
+                         _per_key(mode, key, log2m, regwidth, seed), mode)
     out = _partial(rows, [left_name, right_name], key, mode, lg_config_k, blank)
     for table in tables:  # the plan holds the tables' files and layout, not their names
         drop_table(spark, table)

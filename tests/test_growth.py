@@ -42,6 +42,11 @@ def test_many_hot_keys_are_not_broadcast(spark):
     assert out.count() == out.distinct().count() == 4 * keys + 1
 
 
+def test_key_sets_of_small_files_are_not_broadcast(spark, inputs):
+    assert "Broadcast" not in executed_plan(pair_counts(*inputs))
+    assert "Broadcast" not in executed_plan(bucketed_pairs(*inputs, 2))
+
+
 def test_few_hot_keys_give_the_same_pairs(inputs):
     want = {tuple(r) for r in pair_counts(*inputs).collect()}
     assert {tuple(r) for r in pair_counts(*inputs, strategy="blocks", chunk=1).collect()} == want
@@ -55,6 +60,24 @@ def test_textbook_join_holds_no_triples(inputs, explode):
         ("X", "i", 2), ("Y", "i", 1), (None, "i", 1), ("X", None, 1), ("Y", None, 1), (None, None, 1)}
 
 
+def test_bucketed_registers_never_shuffle_exploded_rows(inputs):
+    plan = executed_plan(bucketed_pairs(*inputs, 4, mode="registers"))
+    assert exchanges(plan, "reg") == 1
+    assert not re.search(r"Exchange hashpartitioning\([^)]*location#\d+, interest#\d+, reg#", plan)
+
+
+def test_groups_of_a_register_lie_in_one_task(spark):
+    sets = lambda name: spark.range(400).select(
+        F.col("id").cast("string").alias("pid"), F.array(F.lit("u"), F.lit("v")).alias(f"{name}_set"))
+    per_key = buckets._per_key("registers", "pid", 7, 6, 1)
+    rows = buckets._explode_sets(sets("a"), sets("b"), "pid", "a", "b", [], per_key, "registers")
+    tasks = rows.withColumn("task", F.spark_partition_id())
+    assert rows.count() == 1600
+    assert tasks.groupBy("reg").agg(F.count_distinct("task").alias("n")).where("n > 1").isEmpty()
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.rdd.getNumPartitions() == wanted  # not fewer because the sets have few bytes
+
+
 def test_keys_are_dealt_by_their_pairs(spark):
     sets = spark.range(100).select("id", F.sequence(F.lit(1), F.lit(10)).alias("l"),
                                    F.sequence(F.lit(1), F.lit(5)).alias("r"))
@@ -62,3 +85,11 @@ def test_keys_are_dealt_by_their_pairs(spark):
     assert out.rdd.getNumPartitions() == max(50, spark.sparkContext.defaultParallelism)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, sets.collect()))
     assert dealt_sets(sets.where("id < 0"), "id", "l", "r").count() == 0
+
+
+def test_hll_pairs_are_dealt_before_the_explode(spark, inputs):
+    want = {(r[0], r[1]): r[2] for r in pair_counts(*inputs).collect()}
+    for out in (hll_pairs(*inputs), bucket_by_pairs(spark, *inputs, 2, mode="hll"),
+                bucketed_pairs(*inputs, 2, mode="hll")):
+        assert "REPARTITION_BY_NUM" in executed_plan(out)
+        assert {(r[0], r[1]): r[2] for r in estimate_hll(out).collect()} == want
