@@ -71,9 +71,10 @@ def theta_screened_small_sets(spark, sf_dir):
 
 def theta_screened_small_pairs(spark, sf_dir):
     """The same for pairs; an intersection's error follows the size of the union."""
-    locs, ints = _inputs(spark, sf_dir)
+    locs, ints = _inputs_once(spark, sf_dir)
     left = locs.select("pid", F.explode("locations").alias("location"))
-    nl = left.distinct().groupBy("location").agg(F.count(F.lit(1)).alias("nl"))
+    # one row a customer, whose locations are distinct
+    nl = left.groupBy("location").agg(F.count(F.lit(1)).alias("nl"))
     nr = ints.distinct().groupBy("interest").agg(F.count(F.lit(1)).alias("nr"))
     est = screened.screened_pairs(locs, ints, nominal_entries=SMALL_NOMINAL, include_zero_pairs=True)
     j = est.join(pair_counts(locs, ints), ["location", "interest"], "left")

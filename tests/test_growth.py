@@ -93,3 +93,10 @@ def test_hll_pairs_are_dealt_before_the_explode(spark, inputs):
                 bucketed_pairs(*inputs, 2, mode="hll")):
         assert "REPARTITION_BY_NUM" in executed_plan(out)
         assert {(r[0], r[1]): r[2] for r in estimate_hll(out).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["pair_exact_blocks", "hll_small_pairs", "theta_screened_small_pairs",
+                                  "theta_small_pairs", "pair_hll_bucket_by", "pair_hll"])
+def test_inputs_are_derived_once(spark, name):
+    files = registry()[name](spark, SF001).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
