@@ -72,9 +72,8 @@ NOTES = """
 * `pair_exact` (key sets): one `pid` shuffle per side, after the map-side `collect_set`,
   then the join needs no further Exchange; the last shuffle is on `(location, interest)`
   and carries at most |A|x|B| partial counts per task.
-* `pair_exact_join` (textbook): the `count(distinct)` shuffles every (location, interest,
-  pid) triple, partitioned by `(location, interest)` only -- at most |A|x|B| reducers,
-  each receiving all keys of its pair.
+* `pair_exact_join` (textbook): each side's rows are made distinct before the join, so the pair
+  rows are counted as they come; the last shuffle carries at most |A|x|B| partial counts per task.
 * `pair_theta`: the inputs never meet; only sketches are shuffled (by dimension value and
   task, then by value) and AQE picks the grid join (`BroadcastNestedLoopJoin` here) from the
   measured sketch sizes; its left side is spread over a set number of tasks by value.
