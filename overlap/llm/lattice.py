@@ -58,19 +58,21 @@ class Lattice:
         level[self.last] = chars
         word_end = stop[of]
         starts, ends, pieces = [], [], []
-        at, state, pos = np.arange(len(char)), np.zeros(len(char), dtype=np.int64), char.copy()
+        # the walk's bytes as steps; a word is followed by a step 0, which no state has
+        steps = np.zeros(len(s) + len(words), dtype=np.int64)
+        steps[np.arange(len(s)) + np.repeat(np.arange(len(words)), size)] = s.astype(np.int64) + 1
+        at, state, pos = np.arange(len(char)), np.zeros(len(char), dtype=np.int64), char + of
         while len(at):
-            to = base[state] + s[pos] + 1
-            good = check[to] == state
-            at, state, pos = at[good], to[good], pos[good] + 1
-            v = value[state]
-            hit = v >= 0
-            starts.append(at[hit])
-            ends.append(pos[hit])
-            pieces.append(v[hit])
-            inside = pos < word_end[at]
-            at, state, pos = at[inside], state[inside], pos[inside]
+            to = base.take(state) + steps.take(pos)
+            good = np.flatnonzero(check.take(to) == state)
+            at, state, pos = at.take(good), to.take(good), pos.take(good) + 1
+            v = value.take(state)
+            hit = np.flatnonzero(v >= 0)
+            starts.append(at.take(hit))
+            ends.append(pos.take(hit))
+            pieces.append(v.take(hit))
         start, end, piece = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, ends, pieces))
+        end = end - of[start]
         after = np.append(char[1:], len(s))  # end of each character
         single = np.zeros(len(char), dtype=bool)
         single[start[end == after[start]]] = True

@@ -725,3 +725,21 @@ def test_keep_rows(spark):
     assert sorted((str(r.doc_id), r.text) for r in out.collect()) == [("1", "a"), ("1", "b"), ("None", "n")]
     twice = kept.distinct().withColumn("copies", F.lit(2))
     assert keep_rows(df, twice, doc_id=F.col("doc_id"), text_hash=text_hash()).count() == 6
+
+
+def test_lattices_are_small_and_lose_no_word(codec, monkeypatch):
+    words = [f"w{i:x}{'é' * (i % 3)}{'日' * (i % 2)}".encode() for i in range(9001)]
+    c, made = codec[0], []
+
+    class Seen(piece_viterbi.Lattice):
+        def __init__(self, part, *trie):
+            made.append(len(part))
+            super().__init__(part, *trie)
+
+    monkeypatch.setattr(piece_viterbi, "Lattice", Seen)
+    c.clear()
+    ids = c.encode_all(words)
+    c.clear()
+    assert max(made) <= 5000 and sum(made) >= 9001
+    assert all(c.decode(i) == w for i, w in zip(ids, words))
+    assert all(i.tobytes() == c._best(b" " + w) for i, w in zip(ids[:300], words))
