@@ -16,11 +16,13 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from overlap.session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
+SCREEN_BITS = 1 << 25  # of a broadcast bitmap: half a million words of 64
 U64 = np.uint64
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -70,12 +72,14 @@ def keep_rows(docs: DataFrame, kept: DataFrame, **keys: Column) -> DataFrame:
     # a struct is never null and its null fields are equal: one exchange by it serves the join and
     # the choice of one row
     copies = F.col("copies") if "copies" in kept.columns else F.lit(1)
-    wanted = (kept.select(F.struct(*[F.col(k).alias(k) for k in keys]).alias("__key"),
+    # one type on both sides: else the join casts its key, and the choice needs an exchange of its own
+    kind = StructType([StructField(k, kept.schema[k].dataType) for k in keys])
+    wanted = (kept.select(F.struct(*[F.col(k).alias(k) for k in keys]).cast(kind).alias("__key"),
                           copies.cast("int").alias("__copies"))
               .groupBy("__key").agg((F.sum if "copies" in kept.columns else F.max)("__copies")
                                     .alias("__copies")))
     order = Window.partitionBy("__key").orderBy(*[F.col(c) for c in docs.columns])
-    return (docs.withColumn("__key", F.struct(*[c.alias(k) for k, c in keys.items()]))
+    return (docs.withColumn("__key", F.struct(*[c.alias(k) for k, c in keys.items()]).cast(kind))
             .join(wanted, "__key")
             .withColumn("__nth", F.row_number().over(order)).filter("__nth = 1")
             .filter(F.col("__copies") > 0)
@@ -83,6 +87,23 @@ def keep_rows(docs: DataFrame, kept: DataFrame, **keys: Column) -> DataFrame:
             .select(*docs.columns))
 
 
+def screened(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not in ``wanted`` (one column), unmoved.
+
+    All rows with a wanted key stay, and about one in 16 of the others: keys are looked up in a
+    broadcast bitmap of their hashes, of ``SCREEN_BITS`` at most. For use before a shuffle of wide rows,
+    but not of a semi-join, which Spark would carry out first.
+    """
+    bits = min(SCREEN_BITS, 1 << (16 * wanted.count() + 63).bit_length())
+    place = F.pmod(F.xxhash64(F.lit(5), F.col(key).cast("long")), F.lit(bits))
+    one = F.expr("shiftleft(1L, cast(__place % 64 AS INT))")
+    words = (wanted.select(F.col(wanted.columns[0]).alias(key)).select(place.alias("__place"))
+             .groupBy(F.floor(F.col("__place") / 64).alias("__word")).agg(F.bit_or(one).alias("__bits")))
+    return (rows.withColumn("__place", place).withColumn("__word", F.floor(F.col("__place") / 64))
+            .join(F.broadcast(words), "__word").filter(F.col("__bits").bitwiseAND(one) != 0)
+            .select(*rows.columns))
+
+
 def held_out(mod: int, rest: int):
     """True where crc32 of the document id as text leaves ``rest``; a null id is not held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))

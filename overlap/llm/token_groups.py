@@ -42,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from overlap.llm.common import (documents_of, lower_bytes, mix, prefix_hash, release, slices, span_hash,
-                                staged, text_hash, words_of)
+from overlap.llm.common import (documents_of, lower_bytes, mix, prefix_hash, release, screened, slices,
+                                span_hash, staged, text_hash, words_of)
 from overlap.llm.components import components
 
 CHUNK = 32
@@ -246,8 +246,10 @@ def _undecided(nodes: DataFrame, sets: DataFrame, percent: int, half: bool) -> D
 
     ``half`` counts those of one half of the universe: fewer, so it settles fewer nodes and none wrongly.
     """
-    own = sets.join(nodes, "node").select("node", F.size("tokens").cast("long").alias("size"), "tokens")
-    tokens = own.select("node", F.explode("tokens").alias("token"))
+    # sets stay where they are: a few other nodes among them make shingles only less rare
+    near = screened(sets, "node", nodes)
+    own = near.select("node", F.size("tokens").cast("long").alias("size")).join(nodes, "node")
+    tokens = near.select("node", F.explode("tokens").alias("token"))
     if half:
         tokens = tokens.filter(F.col("token").bitwiseAND(F.lit(1)) == 0)
     lone = (tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("node"))
@@ -259,7 +261,7 @@ def _undecided(nodes: DataFrame, sets: DataFrame, percent: int, half: bool) -> D
 
 def _rare_shingles(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """sig, node: the rarest shingles of each node, as many as linked sets share one of."""
-    own = sets.join(nodes, "node").select("node", "tokens").dropDuplicates(["node"])
+    own = screened(sets, "node", nodes).join(nodes, "node").select("node", "tokens").dropDuplicates(["node"])
     tokens = own.select("node", F.explode("tokens").alias("sig"))
     often = tokens.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "sig"))
@@ -293,7 +295,9 @@ def _matrix_links(buckets: DataFrame, groups: DataFrame, sets: DataFrame, percen
              .select("g1", "g2").distinct())
     asked = staged(asked, "group-pairs")
     met = asked.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
-    packed = staged(members.join(met, "g", "left_semi").join(sets.select("node", "tokens"), "node").groupBy("g")  # CHUNK sets
+    members = staged(members.join(met, "g", "left_semi"), "met-members")
+    opened = screened(sets, "node", members.select("node")).select("node", "tokens")
+    packed = staged(members.join(opened, "node").groupBy("g")  # CHUNK sets
                     .agg(F.collect_list(F.struct("node", "component", "tokens")).alias("rows")), "groups")
     return (asked.join(packed.select(F.col("g").alias("g1"), F.col("rows").alias("one")), "g1")
             .join(packed.select(F.col("g").alias("g2"), F.col("rows").alias("two")), "g2")
@@ -321,8 +325,8 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
             .groupBy("node").agg(F.min("doc_id").alias("rep")))
     buckets = staged(_buckets(named, width, percent).join(reps, "node"), "buckets")
     release(docs.sparkSession)
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = staged(named.join(wanted, "doc_id", "left_semi").mapInArrow(
+    wanted = staged(buckets.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    sets = staged(screened(named, "doc_id", wanted).join(wanted, "doc_id").select(*named.columns).mapInArrow(
         _sets(width), "node long, n int, tokens array<long>, low array<smallint>"), "token-sets")
     # groups: every node against the least document of its buckets
     least = F.first("node").over(Window.partitionBy("sig").orderBy("rep", "node"))
@@ -331,7 +335,8 @@ def ngram_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Data
     stars = staged(stars, "stars")
     close = staged(_linked(stars, sets, percent, "low"), "close-stars")
     release(docs.sparkSession)
-    links = staged(_linked(close, sets, percent), "star-links")
+    met = screened(sets, "node", close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links = staged(_linked(close, met, percent), "star-links")
     release(docs.sparkSession)
     # similar: a component of links, or what else is left around one least document
     near = buckets.select("node").distinct().join(components(links), "node", "left").join(

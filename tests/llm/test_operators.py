@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from overlap.llm import (block_ann, components, content_sort, entropy_mix, kd_shards, lang_ftrl,
                          piece_viterbi, suffix_dedup, token_groups, toxic_mil, warc_chain)
-from overlap.llm.common import keep_rows, text_hash
+from overlap.llm.common import keep_rows, screened, text_hash
 
 #: extra columns whose names the operators use themselves
 CLASH = ["node", "h", "text_hash", "size", "rank", "copies", "sig", "did", "dup", "n", "run", "shard"]
@@ -727,6 +727,57 @@ def test_keep_rows(spark):
     assert keep_rows(df, twice, doc_id=F.col("doc_id"), text_hash=text_hash()).count() == 6
 
 
+def exchanges_of(df):
+    """What each exchange of the plan is by, and the step below it."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    return [a + b for a, b in zip(lines, lines[1:]) if "Exchange hashpartitioning" in a]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_keep_rows_moves_the_documents_once(spark, no_broadcast, tmp_path):
+    spark.createDataFrame([(1, "a", "s"), (1, "b", "s"), (1, "b", "s"), (2, "b", None), (None, None, "t")],
+                          "doc_id long, text string, source string").write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame([(1, "b"), (None, None), (7, "a")], "doc_id long, text string").select(
+        "doc_id", text_hash().alias("text_hash")).write.parquet(str(tmp_path / "k"))
+    docs, kept = (spark.read.parquet(str(tmp_path / k)) for k in "dk")
+    out = keep_rows(docs, kept, doc_id=F.col("doc_id").cast("long"), text_hash=text_hash())
+    assert len(exchanges_of(out)) == 2  # one of the documents, one of the keys
+    assert sorted(map(str, out.collect())) == sorted(map(str, docs.filter(
+        "doc_id = 1 AND text = 'b' OR doc_id IS NULL").distinct().collect()))
+
+
+def test_screened_loses_no_wanted_row(spark):
+    rows = spark.range(0, 20000).select((F.col("id") - 10000).alias("k"), F.col("id").alias("v"))
+    rows = rows.unionByName(rows.filter("k = 7")).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) k, 1L v"))
+    wanted = spark.range(0, 500).select((F.col("id") * 37 - 9000).alias("node"))
+    got = screened(rows, "k", wanted)
+    assert got.columns == rows.columns
+    keys = [r.k for r in got.collect()]
+    asked = {i * 37 - 9000 for i in range(500)}
+    assert asked <= set(keys) and keys.count(7) in (0, 2) and len(keys) < 4000
+    assert keys.count(-9000) == 1
+    assert screened(rows, "k", wanted.limit(0)).count() == 0
+
+
+def test_sets_stay_while_their_shingles_are_counted(spark, no_broadcast):
+    sets = spark.createDataFrame([(i, 4, [4 * i, 4 * i + 1, 4 * i + 2, 4 * i + 3], [i]) for i in range(2000)],
+                                 "node long, n int, tokens array<long>, low array<smallint>")
+    nodes = spark.createDataFrame([(3,), (5,)], "node long")
+    for half in (True, False):
+        df = token_groups._undecided(nodes, sets, 85, half)
+        assert not any(re.search(r"[\[ ]tokens#\d+[,\]]", x) for x in exchanges_of(df))
+        assert df.count() == 0
+    same = sets.unionByName(spark.createDataFrame([(9000, 4, [12, 13, 14, 15], [3])], sets.schema))
+    nodes = spark.createDataFrame([(3,), (5,), (9000,)], "node long")
+    assert {r.node for r in token_groups._undecided(nodes, same, 85, False).collect()} == {3, 9000}
+
+
 def test_lattices_are_small_and_lose_no_word(codec, monkeypatch):
     words = [f"w{i:x}{'é' * (i % 3)}{'日' * (i % 2)}".encode() for i in range(9001)]
     c, made = codec[0], []
